@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import drop, small_batches, table, written
 
-#: Cells for each that a set offers; rounds with a hub for each tile before the last; sets of a block in the last round.
-CELLS, HUB_ROUNDS, BLOCK = 1.3, 2, 1024
+#: Cells for each that a set offers; rounds with a hub for each tile, and with a forest of likely links, before the last; sets of a block.
+CELLS, HUB_ROUNDS, FOREST_ROUNDS, BLOCK = 1.3, 1, 3, 1024
 #: Sets that one task compares with a hub.
 HUB_SETS = 512
 #: Bits of the filter that keeps texts without a partner from being moved: 8 MB whatever the input.
@@ -104,7 +104,7 @@ class Join:
 
     def bitmap(self, s: np.ndarray, band: int) -> np.ndarray:
         """Parities of the shingles that a bit stands for: bits in which two sets differ are shingles that one has alone."""
-        words = max(2, self.apart(2 * self.upper[band]) // 16 + 1)
+        words = max(4, self.apart(2 * self.upper[band]) // 8 + 1)
         n = np.bincount((s % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
         return np.packbits(n.astype(np.uint8)).view(np.int64)
 
@@ -254,8 +254,9 @@ def hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
     return met.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
 
 
-def torn_pairs(rows: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """(a, b): all pairs of different components in a cell whose bitmaps leave room for a link, from blocks of the cell's nodes."""
+def torn_pairs(rows: DataFrame, sets: DataFrame, join: Join, forest: bool) -> DataFrame:
+    """(a, b): pairs of different components in a cell whose bitmaps leave room for a link, from blocks of the cell's nodes:
+    all of them, or a forest that would join all components of a block, which takes the nearest bitmaps first."""
     by = Window.partitionBy("cell").orderBy("node")
     rows = rows.distinct().withColumn("block", F.floor((F.row_number().over(by) - 1) / BLOCK).cast("int"))
     blocks = rows.groupBy("cell").agg(F.max("block").alias("last"))
@@ -273,7 +274,15 @@ def torn_pairs(rows: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
             if i == j:
                 right = right[node[right] > node[x]]
             away = right[root[right] != root[x]]
-            if len(away):
+            if forest:
+                far = np.bitwise_count(bits[right] ^ bits[x]).sum(axis=1)
+                fits = (far <= (den - num) * (n[right] + n[x]) // (den + num)) & (root[right] != root[x])
+                while fits.any():
+                    y = right[fits][far[fits].argmin()]
+                    yield int(node[x]), int(node[y])
+                    root[root == root[y]] = root[x]
+                    fits &= root[right] != root[x]
+            elif len(away):
                 fits = np.bitwise_count(bits[away] ^ bits[x]).sum(axis=1) <= (den - num) * (n[away] + n[x]) // (den + num)
                 yield from ((int(node[x]), int(y)) for y in node[away[fits]])
 
@@ -291,7 +300,7 @@ def torn_pairs(rows: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
             out = []
             for p, q in zip(starts[:whole], ends[:whole], strict=True):
                 bits = np.stack(held[7][p:q]).view(np.uint64)
-                for pair in tile(held[1][p], held[2][p], *[c[p:q] for c in held[3:7]], bits):
+                for pair in tile(held[1][p], held[2][p], *[c[p:q].copy() for c in held[3:7]], bits):
                     if pair not in seen:
                         if len(seen) < CACHED:
                             seen.add(pair)
@@ -317,18 +326,24 @@ def roots_of(docs: DataFrame, join: Join, text: str) -> DataFrame | None:
         return None
     sets, sets_path = written(spark, partners(docs, join, text, met.select("node")), "sets")
     links, roots, paths = None, None, [met_path, sets_path]
-    for turn in range(HUB_ROUNDS + 1):
+    last, turn = HUB_ROUNDS + FOREST_ROUNDS, -1
+    while turn < last:
+        turn += 1
         rows = labelled(met, roots)
-        pairs = torn_pairs(rows, sets, join) if turn == HUB_ROUNDS else bounded(hub_pairs(rows, turn), sets, join)
+        pairs = bounded(hub_pairs(rows, turn), sets, join) if turn < HUB_ROUNDS else torn_pairs(rows, sets, join, turn < last)
         pairs, path = written(spark, pairs, "pairs")
         paths.append(path)
         if pairs.isEmpty():
+            if turn >= HUB_ROUNDS:
+                break  # no two components have a pair that could be linked
             continue
         new, path = written(spark, verified(pairs, sets, join), "links")
         paths.append(path)
         links = new if links is None else links.unionAll(new)
         if not new.isEmpty():
             roots = components(links)
+        elif HUB_ROUNDS <= turn < last - 1:
+            turn = last - 1  # another forest would be the same
     drop(spark, *paths)
     return roots
 
