@@ -1,4 +1,70 @@
 """Queries by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from homolith.operators import curves as c
+from homolith.operators import metrics as m
+from homolith.operators import qc, relations, stats, topology
+
+PCT = qc.feature_pct(qc.COUNTS)
+# The tables here have cells of few genes: the limits of the filter are parameters.
+KEPT = qc.cells(PCT, low=2, mito=60, ribo=5)
+BETTI = c.betti(c.DIAGRAM)
+EULER = c.euler(BETTI)
+LAND = c.landscape(c.DIAGRAM)
+LAND_CURVE = c.landscape_curve(LAND)
+AREA = c.area(LAND_CURVE)
+DRAWS = c.draws(c.DIAGRAM)
+MEANS = c.group_mean(BETTI)
+WASSERSTEIN, EFFECT = stats.wasserstein(MEANS), stats.l2_effect(MEANS)
+PERM = stats.permutation(BETTI)
+TABLE = m.contingency(m.LABELS)
+METRICS = m.metrics(TABLE)
+GROUPS = m.random_groups(m.LABELS)
+BASE = m.baseline(m.LABELS, GROUPS, METRICS)
+
+SQL = [
+    PCT, KEPT, qc.genes(qc.COUNTS, KEPT, 3), qc.samples(KEPT, 20), qc.lognorm(qc.COUNTS), qc.residuals(qc.COUNTS), qc.variable(qc.COUNTS), qc.scaled(qc.COUNTS), qc.centred(qc.COUNTS), qc.constant_metadata(qc.COUNTS), qc.zero_filled(qc.COUNTS),
+    BETTI, EULER, c.consistent(BETTI, EULER), LAND, c.landscape(c.DIAGRAM, level=2, name="landscape_level2"), LAND_CURVE, c.resampled(LAND_CURVE, 50, 120), AREA, c.landscape_distance(LAND), c.bands(BETTI, DRAWS), c.bands(LAND_CURVE, DRAWS, "v", "gi", True, "landscape_bands"),
+    WASSERSTEIN, EFFECT, stats.ks(BETTI), PERM, stats.null_areas(AREA), stats.adjusted(PERM), stats.flat(WASSERSTEIN, EFFECT),
+    TABLE, METRICS, GROUPS, BASE, m.normalised(BASE),
+    relations.broadcast_labels(qc.COUNTS), relations.pending(c.DIAGRAM), relations.wide(WASSERSTEIN, EFFECT), relations.long(WASSERSTEIN), relations.completed(qc.COUNTS), relations.labels(), relations.fill_down(),
+]
+
+
+def points(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select(F.col("label").cast("string").alias("sample"), F.col("vec_id").alias("point_id"), F.col("embedding").alias("vec"))
+
+
+def _h1(spark, sf_dir):
+    return topology.diagrams(points(spark, sf_dir), 1)
+
+
+def _bottleneck(spark, sf_dir):
+    return topology.bottleneck(_h1(spark, sf_dir))
+
+
+def _mnn(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return topology.mutual_neighbours(p.filter("sample = '0'"), p.filter("sample = '1'"))
+
+
+KERNELS = {
+    "h0_mst_deaths": lambda s, d: topology.diagrams(points(s, d), 0),
+    "h1_diagram": _h1,
+    "bottleneck": _bottleneck,
+    "spectral_distance": lambda s, d: topology.spectral_distance(_bottleneck(s, d)),
+    "linkage_merges": lambda s, d: topology.merges(_bottleneck(s, d)),
+    "distance_clusters": lambda s, d: topology.clusters(_bottleneck(s, d), 3),
+    "knn_threshold": lambda s, d: topology.knn_threshold(points(s, d)),
+    "silhouette": lambda s, d: topology.silhouette(points(s, d)),
+    "kmeans": lambda s, d: topology.kmeans(points(s, d), 10),
+    "pca": lambda s, d: topology.pca(points(s, d)),
+    "mnn_integration": _mnn,
+}
+
+QUERIES = {op.name: op.query for op in SQL} | KERNELS
+ORACLES = {op.name: op.oracle() for op in SQL}
