@@ -27,7 +27,7 @@ CELLS, HUB_ROUNDS, FOREST_ROUNDS, BLOCK = 1.3, 1, 3, 1024
 #: Sets that one task compares with a hub.
 HUB_SETS = 512
 #: Bits of the filter that keeps texts without a partner from being moved: 8 MB whatever the input.
-FILTER_BITS = 26
+FILTER_BITS, FILTER_SHIFTS = 26, (0, 19, 38)
 #: Words, and sets of one task, that a worker remembers.
 CACHED = 500_000
 
@@ -109,78 +109,86 @@ class Join:
         return np.packbits(n.astype(np.uint8)).view(np.int64)
 
 
-def features(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
-    """doc_id, n, node (null without words) of every row."""
+def shingled(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
+    """doc_id, n, node (null without words), mark (a hash of the text) of every row; and cells, the cells that the node
+    offers: the one pass that makes the shingles of all texts. A task offers equal sets once; cells are null elsewhere."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
+        known: dict[int, tuple[int, int | None]] = {}
         for b in batches:
-            sets = [join.shingles(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([join.node(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n", "node"])
-
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, node long")
-
+            sizes, nodes, cells, ends = [], [], [], [0]
+            for t, mark in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+                found = known.get(mark)
+                offers = found is None
+                if found is None:
+                    s = join.shingles(t.as_py())
+                    found = (len(s), join.node(s) if len(s) else None)
+                    if len(known) < CACHED:
+                        known[mark] = found
+                    if len(s):
+                        cells.append(join.cells(s))
+                sizes.append(found[0])
+                nodes.append(found[1])
+                ends.append(ends[-1] + (len(cells[-1]) if offers and found[0] else 0))
+            flat = np.concatenate(cells) if cells else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), b.column(2), lists], ["doc_id", "n", "node", "mark", "cells"])
 
-def meetings(docs: DataFrame, join: Join, text: str) -> DataFrame:
-    """(cell, node) of the cells that two nodes or more offer. A task offers equal sets once."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    return rows.mapInArrow(run, f"doc_id {kind}, n long, node long, mark long, cells array<long>")
 
-    def run(batches):
-        seen: set[int] = set()
-        for b in batches:
-            nodes, cells = [], []
-            for t in b.column(0):
-                s = join.shingles(t.as_py())
-                if len(s) and (node := join.node(s)) not in seen:
-                    if len(seen) < CACHED:
-                        seen.add(node)
-                    nodes.append(node)
-                    cells.append(join.cells(s))
-            ends = np.cumsum([0] + [len(c) for c in cells]).astype(np.int32)
-            flat = np.concatenate(cells) if cells else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat))], ["node", "cells"])
 
-    offered = docs.select(F.col(text).alias("text")).mapInArrow(run, "node long, cells array<long>").select(F.explode("cells").alias("cell"), "node")
+def meetings(found: DataFrame) -> DataFrame:
+    """(cell, node) of the cells that two nodes or more offer."""
+    offered = found.select(F.explode("cells").alias("cell"), "node")
     by = Window.partitionBy("cell")
     return offered.withColumn("least", F.min("node").over(by)).withColumn("most", F.max("node").over(by)).filter("least < most").select("cell", "node")
 
 
-def filter_of(nodes: DataFrame) -> np.ndarray:
-    """A bit set of fixed size that has three bits of each node: at most 2^20 rows of two numbers reach the driver."""
+def filter_of(marks: DataFrame) -> np.ndarray:
+    """A bit set of fixed size that has three bits of each mark: at most 2^20 rows of two numbers reach the driver."""
     mask = (1 << FILTER_BITS) - 1
-    bit = F.explode(F.array(*[F.shiftrightunsigned("node", s).bitwiseAND(mask) for s in (0, 19, 38)])).alias("bit")
-    rows = nodes.select(bit).groupBy((F.shiftright("bit", 6)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("v")).toArrow()
+    bit = F.explode(F.array(*[F.shiftrightunsigned("mark", s).bitwiseAND(mask) for s in FILTER_SHIFTS])).alias("bit")
+    rows = marks.select(bit).groupBy((F.shiftright("bit", 6)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("v")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
     out[rows["w"].to_numpy()] = rows["v"].to_numpy()
     return out.view(np.uint64)
 
 
-def partners(docs: DataFrame, join: Join, text: str, nodes: DataFrame) -> DataFrame:
-    """node, n, band, own and next (bitmaps for the set's band and the next), text: a row for each of the nodes."""
+def partners(docs: DataFrame, join: Join, text: str, found: DataFrame, met: DataFrame) -> DataFrame:
+    """node, n, band, own and next (bitmaps for the set's band and the next), text: a row for each node that meets another.
+
+    Only texts whose marks pass the filter of such nodes' texts are split into shingles again, and moved."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(filter_of(nodes))
-    mask = (1 << FILTER_BITS) - 1
+    marks = found.filter("node IS NOT NULL").join(met.select("node").distinct(), "node", "left_semi").select("mark")
+    bits = spark.sparkContext.broadcast(filter_of(marks))
+    mask = np.uint64((1 << FILTER_BITS) - 1)
 
     def run(batches):
         seen: set[int] = set()
         held = bits.value
         for b in batches:
+            marks = b.column(1).to_numpy()
+            at = [(marks.view(np.uint64) >> np.uint64(shift)) & mask for shift in FILTER_SHIFTS]
+            passed = np.logical_and.reduce([held[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1) for p in at])
             rows = []
-            for t in b.column(0):
-                t = t.as_py()
-                s = join.shingles(t)
-                if not len(s) or (node := join.node(s)) in seen:
+            for i in np.flatnonzero(passed).tolist():
+                mark, t = int(marks[i]), b.column(0)[i].as_py()
+                if mark in seen:
                     continue
-                if all(int(held[p >> 6]) >> (p & 63) & 1 for p in ((node & ((1 << 64) - 1)) >> shift & mask for shift in (0, 19, 38))):
-                    if len(seen) < CACHED:
-                        seen.add(node)
+                if len(seen) < CACHED:
+                    seen.add(mark)
+                s = join.shingles(t)
+                if len(s):
                     band = join.band(len(s))
-                    rows.append((node, len(s), band, join.bitmap(s, band).tolist(), join.bitmap(s, band + 1).tolist(), t))
+                    rows.append((join.node(s), len(s), band, join.bitmap(s, band).tolist(), join.bitmap(s, band + 1).tolist(), t))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["node", "n", "band", "own", "next", "text"])
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "node long, n long, band int, own array<long>, next array<long>, text string")
-    return found.dropDuplicates(["node"])
+    rows = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    return rows.mapInArrow(run, "node long, n long, band int, own array<long>, next array<long>, text string").dropDuplicates(["node"])
 
 
 def bounded(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -317,14 +325,14 @@ def _with_end(batches):
     yield None
 
 
-def roots_of(docs: DataFrame, join: Join, text: str) -> DataFrame | None:
+def roots_of(docs: DataFrame, join: Join, text: str, found: DataFrame) -> DataFrame | None:
     """(node, root) of the nodes with links; None if there are none."""
     spark = docs.sparkSession
-    met, met_path = written(spark, meetings(docs, join, text), "met")
+    met, met_path = written(spark, meetings(found), "met")
     if met.isEmpty():
         drop(spark, met_path)
         return None
-    sets, sets_path = written(spark, partners(docs, join, text, met.select("node")), "sets")
+    sets, sets_path = written(spark, partners(docs, join, text, found, met), "sets")
     links, roots, paths = None, None, [met_path, sets_path]
     last, turn = HUB_ROUNDS + FOREST_ROUNDS, -1
     while turn < last:
@@ -358,8 +366,9 @@ def linked(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, key:
     spark = docs.sparkSession
     small_batches(spark)
     join = Join(words, num, den)
-    found, _ = written(spark, features(docs, join, key, text), "shingled")
-    roots = roots_of(docs, join, text)
+    found, _ = written(spark, shingled(docs, join, key, text), "shingled")
+    roots = roots_of(docs, join, text, found)
+    found = found.select("doc_id", "n", "node")
     found = found.withColumn("root", F.col("node")) if roots is None else found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = found.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
