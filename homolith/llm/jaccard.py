@@ -246,6 +246,18 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
+def widened(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) once more links are known: the components so far are the nodes of what the new links join."""
+    if roots is None:
+        return components(links)
+    for c in ("a", "b"):
+        links = links.join(roots.select(F.col("node").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).select("a", "b")
+    more = components(links)
+    moved = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    first = more.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    return written(links.sparkSession, moved.unionByName(first), "roots")[0]
+
+
 def labelled(met: DataFrame, roots: DataFrame | None) -> DataFrame:
     """(cell, node, root) of the cells whose nodes are not all in one component yet."""
     rows = met.withColumn("root", F.col("node")) if roots is None else met.join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root"))
@@ -333,7 +345,7 @@ def roots_of(docs: DataFrame, join: Join, text: str, found: DataFrame) -> DataFr
         drop(spark, met_path)
         return None
     sets, sets_path = written(spark, partners(docs, join, text, found, met), "sets")
-    links, roots, paths = None, None, [met_path, sets_path]
+    roots, paths = None, [met_path, sets_path]
     last, turn = HUB_ROUNDS + FOREST_ROUNDS, -1
     while turn < last:
         turn += 1
@@ -347,9 +359,8 @@ def roots_of(docs: DataFrame, join: Join, text: str, found: DataFrame) -> DataFr
             continue
         new, path = written(spark, verified(pairs, sets, join), "links")
         paths.append(path)
-        links = new if links is None else links.unionAll(new)
         if not new.isEmpty():
-            roots = components(links)
+            roots = widened(roots, new)
         elif HUB_ROUNDS <= turn < last - 1:
             turn = last - 1  # another forest would be the same
     drop(spark, *paths)
