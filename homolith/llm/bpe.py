@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
 from array import array
 
 import numpy as np
@@ -13,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, tidy
 
 #: Unicode White_Space, what the tokenizer's pattern takes for white space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 FRAGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Fragments that a worker keeps; a full cache starts anew. Longer fragments are not kept.
-CACHED, CACHED_CHARS = 800_000, 64
+CACHED, CACHED_CHARS = 300_000, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -147,12 +146,15 @@ def tokens(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
                 digest.append(hashlib.sha256(e).hexdigest())
                 back.append(hashlib.sha256(c.decode(e).encode()).hexdigest())
                 if ids:
-                    raw.append(list(struct.unpack(f"<{len(e) // 4}I", e)))
+                    raw.append(e)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(raw, pa.list_(pa.int32()))] if ids else []), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
+            if ids:
+                ends = pa.array(np.cumsum([0, *n]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(raw), "<i4"), pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,29 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def release() -> None:
+    """Gives memory that the allocators keep for later back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """run, a function of a task's batches, that releases memory now and then and at its end: Python workers outlive a
+    task, and what one stage's workers keep would stand beside what the next stage needs."""
+
+    def tidied(batches):
+        for n, out in enumerate(run(batches)):
+            yield out
+            del out
+            if n % 32 == 31:
+                release()
+        release()
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop, small_batches, table, written
+from .common import drop, small_batches, table, tidy, written
 
 #: Cells for each that a set offers; rounds with a hub for each tile, and with a forest of likely links, before the last; sets of a block.
 CELLS, HUB_ROUNDS, FOREST_ROUNDS, BLOCK = 1.3, 1, 3, 1024
@@ -29,7 +29,7 @@ HUB_SETS = 512
 #: Bits of the filter that keeps texts without a partner from being moved: 8 MB whatever the input.
 FILTER_BITS, FILTER_SHIFTS = 26, (0, 19, 38)
 #: Words, and sets of one task, that a worker remembers.
-CACHED = 500_000
+CACHED = 200_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -136,7 +136,7 @@ def shingled(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), b.column(2), lists], ["doc_id", "n", "node", "mark", "cells"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n long, node long, mark long, cells array<long>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n long, node long, mark long, cells array<long>")
 
 
 def meetings(found: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def partners(docs: DataFrame, join: Join, text: str, found: DataFrame, met: Data
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["node", "n", "band", "own", "next", "text"])
 
     rows = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
-    return rows.mapInArrow(run, "node long, n long, band int, own array<long>, next array<long>, text string").dropDuplicates(["node"])
+    return rows.mapInArrow(tidy(run), "node long, n long, band int, own array<long>, next array<long>, text string").dropDuplicates(["node"])
 
 
 def bounded(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -222,7 +222,7 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
                     rows.append((a.as_py(), b.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -329,7 +329,7 @@ def torn_pairs(rows: DataFrame, sets: DataFrame, join: Join, forest: bool) -> Da
                 held = [c[ends[whole - 1] :] for c in held]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _with_end(batches):
