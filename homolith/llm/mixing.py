@@ -60,8 +60,9 @@ def planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     # Counted once: the sums and the plan read this narrow table.
     sizes = with_size(docs.select(key, source, text), text).select(F.col(key).alias("doc_id"), F.col(source).alias("source"), "size")
     sizes, _ = written(spark, sizes, "mix")
-    targets = source_targets(sizes, weights=weights, most=most).withColumnRenamed("source", "__mix_source")
-    # The planner broadcasts the targets if they turn out small; else AQE splits a hot source.
+    targets, _ = written(spark, source_targets(sizes, weights=weights, most=most).withColumnRenamed("source", "__mix_source"), "mix-targets")
+    # The size of a written table is known before the join: small targets are broadcast and no document is moved; else AQE
+    # splits a hot source.
     out = sizes.join(targets, F.col("source").eqNullSafe(F.col("__mix_source")), "left").drop("__mix_source")
     return with_copies(out, F.col("doc_id"), seed)
 
@@ -78,6 +79,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     spark = docs.sparkSession
     sizes, _ = written(spark, with_size(docs.select(source, text), text, "size").select(F.col(source).alias("source"), "size"), "mix")
     rates = source_targets(sizes, weights=weights, most=most).select(F.col("source").alias("__mix_source"), F.col("source_size").alias("__mix_size"), F.col("target").alias("__mix_target"))
+    rates, _ = written(spark, rates, "mix-targets")
     joined = docs.join(rates, F.col(source).eqNullSafe(F.col("__mix_source")), "left")
     rate = F.when(F.col("__mix_size") > 0, F.col("__mix_target") / F.col("__mix_size")).otherwise(F.lit(1.0))
     copies = F.floor(rate).cast("int") + (unit_draw(seed, F.col(key)) < rate - F.floor(rate)).cast("int")
