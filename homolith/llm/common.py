@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: ASCII white space that ends a word: x20 and x09 to x0D.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+#: Spark's setting that removes shuffle files at the end of a query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: list[str] = []
 
 
@@ -32,9 +35,20 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def written(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """df written to the shared folder and read back, which cuts its lineage; and its path, for drop()."""
+    """df written to the shared folder and read back, which cuts its lineage; and its path, for drop().
+
+    What it shuffled is removed at once: no later plan reads it (a task that is lost before then still finds it, or has
+    its stage run again)."""
     path = new_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -337,10 +337,9 @@ def _with_end(batches):
     yield None
 
 
-def roots_of(docs: DataFrame, join: Join, text: str, found: DataFrame) -> DataFrame | None:
-    """(node, root) of the nodes with links; None if there are none."""
+def roots_of(docs: DataFrame, join: Join, text: str, found: DataFrame, met: DataFrame, met_path: str) -> DataFrame | None:
+    """(node, root) of the nodes with links; None if there are none. `met` is dropped."""
     spark = docs.sparkSession
-    met, met_path = written(spark, meetings(found), "met")
     if met.isEmpty():
         drop(spark, met_path)
         return None
@@ -377,8 +376,12 @@ def linked(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, key:
     spark = docs.sparkSession
     small_batches(spark)
     join = Join(words, num, den)
-    found, _ = written(spark, shingled(docs, join, key, text), "shingled")
-    roots = roots_of(docs, join, text, found)
+    wide, wide_path = written(spark, shingled(docs, join, key, text), "shingled")
+    met, met_path = written(spark, meetings(wide), "met")
+    # The cells are most of that table and not read again.
+    found, _ = written(spark, wide.select("doc_id", "n", "node", "mark"), "sizes")
+    drop(spark, wide_path)
+    roots = roots_of(docs, join, text, found, met, met_path)
     found = found.select("doc_id", "n", "node")
     found = found.withColumn("root", F.col("node")) if roots is None else found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = found.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
