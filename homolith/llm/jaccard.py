@@ -366,41 +366,46 @@ def roots_of(docs: DataFrame, join: Join, text: str, found: DataFrame, met: Data
     return roots
 
 
-def linked(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the smallest id that links reach), node.
-
-    Null and empty texts, and those without words, have no shingles and only themselves. Rows with equal sets are one
-    class; repeated rows belong to it each. Null ids are passed over where others are in the component. Links are exact,
-    but for 64-bit hashes of shingles and sets. Other columns are not read.
-    """
+def rooted(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
+    """doc_id, n, node, mark and root (a name of the component; null without words) of every row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    join = Join(words, num, den)
     wide, wide_path = written(spark, shingled(docs, join, key, text), "shingled")
     met, met_path = written(spark, meetings(wide), "met")
     # The cells are most of that table and not read again.
     found, _ = written(spark, wide.select("doc_id", "n", "node", "mark"), "sizes")
     drop(spark, wide_path)
     roots = roots_of(docs, join, text, found, met, met_path)
-    found = found.select("doc_id", "n", "node")
-    found = found.withColumn("root", F.col("node")) if roots is None else found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return found.withColumn("root", F.col("node")) if roots is None else found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("doc_id", "n", "node", "mark", "root")
+
+
+def linked(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (the smallest id that links reach), node.
+
+    Null and empty texts, and those without words, have no shingles and only themselves. Rows with equal sets are one
+    class; repeated rows belong to it each. Null ids are passed over where others are in the component. Links are exact,
+    but for 64-bit hashes of shingles and sets. Other columns are not read.
+    """
+    found = rooted(docs, Join(words, num, den), key, text)
     least = found.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with docs' columns, of the smallest id of each component; one row where rows repeat.
+    """One row of docs, with docs' columns, of each component: one of the smallest id, a null id if there are no others.
 
-    Texts without words stay. Only rows whose class has another row are compared once more by their own set.
+    Rows are told apart by id and text, not by id alone: ids may be null, or repeat with other texts. Texts without words
+    stay. Only rows whose id and text repeat are compared once more by their own set.
     """
     spark = docs.sparkSession
-    classes, _ = written(spark, linked(docs, words, num, den, key, text), "classes")
-    sizes = classes.filter("n_shingles > 0").groupBy("component_id").agg(F.count("*").alias("__jac_n")).filter("__jac_n > 1")
-    shared = classes.join(sizes.select("component_id"), "component_id").select(F.col("doc_id").alias("__jac_id"), "component_id")
-    # Ids that go, and ids of which one of several rows stays.
-    again = shared.groupBy("__jac_id").agg(F.count("*").alias("__jac_n"), F.max((~F.col("__jac_id").eqNullSafe(F.col("component_id"))).cast("int")).alias("__jac_out"))
-    marked, _ = written(spark, again.filter("__jac_n > 1 OR __jac_out = 1"), "marked")
-    out = docs.join(marked, F.col(key).eqNullSafe(F.col("__jac_id")), "left").filter("__jac_out IS NULL OR __jac_out = 0")
+    rows, _ = written(spark, rooted(docs, Join(words, num, den), key, text).filter("root IS NOT NULL").select("doc_id", "mark", "root"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    shared = rows.groupBy("root").agg(F.count("*").alias("n"), first).filter("n > 1").drop("n")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    # Ids and texts that go, and those of which one of several rows stays.
+    again = rows.join(shared, "root").groupBy(F.col("doc_id").alias("__jac_id"), F.col("mark").alias("__jac_mark")).agg(F.count("*").alias("__jac_n"), F.max((~stays).cast("int")).alias("__jac_out"))
+    marked, _ = written(spark, again.filter("__jac_n > 1 OR __jac_out = 1").drop("__jac_n"), "marked")
+    out = docs.join(marked, F.col(key).eqNullSafe(F.col("__jac_id")) & (F.xxhash64(text) == F.col("__jac_mark")), "left").filter("__jac_out IS NULL OR __jac_out = 0")
     if marked.filter("__jac_out = 0").isEmpty():
         return out.select(*docs.columns)
     once = out.filter("__jac_out = 0").select(*docs.columns).dropDuplicates([key, text])
