@@ -6,7 +6,8 @@ band, at most `apart` shingles are in one set alone, so of more than `apart` cel
 both. Each set offers the apart + 1 cells that hold most (a prefix in an order that is the same for all sets, so two such
 sets still share one), for its own band and the next. Only sets that share a cell meet, their bitmaps bound the overlap
 from above, and what passes is intersected exactly. Sets in one component by then need no comparison; the last round
-compares all that share a cell and are still apart, so no link between components is missed.
+compares all that share a cell and are still apart, so no link between components is missed. Links are counted after that,
+over all pairs of each component.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .common import drop, small_batches, table, tidy, written
 
 #: Cells for each that a set offers; rounds with a hub for each tile, and with a forest of likely links, before the last; sets of a block.
 CELLS, HUB_ROUNDS, FOREST_ROUNDS, BLOCK = 1.3, 1, 3, 1024
-#: Sets that one task compares with a hub.
-HUB_SETS = 512
+#: Sets that one task compares with a hub; sets of a block when a component's links are counted.
+HUB_SETS, LINK_BLOCK = 512, 128
 #: Bits of the filter that keeps texts without a partner from being moved: 8 MB whatever the input.
 FILTER_BITS, FILTER_SHIFTS = 26, (0, 19, 38)
 #: Words, and sets of one task, that a worker remembers.
@@ -337,14 +338,14 @@ def _with_end(batches):
     yield None
 
 
-def roots_of(docs: DataFrame, join: Join, text: str, found: DataFrame, met: DataFrame, met_path: str) -> DataFrame | None:
-    """(node, root) of the nodes with links; None if there are none. `met` is dropped."""
+def roots_of(docs: DataFrame, join: Join, text: str, found: DataFrame, met: DataFrame, met_path: str) -> tuple[DataFrame | None, DataFrame | None, str | None]:
+    """(node, root) of the nodes with links, None if there are none; the sets that met, with their path. `met` is dropped."""
     spark = docs.sparkSession
     if met.isEmpty():
         drop(spark, met_path)
-        return None
+        return None, None, None
     sets, sets_path = written(spark, partners(docs, join, text, found, met), "sets")
-    roots, paths = None, [met_path, sets_path]
+    roots, paths = None, [met_path]
     last, turn = HUB_ROUNDS + FOREST_ROUNDS, -1
     while turn < last:
         turn += 1
@@ -363,11 +364,57 @@ def roots_of(docs: DataFrame, join: Join, text: str, found: DataFrame, met: Data
         elif HUB_ROUNDS <= turn < last - 1:
             turn = last - 1  # another forest would be the same
     drop(spark, *paths)
-    return roots
+    return roots, sets, sets_path
 
 
-def rooted(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
-    """doc_id, n, node, mark and root (a name of the component; null without words) of every row of docs."""
+def link_counts(found: DataFrame, roots: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """(node, links): rows of other nodes that a node is linked with. Both ends of a link are in one component, so all pairs
+    of a component's sets are compared exactly, block by block: the tiles of a component of n sets are (n / LINK_BLOCK)^2 / 2."""
+    rows = found.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("rows"))
+    by = Window.partitionBy("root").orderBy("node")
+    placed = roots.withColumn("block", F.floor((F.row_number().over(by) - 1) / LINK_BLOCK).cast("int"))
+    blocks = placed.groupBy("root").agg(F.max("block").alias("last"))
+    other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
+    tiles = placed.join(rows, "node").join(blocks, "root").select("*", other).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "rows")
+    dealt = tiles.join(sets.select("node", "text"), "node").select("root", "i", "j", "block", "node", "rows", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "block")
+
+    def counted(i: int, j: int, block: list[int], rows: list[int], held: list[np.ndarray]) -> np.ndarray:
+        """Linked rows of each set of one tile."""
+        sizes, weight, block = np.array([len(s) for s in held]), np.array(rows), np.array(block)
+        every, at = np.unique(np.concatenate(held), return_inverse=True)
+        ends = np.cumsum(sizes)
+        own, out = np.zeros(len(every), bool), np.zeros(len(held), np.int64)
+        right = int(np.searchsorted(block, j)) if i != j else 0
+        for x in range(right if i != j else len(held) - 1):
+            first = right if i != j else x + 1
+            own[at[ends[x] - sizes[x] : ends[x]]] = True
+            common = np.add.reduceat(own[at[ends[first] - sizes[first] :]], ends[first:] - sizes[first:] - (ends[first] - sizes[first]), dtype=np.int64)
+            own[at[ends[x] - sizes[x] : ends[x]]] = False
+            fits = join.den * common >= join.num * (sizes[first:] + sizes[x] - common)
+            out[x] += weight[first:][fits].sum()
+            out[first:][fits] += weight[x]
+        return out
+
+    def run(batches):
+        tile, rows = None, []
+        for batch in _with_end(batches):
+            done: list[tuple[int, int]] = []
+            for key in [None] if batch is None else zip(*[c.to_pylist() for c in batch.columns[:6]], batch.column(6), strict=True):
+                if rows and (key is None or key[:3] != tile):
+                    block, nodes, weights, held = zip(*rows, strict=True)
+                    done += [(n, int(v)) for n, v in zip(nodes, counted(tile[1], tile[2], block, weights, held), strict=True) if v]
+                    rows = []
+                if key is not None:
+                    tile = key[:3]
+                    rows.append((key[3], key[4], key[5], join.shingles(key[6].as_py())))
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.int64()) for k in (0, 1)], ["node", "links"])
+
+    return dealt.mapInArrow(tidy(run), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def rooted(docs: DataFrame, join: Join, key: str, text: str, count: bool = False) -> DataFrame:
+    """doc_id, n, node, mark and root (a name of the component; null without words) of every row of docs; if asked, n_links,
+    the number of other rows that the row is linked with."""
     spark = docs.sparkSession
     small_batches(spark)
     wide, wide_path = written(spark, shingled(docs, join, key, text), "shingled")
@@ -375,20 +422,31 @@ def rooted(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
     # The cells are most of that table and not read again.
     found, _ = written(spark, wide.select("doc_id", "n", "node", "mark"), "sizes")
     drop(spark, wide_path)
-    roots = roots_of(docs, join, text, found, met, met_path)
-    return found.withColumn("root", F.col("node")) if roots is None else found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("doc_id", "n", "node", "mark", "root")
+    roots, sets, sets_path = roots_of(docs, join, text, found, met, met_path)
+    names = ["doc_id", "n", "node", "mark", "root"]
+    out = found.withColumn("root", F.col("node")) if roots is None else found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select(*names)
+    if count:
+        same = found.filter("node IS NOT NULL").groupBy("node").agg((F.count("*") - 1).alias("n_links"))
+        if roots is not None:
+            links, _ = written(spark, link_counts(found, roots, sets, join), "link-counts")
+            same = same.join(links, "node", "left").select("node", (F.col("n_links") + F.coalesce("links", F.lit(0))).alias("n_links"))
+        out = out.join(same.filter("n_links > 0"), "node", "left").select(*names, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    if sets_path:
+        drop(spark, sets_path)
+    return out
 
 
 def linked(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the smallest id that links reach), node.
+    """Per row of docs: doc_id, n_shingles, component_id (the smallest id that links reach), node, n_links (the other rows it
+    is linked with, counted over all pairs; rows with equal sets are linked).
 
     Null and empty texts, and those without words, have no shingles and only themselves. Rows with equal sets are one
     class; repeated rows belong to it each. Null ids are passed over where others are in the component. Links are exact,
     but for 64-bit hashes of shingles and sets. Other columns are not read.
     """
-    found = rooted(docs, Join(words, num, den), key, text)
+    found = rooted(docs, Join(words, num, den), key, text, count=True)
     least = found.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    return found.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "n_links")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -57,6 +57,21 @@ def test_jaccard(spark, k, num):
     assert jaccard.linked(empty(spark), k, num).count() == 0
 
 
+def test_jaccard_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LINK_BLOCK", 7)
+    draw = random.Random(8)
+    rows, base = list(ODD), [[f"{c}{i}" for i in range(60)] for c in "abc"]
+    for i in range(90):
+        w = list(draw.choice(base))
+        for _ in range(draw.choice((0, 0, 1, 1, 2))):
+            w[draw.randrange(len(w))] = "Z" + str(draw.randint(0, 9))
+        rows.append((100 + i, " ".join(w)))
+    sets = [{tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))} if (w := (t or "").encode().lower().split()) else set() for _, t in rows]
+    want = sorted(((rows[a][0], sum(a != b and bool(x) and 100 * len(x & y) >= 90 * len(x | y) for b, y in enumerate(sets))) for a, x in enumerate(sets)), key=repr)
+    assert sorted(((r["doc_id"], r["n_links"]) for r in jaccard.linked(odd(spark, rows)).collect()), key=repr) == want
+    assert max(n for _, n in want) > 14
+
+
 def test_one_of_each_by_row(spark):
     text = lambda c: " ".join(f"{c}{i}" for i in range(40))
     near = lambda c: text(c) + " more"
