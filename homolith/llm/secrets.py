@@ -20,9 +20,8 @@ ASSIGN = re.compile("(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() el
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]+")
 HEX_LONG = re.compile("[0-9a-f]{24,}")
-#: What the models judge: runs of these characters, of this many and no more than MOST_JUDGED (a longer run is a payload, not a key).
-CANDIDATE = re.compile("[A-Za-z0-9+/_=-]{20,}")
-MOST_JUDGED = 400
+#: What the models judge: runs of these characters, of as many as the shortest random string that they are trained on.
+CANDIDATE = re.compile("[A-Za-z0-9+/_=-]{16,}")
 #: Log-likelihood ratio per character above which a candidate is taken for random.
 THRESHOLD = 0.7
 #: Training samples: so many documents with the smallest hashes at most, and so many random strings.
@@ -79,6 +78,12 @@ def random_strings(n: int = TRAIN_RANDOM, seed: int = SEED) -> list[str]:
 IDENTIFIER = re.compile("[A-Za-z][A-Za-z0-9_-]{2,40}")
 
 
+def numbers(n: int = TRAIN_RANDOM, seed: int = SEED) -> list[str]:
+    """Labelled samples of the other class beside identifiers: long numbers (cards, accounts), even draws but no keys."""
+    draw = random.Random(seed)
+    return ["".join(draw.choices(string.digits, k=draw.randint(4, 24))) for _ in range(n)]
+
+
 def ordinary(texts, most: int = 60_000) -> list[str]:
     """Labelled samples of the other class: words and identifiers outside of the spans that the patterns find, joined as identifiers join them."""
     words: set[str] = set()
@@ -101,15 +106,15 @@ def train(docs: DataFrame, text: str = "text", sample: int = TRAIN_DOCS) -> tupl
     texts = docs.select(F.col(text).alias("t")).filter(F.length("t") <= 20_000).select("t", F.xxhash64("t").alias("h"))
     few = F.broadcast(texts.select("h").distinct().orderBy("h").limit(sample))
     fit = texts.join(few, "h").dropDuplicates(["h"]).orderBy("h")
-    return Markov(random_strings()), Markov(ordinary(r["t"] for r in fit.toLocalIterator()) or ["the"])
+    return Markov(random_strings()), Markov((ordinary(r["t"] for r in fit.toLocalIterator()) or ["the"]) + numbers())
 
 
 def model_spans(text: str, taken: list[tuple[int, int, int]], models: tuple[Markov, Markov], threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """Candidates that touch no base span, mix letters and digits, and look random."""
+    """Candidates of any length that touch no base span and look random by their likelihood ratio per character."""
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if len(s) > MOST_JUDGED or s.isalpha() or not any(c.isdigit() for c in s) or any(a < m.end() and m.start() < b for a, _, b in taken):
+        if any(a < m.end() and m.start() < b for a, _, b in taken):
             continue
         if (models[0].loglik(s) - models[1].loglik(s)) / len(s) > threshold:
             out.append((m.start(), 3, m.end()))

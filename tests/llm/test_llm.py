@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
+import string
 import struct
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from homolith.llm import ann, bpe, flac, jaccard, mixing, pii, secrets, toxicity, urlfilter, warc
@@ -96,6 +98,17 @@ def test_secrets(spark):
     assert models[0].loglik("identifier") < models[1].loglik("identifier")
 
 
+def test_secrets_of_any_length():
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()
+    models = (secrets.Markov(secrets.random_strings()), secrets.Markov(secrets.ordinary(t or "" for t in texts) + secrets.numbers()))
+    draw = random.Random(9)
+    key = lambda n, chars=secrets.Markov.ALPHABET[:62]: "".join(draw.choices(chars, k=n))
+    for s in (key(1600), key(401), key(40, secrets.Markov.ALPHABET[:52]), key(17, string.ascii_uppercase + string.digits)):
+        assert secrets.model_spans(f"see {s} here", [], models) == [(4, 3, 4 + len(s))]
+    for s in ("4012888888881881", "internationalization", "counter_value_identifier"):
+        assert secrets.model_spans(f"see {s} here", [], models) == []
+
+
 def test_ann(spark):
     draw = np.random.default_rng(0)
     x = np.concatenate([draw.normal(size=(600, 16)), np.repeat(draw.normal(size=(1, 16)), 60, axis=0)])
