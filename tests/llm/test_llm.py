@@ -258,3 +258,15 @@ def test_toxicity(spark):
     none = toxicity.train(docs, lab.limit(0))
     assert {r["score"] for r in toxicity.scored(docs, none).collect()} == {0.5}
     assert toxicity.scored(empty(spark), none).count() == 0
+
+
+def test_toxicity_reads_whole_runs():
+    run = "\u5929\u5730\u4eba" * 30
+    assert len(toxicity.grams(run + "\u60e1\u9b3c")) == len(run) + 3
+    given = {w: (0, 9) for w in ("\u60e1\u9b3c", run + "\u60e1\u9b3c")} | {w: (9, 0) for w in (run, "\u5929\u5730")}
+    for w, n in list(given.items()):
+        for g in toxicity.grams(w):
+            old = given.get("\t" + g, (0, 0))
+            given["\t" + g] = (old[0] + n[0], old[1] + n[1])
+    m = toxicity.Model(given)
+    assert m.word("\u5730" + run + "\u60e1\u9b3c") > m.word("\u5730" + run + "\u5929\u5730") + 1
