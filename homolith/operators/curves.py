@@ -16,7 +16,7 @@ SELECT sample, dim, feature_id, least(value, next) AS birth, greatest(value, nex
 WHERE next IS NOT NULL AND value <> next""")
 
 
-def betti(pd: Op, grid: int = 50, sigma: float = SIGMA, name="betti_curve") -> Op:
+def betti(pd: Op, grid: int = GRID, sigma: float = SIGMA, name="betti_curve") -> Op:
     """Sum over a dimension's intervals of persistence times a normal density at the middle, as wide as half the interval or
     sigma; and that divided by its sum over the grid (0 where that is 0). The grid runs to the largest finite death, or 1."""
     return Op(name, f"""
@@ -43,7 +43,7 @@ SELECT e.sample, e.gi, abs(e.raw - b.raw) < 1e-5 AS consistent FROM {euler} e JO
   (SELECT sample, gi, sum(CASE WHEN dim % 2 = 0 THEN raw ELSE -raw END) AS raw FROM {curves} GROUP BY sample, gi) b ON e.sample = b.sample AND e.gi = b.gi""", curves=curves, euler=euler_curve)
 
 
-def landscape(pd: Op, grid: int = 50, t_max: float = 1.0, level: int = 1, name="landscape") -> Op:
+def landscape(pd: Op, grid: int = LANDSCAPE_GRID, t_max: float = 1.0, level: int = 1, name="landscape") -> Op:
     """The level-th largest tent value over a dimension's intervals, at points of [0, t_max]; 0 without intervals."""
     return Op(name, f"""
 WITH g AS (SELECT gi, gi * {t_max:e} / {grid - 1:e} AS t FROM {numbers(grid)} n), s AS (SELECT DISTINCT sample, dim FROM {{pd}}),
@@ -77,7 +77,7 @@ def landscape_distance(land: Op, name="landscape_distance") -> Op:
 GROUP = "split_part(sample, '_', 1)"
 
 
-def draws(samples_of: Op, resamples: int = 20, seed: int = SEED, name="draws") -> Op:
+def draws(samples_of: Op, resamples: int = RESAMPLES, seed: int = SEED, name="draws") -> Op:
     """Resamples with replacement in each group: slot by slot a sample, by a hash of seed, rep and slot."""
     return Op(name, f"""
 WITH s AS (SELECT DISTINCT sample FROM {{of}}), o AS (SELECT sample, {GROUP} AS grp, row_number() OVER (PARTITION BY {GROUP} ORDER BY sample) - 1 AS slot, count(*) OVER (PARTITION BY {GROUP}) AS n FROM s),

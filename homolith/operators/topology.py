@@ -134,7 +134,7 @@ def silhouette(points: DataFrame) -> DataFrame:
     return each.groupBy("s").agg(F.count("*").alias("points"), F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette")).withColumnRenamed("s", "sample")
 
 
-def kmeans(points: DataFrame, k: int, starts: int = 3, seed: int = 1) -> DataFrame:
+def kmeans(points: DataFrame, k: int, starts: int = 25, seed: int = 1) -> DataFrame:
     """point_id, label: the best of some k-means runs by cost."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector

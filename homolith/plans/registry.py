@@ -27,7 +27,7 @@ BASE = m.baseline(m.LABELS, GROUPS, METRICS)
 
 SQL = [
     PCT, KEPT, qc.genes(qc.COUNTS, KEPT, 3), qc.samples(KEPT, 20), qc.lognorm(qc.COUNTS), qc.residuals(qc.COUNTS), qc.variable(qc.COUNTS), qc.scaled(qc.COUNTS), qc.centred(qc.COUNTS), qc.constant_metadata(qc.COUNTS), qc.zero_filled(qc.COUNTS),
-    BETTI, EULER, c.consistent(BETTI, EULER), LAND, c.landscape(c.DIAGRAM, level=2, name="landscape_level2"), LAND_CURVE, c.resampled(LAND_CURVE, 50, 120), AREA, c.landscape_distance(LAND), c.bands(BETTI, DRAWS), c.bands(LAND_CURVE, DRAWS, "v", "gi", True, "landscape_bands"),
+    BETTI, EULER, c.consistent(BETTI, EULER), LAND, c.landscape(c.DIAGRAM, level=2, name="landscape_level2"), LAND_CURVE, c.resampled(LAND_CURVE, c.LANDSCAPE_GRID, 120), AREA, c.landscape_distance(LAND), c.bands(BETTI, DRAWS), c.bands(LAND_CURVE, DRAWS, "v", "gi", True, "landscape_bands"),
     WASSERSTEIN, EFFECT, stats.ks(BETTI), PERM, stats.null_areas(AREA), stats.adjusted(PERM), stats.flat(WASSERSTEIN, EFFECT),
     TABLE, METRICS, GROUPS, BASE, m.normalised(BASE),
     relations.broadcast_labels(qc.COUNTS), relations.pending(c.DIAGRAM), relations.wide(WASSERSTEIN, EFFECT), relations.long(WASSERSTEIN), relations.completed(qc.COUNTS), relations.labels(), relations.fill_down(),

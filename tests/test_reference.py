@@ -85,6 +85,19 @@ def test_against_sql(spark, name):
     assert key(tuple(x[n] for n in names) for x in df.collect()) == key(r.fetchall())
 
 
+def test_sizes_of_the_survey():
+    import inspect
+
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    one = lambda what, name: c.execute(f"SELECT {what} FROM ({registry.ORACLES[name]}) q").fetchone()[0]
+    assert one("count(DISTINCT gi)", "betti_curve") == 500
+    assert one("count(DISTINCT gi)", "landscape") == 100 and one("max(gi)", "landscape_resampled") == 119
+    assert c.execute(f"SELECT count(DISTINCT rep) FROM ({registry.DRAWS.oracle()}) q").fetchone()[0] == 100
+    assert inspect.signature(topology.kmeans).parameters["starts"].default == 25
+
+
 def test_sources(spark, tmp_path):
     p = tmp_path / "m.csv"
     p.write_text("File Path,Sample Name,Tissue\na.parquet,s1,t1\n")
