@@ -236,37 +236,3 @@ def test_warc(spark):
         assert got[i]["refers_to"] == (3 if i in (1, 2, None) else None)
         assert got[i]["payload"] == (None if i in (1, 2, None) else raw)
     assert warc.ranges([(0, 10), (10, 5), (10**6, 5)]) == [(0, 15, 2), (10**6, 10**6 + 5, 1)]
-
-
-def test_toxicity(spark):
-    draw = random.Random(6)
-    word = lambda: "".join(draw.choices(("th", "er", "on", "an", "re"), k=draw.randint(1, 4)))
-    rows, labels = [], []
-    for i in range(600):
-        w = [word() for _ in range(draw.randint(5, 80))]
-        bad = i % 5 == 0
-        if bad:
-            w[draw.randrange(len(w))] = draw.choice(("fiend", "wretch", "ghoul"))
-        rows.append((i, " ".join(w)))
-        labels.append((i, int(bad)))
-    docs, lab = odd(spark, [*rows, (7000, None), (7001, "")]), spark.createDataFrame([*labels, (None, 1), (1, None)], "doc_id long, toxic int")
-    got = {r["doc_id"]: r for r in toxicity.scored(docs, toxicity.train(docs, lab)).collect()}
-    held = [i for i, _ in labels if got[i]["held_out"]]
-    right = [got[i]["predicted"] == t for i, t in labels if i in held]
-    assert len(held) > 100 and sum(right) / len(right) > 0.95
-    assert got[7000]["score"] == got[7001]["score"] and got[7000]["predicted"] == 0
-    none = toxicity.train(docs, lab.limit(0))
-    assert {r["score"] for r in toxicity.scored(docs, none).collect()} == {0.5}
-    assert toxicity.scored(empty(spark), none).count() == 0
-
-
-def test_toxicity_reads_whole_runs():
-    run = "\u5929\u5730\u4eba" * 30
-    assert len(toxicity.grams(run + "\u60e1\u9b3c")) == len(run) + 3
-    given = {w: (0, 9) for w in ("\u60e1\u9b3c", run + "\u60e1\u9b3c")} | {w: (9, 0) for w in (run, "\u5929\u5730")}
-    for w, n in list(given.items()):
-        for g in toxicity.grams(w):
-            old = given.get("\t" + g, (0, 0))
-            given["\t" + g] = (old[0] + n[0], old[1] + n[1])
-    m = toxicity.Model(given)
-    assert m.word("\u5730" + run + "\u60e1\u9b3c") > m.word("\u5730" + run + "\u5929\u5730") + 1
