@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from homolith.llm import ann, bpe, flac, jaccard, mixing, pii, secrets, toxicity, urlfilter, warc
+from homolith.llm import bpe, flac, jaccard, mixing, pii, secrets, urlfilter, warc
 
 ODD = [(1, None), (2, ""), (3, "a"), (3, "a"), (4, " \t\n"), (5, "é😀 " * 300), (None, "one two three four five six"), (6, "one two three four five six")]
 
@@ -109,23 +109,6 @@ def test_secrets_of_any_length():
         assert secrets.model_spans(f"see {s} here", [], models) == []
 
 
-def test_ann(spark):
-    draw = np.random.default_rng(0)
-    x = np.concatenate([draw.normal(size=(600, 16)), np.repeat(draw.normal(size=(1, 16)), 60, axis=0)])
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9020, [0.0] * 16), (9040, [float("nan")] * 16), (9060, [1.0] * 3), (None, [1.0] * 16)]
-    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
-    hit = 0
-    for q in range(0, len(x), 20):
-        s = (x * x[q]).sum(axis=1)
-        s[q] = -np.inf
-        best = np.lexsort((np.arange(len(x)), -s))[:20]
-        own = got[got["query_id"] == q].sort_values("rank")
-        assert np.array_equal(own["score"], s[own["vec_id"]]) and len(own) == 20
-        hit += len(set(own["vec_id"]) & set(best.tolist()))
-    assert hit / (20 * len(range(0, len(x), 20))) >= 0.9
-    assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
-
-
 def test_flac(spark):
     draw = random.Random(1)
     payloads = [flac.payload_of(t)[0] for t in (None, "a", "ab" * 288, "é" * 3000, "".join(chr(draw.randint(32, 126)) for _ in range(2000)))] + [bytes(draw.choices(range(256), k=576)), bytes(576)]
