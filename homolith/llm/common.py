@@ -11,9 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space that ends a word: x20 and x09 to x0D.
-WORD = "[^\\x20\\x09-\\x0D]+"
-
 #: Spark's setting that removes shuffle files at the end of a query.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -21,10 +18,13 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all is one
+    process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="homolith-"))
     return _own_dir[0]
@@ -61,9 +61,25 @@ def drop(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Long texts: few rows for each Arrow batch, so that a Python worker holds a few MB at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Long texts: few rows for each Arrow batch, so that a Python worker holds a few MB at a time. A session that has its own
+    setting keeps it; the setting stays, as plans read it when they run."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, "512")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, or if df has a column of that name, one made of it that df hasn't."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def release() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, unit_draw, written
+from .common import fresh, unit_draw, written
 
 #: Weights that the sources get in turn, by code point, null last.
 WEIGHTS = (5, 2, 1)
@@ -54,7 +54,7 @@ def planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     rate = target / source_size; a document is taken floor(rate) times, and once more if its draw, hashed from seed
     and key, is below the fraction of the rate. Repeated rows with one key get one draw, a null key draws as an empty
     text, a null source is a source of its own. Documents without words count 0 words and follow the rate of their
-    source (a source without any words is taken once). Columns named __mix_* are set aside while it works.
+    source (a source without any words is taken once). Other columns are not read.
     """
     spark = docs.sparkSession
     # Counted once: the sums and the plan read this narrow table.
@@ -78,9 +78,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """The mixed corpus: each row of docs, with docs' columns, as many times as planned() has it."""
     spark = docs.sparkSession
     sizes, _ = written(spark, with_size(docs.select(source, text), text, "size").select(F.col(source).alias("source"), "size"), "mix")
-    rates = source_targets(sizes, weights=weights, most=most).select(F.col("source").alias("__mix_source"), F.col("source_size").alias("__mix_size"), F.col("target").alias("__mix_target"))
+    own_source, own_size, own_target, copy = fresh(docs, "__mix_source", "__mix_size", "__mix_target", "__mix_copy")
+    rates = source_targets(sizes, weights=weights, most=most).select(F.col("source").alias(own_source), F.col("source_size").alias(own_size), F.col("target").alias(own_target))
     rates, _ = written(spark, rates, "mix-targets")
-    joined = docs.join(rates, F.col(source).eqNullSafe(F.col("__mix_source")), "left")
-    rate = F.when(F.col("__mix_size") > 0, F.col("__mix_target") / F.col("__mix_size")).otherwise(F.lit(1.0))
+    joined = docs.join(rates, F.col(source).eqNullSafe(F.col(own_source)), "left")
+    rate = F.when(F.col(own_size) > 0, F.col(own_target) / F.col(own_size)).otherwise(F.lit(1.0))
     copies = F.floor(rate).cast("int") + (unit_draw(seed, F.col(key)) < rate - F.floor(rate)).cast("int")
-    return joined.withColumn("__mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+    return joined.withColumn(copy, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 # The patterns of the contract. Possessive quantifiers and the guards in front of a run of characters
 # leave the leftmost matches as they are and keep long runs from being tried again at each of their characters.
@@ -15,14 +15,17 @@ PATTERNS = {
     "ip": "(?:(?<![0-9])|\\G)[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++",
     "card": "[0-9](?:[\\x20-]?[0-9])++",
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
-    "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:[ -][A-Z0-9]{4}){2,7}+(?:[ -][A-Z0-9]{1,3})?+)(?![A-Za-z0-9])",
 }
 #: A text without this has no match; far cheaper to look for.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None}
 #: Words near a span that make it likelier, by kind.
 CONTEXT = {"email": "mail|contact|write|courriel|correo", "ip": "ip|host|server|address|login", "card": "card|visa|credit|karte|carte|tarjeta|pay", "phone": "call|phone|tel|mobile|fax|contact", "iban": "iban|account|bank|konto|compte|cuenta"}
-#: Score of a span that its check confirms; what a context word adds; how many characters before a span count as near.
+#: Score of a span that its check confirms; what a context word adds; how many characters before a span count as near,
+#: as far as the kind's match before it.
 CONFIRMED, CONTEXT_ADDS, NEAR = 0.8, 0.2, 40
+#: Matches, or spans, that are folded at once.
+BLOCK = 512
 
 
 def digits(s):
@@ -36,7 +39,8 @@ def luhn(d):
 
 
 def mod97(s):
-    """Whether an IBAN's remainder is 1: letters count 10 to 35, its first four characters come last."""
+    """Whether an IBAN's remainder is 1, blanks and hyphens left out: letters count 10 to 35, its first four characters come last."""
+    s = F.regexp_replace(s, "[ -]", "")
     turned = F.concat(F.substr(s, F.lit(5)), F.substring(s, 1, 4))
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.instr(F.lit(letters), c) + 9)
@@ -57,42 +61,68 @@ def confirmed(kind: str, s):
     return F.lit(True)
 
 
+def let(value, f):
+    """f(value), with the value computed once however often f's lambdas name it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def running(blocks, value, join, first):
+    """For each block what `join` makes of the values of the blocks before it, from `first` on."""
+    step = lambda acc, b: F.struct(join(acc["at"], value(b)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(blocks, F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out")), step, lambda acc: acc["out"])
+
+
+def in_blocks(rows):
+    """An array as arrays of BLOCK elements; one at least, which may be empty."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(rows) - 1) / BLOCK).cast("int"), F.lit(0))), lambda b: F.slice(rows, b * BLOCK + 1, BLOCK))
+
+
+SPANS = "array<struct<start:bigint,end:bigint,near:boolean>>"
+
+
 def kind_spans(text, kind: str):
-    """Array of (start, end, ok) of a kind's matches, in code points. The gaps between matches and the matches in turn add up to positions."""
+    """Array of (start, end, near) of a kind's confirmed matches, in code points; near: a context word shortly before.
+
+    The gaps between matches and the matches in turn add up to positions: within blocks, then over the blocks' lengths, so
+    that nothing grows by one match at a time over a whole text."""
     pattern = PATTERNS[kind]
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, m: F.struct(F.length(g).cast("long").alias("g"), F.length(m).cast("long").alias("n"), confirmed(kind, m).alias("ok")))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,ok:boolean>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+    near = lambda g: F.lower(F.right(g, F.lit(NEAR))).rlike(f"(?:^|[^a-z])(?:{CONTEXT[kind]})")
+    part = lambda g, m: F.struct(F.length(g).cast("long").alias("g"), F.length(m).cast("long").alias("n"), confirmed(kind, m).alias("ok"), near(g).alias("near"))
+    none = F.array().cast(SPANS)
 
     def add(acc, p):
         begin = acc["at"] + p["g"]
-        return F.struct((begin + p["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), (begin + p["n"]).alias("end"), p["ok"].alias("ok")))).alias("out"))
+        one = F.struct(begin.alias("start"), (begin + p["n"]).alias("end"), p["near"].alias("near"))
+        return F.struct((begin + p["n"]).alias("at"), F.when(p["ok"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+
+    def placed(blocks):
+        starts = running(blocks, lambda b: b["at"], lambda x, y: x + y, F.lit(0).cast("long"))
+        moved = lambda b, o: F.transform(b["out"], lambda s: F.struct((s["start"] + o).alias("start"), (s["end"] + o).alias("end"), s["near"].alias("near")))
+        return F.flatten(F.zip_with(blocks, starts, moved))
 
-    found = F.aggregate(pairs, start, add, lambda acc: F.filter(acc["out"], lambda s: s["ok"]))
-    has = text.rlike("[0-9]{2}|[0-9][ -][0-9]") if kind == "card" else text.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9]{11}") if kind == "iban" else F.contains(text, F.lit(NEEDS[kind]))
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+    pairs = let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda hits: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, part))
+    found = let(pairs, lambda p: let(F.transform(in_blocks(p), lambda b: F.aggregate(b, start, add)), placed))
+    has = text.rlike("[0-9]{2}|[0-9][ -][0-9]") if kind == "card" else text.rlike("[A-Z]{2}[0-9]{2}[ -]?[A-Z0-9]{4}") if kind == "iban" else F.contains(text, F.lit(NEEDS[kind]))
     return F.when(has, found).otherwise(none)
 
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with __pii_text (null: empty) and __pii_spans: array of (start, rank, end, kind, score), by start, then kind."""
-    df = docs.withColumn("__pii_text", F.coalesce(F.col(text), F.lit("")))
-    for kind in KINDS:
-        df = df.withColumn(f"__pii_{kind}", kind_spans(F.col("__pii_text"), kind))
-
-    def scored(kind, rank):
-        def one(s):
-            before = F.lower(F.substr(F.col("__pii_text"), (F.greatest(s["start"] - NEAR, F.lit(0)) + 1).cast("int"), F.least(s["start"], F.lit(NEAR)).cast("int")))
-            score = F.lit(CONFIRMED) + F.when(before.rlike(f"(?:^|[^a-z])(?:{CONTEXT[kind]})"), CONTEXT_ADDS).otherwise(0.0)
-            return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
+def with_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str, str]:
+    """docs with the text (null: empty) and the spans, an array of (start, rank, end, kind, score) by start, then kind; and the
+    names of these columns, which docs has no others of."""
+    whole, spans, *kinds = fresh(docs, "__pii_text", "__pii_spans", *[f"__pii_{k}" for k in KINDS])
+    df = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumns({c: kind_spans(F.col(whole), k) for c, k in zip(kinds, KINDS, strict=True)})
 
-        return F.transform(f"__pii_{kind}", one)
+    def scored(column, kind, rank):
+        score = lambda s: F.lit(CONFIRMED) + F.when(s["near"], CONTEXT_ADDS).otherwise(0.0)
+        return F.transform(column, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), score(s).alias("score")))
 
-    df = df.withColumn("__pii_spans", F.array_sort(F.concat(*[scored(k, i) for i, k in enumerate(KINDS)])))
-    return df.drop(*[f"__pii_{k}" for k in KINDS])
+    df = df.withColumn(spans, F.array_sort(F.concat(*[scored(c, k, i) for i, (c, k) in enumerate(zip(kinds, KINDS, strict=True))])))
+    return df.drop(*kinds), whole, spans
 
 
 def named(spans):
@@ -103,13 +133,42 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, counts by kind, base_sha256, spans, n_iban and top_score (null without spans).
 
     A null or empty text has no spans; repeated rows each get theirs; other columns are not read. The kinds of the
-    contract are the base; IBANs that pass mod-97 come beside them.
+    contract are the base; IBANs that pass mod-97, compact or in groups of four, come beside them. An empty table gives an
+    empty result.
     """
-    df = with_spans(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
-    count = lambda kind: F.size(F.filter("__pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    base = named(F.filter("__pii_spans", lambda s: s["kind"] != "iban"))
-    top = F.array_max(F.transform("__pii_spans", lambda s: s["score"])).alias("top_score")
-    return df.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(base, 256).alias("base_sha256"), named("__pii_spans").alias("spans"), count("iban"), top)
+    df, _, spans = with_spans(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = named(F.filter(spans, lambda s: s["kind"] != "iban"))
+    top = F.array_max(F.transform(spans, lambda s: s["score"])).alias("top_score")
+    return df.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(base, 256).alias("base_sha256"), named(F.col(spans)).alias("spans"), count("iban"), top)
+
+
+def replaced(whole, spans):
+    """The text with each span replaced by its kind in brackets. Spans are taken in blocks; a block's text is cut out of the
+    whole text once, and begins where the blocks before it end."""
+    piece = lambda t, a, b: F.substr(t, (a + 1).cast("int"), (b - a).cast("int"))
+
+    def block(rows, at):
+        end = F.greatest(F.coalesce(F.array_max(F.transform(rows, lambda s: s["end"])), at), at)
+
+        def inner(own):
+            def add(acc, s):
+                apart = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece(own, acc["at"] - at, s["start"] - at), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).alias("out"))
+                over = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
+                return F.when(s["start"] >= acc["at"], apart).otherwise(over)
+
+            return F.aggregate(rows, F.struct(at.alias("at"), F.array().cast("array<string>").alias("out")), add, lambda acc: F.array_join(acc["out"], ""))
+
+        return let(piece(whole, at, end), inner)
+
+    last = lambda b: F.coalesce(F.array_max(F.transform(b, lambda s: s["end"])), F.lit(0).cast("long"))
+
+    def joined(blocks):
+        starts = running(blocks, last, lambda x, y: F.greatest(x, y), F.lit(0).cast("long"))
+        rest = F.substr(whole, (F.array_max(F.transform(blocks, last)) + 1).cast("int"))
+        return F.concat(F.array_join(F.zip_with(blocks, starts, block), ""), rest)
+
+    return let(spans, lambda s: let(in_blocks(s), joined))
 
 
 def redact(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
@@ -117,19 +176,10 @@ def redact(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Data
 
     Columns stay as they are, but for the text and, where there is one, its length. A null text stays null.
     """
-    df = with_spans(docs, text)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    piece = lambda a, b: F.substr(F.col("__pii_text"), (a + 1).cast("int"), (b - a).cast("int"))
-
-    def add(acc, s):
-        apart = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece(acc["at"], s["start"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).alias("out"))
-        over = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when((s["start"] >= acc["at"]), apart).otherwise(over)
-
-    end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("__pii_text"), (acc["at"] + 1).cast("int")))
-    cleaned = F.when(F.size("__pii_spans") > 0, F.aggregate("__pii_spans", start, add, end)).otherwise(F.col(text))
-    df = df.withColumn("__pii_new", cleaned)
-    out = [F.col("__pii_new").alias(c) if c == text else F.length("__pii_new").cast(docs.schema[c].dataType).alias(c) if c == length and text in docs.columns else F.col(c) for c in docs.columns]
+    df, whole, spans = with_spans(docs, text)
+    (new,) = fresh(df, "__pii_new")
+    df = df.withColumn(new, F.when(F.size(spans) > 0, replaced(F.col(whole), F.col(spans))).otherwise(F.col(text)))
+    out = [F.col(new).alias(c) if c == text else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == length and text in docs.columns else F.col(c) for c in docs.columns]
     return df.select(*out)
 
 
