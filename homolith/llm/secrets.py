@@ -24,7 +24,7 @@ HEX_LONG = re.compile("[0-9a-f]{24,}")
 CANDIDATE = re.compile("[A-Za-z0-9+/_=-]{16,}")
 #: Log-likelihood ratio per character above which a candidate is taken for random.
 THRESHOLD = 0.7
-#: Training samples: so many documents with the smallest hashes at most, and so many random strings.
+#: Training samples: so many documents with the smallest hashes at most, of any length, and so many random strings.
 TRAIN_DOCS, TRAIN_RANDOM, SEED = 2000, 4000, 3
 KINDS = ("assign", "access", "hex", "model")
 
@@ -84,14 +84,29 @@ def numbers(n: int = TRAIN_RANDOM, seed: int = SEED) -> list[str]:
     return ["".join(draw.choices(string.digits, k=draw.randint(4, 24))) for _ in range(n)]
 
 
-def ordinary(texts, most: int = 60_000) -> list[str]:
-    """Labelled samples of the other class: words and identifiers outside of the spans that the patterns find, joined as identifiers join them."""
-    words: set[str] = set()
-    for text in texts:
-        for a, _, b in sorted(base_spans(text), reverse=True):
-            text = text[:a] + " " + text[b:]
-        words.update(IDENTIFIER.findall(text))
-    ranked = sorted(words, key=lambda w: hashlib.md5(w.encode()).digest())[:most]
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The stretches that spans (start, kind, end), sorted, cover."""
+    out: list[list[int]] = []
+    for a, _, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def identifiers(text: str) -> set[str]:
+    """Words and identifiers outside of the spans that the patterns find."""
+    parts, at = [], 0
+    for a, b in merged(sorted(base_spans(text))):
+        parts.append(text[at:a])
+        at = b
+    return set(IDENTIFIER.findall(" ".join([*parts, text[at:]])))
+
+
+def ordinary(words) -> list[str]:
+    """Labelled samples of the other class: words, and words joined as identifiers join them."""
+    ranked = sorted(set(words), key=lambda w: hashlib.md5(w.encode()).digest())
     draw, out = random.Random(SEED), list(ranked)
     for i in range(0, len(ranked) - 3, 3):
         a, b, c = ranked[i : i + 3]
@@ -101,20 +116,29 @@ def ordinary(texts, most: int = 60_000) -> list[str]:
 
 
 def train(docs: DataFrame, text: str = "text", sample: int = TRAIN_DOCS) -> tuple[Markov, Markov]:
-    """Both models. The sample is bounded: the texts of the `sample` smallest hashes, of 20,000 code points or fewer, each once.
-    Hashes alone are moved to find it."""
-    texts = docs.select(F.col(text).alias("t")).filter(F.length("t") <= 20_000).select("t", F.xxhash64("t").alias("h"))
+    """Both models. The sample is bounded: the texts of the `sample` smallest hashes, each once and whole. Hashes alone are moved
+    to find it; the driver gets the distinct words of these texts."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(text).alias("t")).filter(F.col("t").isNotNull()).select("t", F.xxhash64("t").alias("h"))
     few = F.broadcast(texts.select("h").distinct().orderBy("h").limit(sample))
-    fit = texts.join(few, "h").dropDuplicates(["h"]).orderBy("h")
-    return Markov(random_strings()), Markov((ordinary(r["t"] for r in fit.toLocalIterator()) or ["the"]) + numbers())
+
+    def run(batches):
+        for b in batches:
+            words = set().union(*(identifiers(t.as_py()) for t in b.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], ["w"])
+
+    words = texts.join(few, "h").select("t").mapInArrow(run, "w string").distinct().toArrow()["w"].to_pylist()
+    return Markov(random_strings()), Markov((ordinary(words) or ["the"]) + numbers())
 
 
 def model_spans(text: str, taken: list[tuple[int, int, int]], models: tuple[Markov, Markov], threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """Candidates of any length that touch no base span and look random by their likelihood ratio per character."""
-    out = []
+    """Candidates of any length that touch no base span (`taken`, sorted) and look random by their likelihood ratio per character."""
+    out, covered, k = [], merged(taken), 0
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if any(a < m.end() and m.start() < b for a, _, b in taken):
+        while k < len(covered) and covered[k][1] <= m.start():
+            k += 1
+        if k < len(covered) and covered[k][0] < m.end():
             continue
         if (models[0].loglik(s) - models[1].loglik(s)) / len(s) > threshold:
             out.append((m.start(), 3, m.end()))
@@ -129,7 +153,8 @@ def find(docs: DataFrame, models: tuple[Markov, Markov], key: str = "doc_id", te
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_model.
 
     A null or empty text has no spans (the hash is that of the empty string); repeated rows each get theirs; no other
-    column is read. Each text is judged whole, one at a time.
+    column is read. Each text is judged whole, one at a time, in time linear in its length. Spans of one start stand in the
+    order of their kinds.
     """
     spark = docs.sparkSession
     small_batches(spark)

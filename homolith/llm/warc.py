@@ -27,10 +27,16 @@ def classified(pages: DataFrame, key: str = "page_id", html: str = "html", url:
     a null id refers to any other, and is kept if there is none; a null url is written as an empty one."""
     p = pages.select(F.col(key).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
-    # Counted before anything moves: one row of a task at most for a digest, and only digests that occur again are kept.
+    # Counted before anything moves: one row of a task at most for a digest, and only digests that occur again are kept. The
+    # size of the written table is known before the join: a small one is broadcast and no payload moves, else AQE splits hot
+    # digests. Payloads that are too small to be stored once don't take part.
     again = p.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).filter("n > 1 AND head IS NOT NULL").drop("n")
-    p = p.join(again, "payload_digest", "left")
-    return p.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")).alias("refers_to"))
+    again, _ = written(pages.sparkSession, again, "warc-heads")
+    names = ["page_id", "url", "payload", "payload_bytes", "payload_digest"]
+    large = p.filter(F.col("payload_bytes") >= least).join(again, "payload_digest", "left")
+    large = large.select(*names, F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")).alias("refers_to"))
+    small = p.filter(F.col("payload_bytes") < least).select(*names, F.lit(None).cast(p.schema["page_id"].dataType).alias("refers_to"))
+    return large.unionByName(small)
 
 
 def record(page_id, url: str, payload: bytes, digest: str, refers_to) -> bytes:
@@ -120,7 +126,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 
     Rows are sorted by file and offset in each task; a task reads ranges of a few MB. The digest of every payload is checked.
     """
-    small_batches(index.sparkSession, 2048)
+    small_batches(index.sparkSession)
     kind = index.schema["page_id"].dataType.simpleString()
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
     # A file of many records is several tasks' work: stretches of FILE_BYTES / 8.
