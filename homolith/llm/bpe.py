@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table, tidy
 
-#: Unicode White_Space, what the tokenizer's pattern takes for white space.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-FRAGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Unicode White_Space beyond one byte, which the tokenizer's pattern takes for white space too.
 WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Bytes behind which no cut is made (white space, which the pattern may give to what follows; the apostrophe), and before
+#: which none is made (the apostrophe; bytes that go on with a character).
+AFTER, BEFORE = b"\t\n\x0b\x0c\r '", b"'" + bytes(range(128, 192))
 #: Fragments that a worker keeps; a full cache starts anew. Longer fragments are not kept.
-CACHED, CACHED_CHARS = 300_000, 64
+CACHED, CACHED_BYTES = 300_000, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -32,9 +33,10 @@ def byte_alphabet() -> dict[str, int]:
 class Codec:
     """Encodes and decodes as the tokenizer in a file does.
 
-    A cut is certain before white space that follows something else, if the two bytes around it stand together in no
-    token of the vocabulary: no merge crosses it, and the pattern that splits texts has a boundary there and looks at
-    nothing before it. Each fragment is encoded by itself, once while it is in the cache, and the ids are joined.
+    A cut is certain between two bytes that stand together in no token of the vocabulary, as no merge crosses it. It must
+    not change how the pattern before the merges splits what follows either: that looks back at nothing but a blank or an
+    apostrophe in front, and ahead only from white space, so no cut is made behind white space or beside an apostrophe, nor
+    within a character. Each fragment is encoded by itself, once while it is in the cache, and the ids are joined.
     """
 
     def __init__(self, path: str):
@@ -57,25 +59,34 @@ class Codec:
             self.bytes_of[i] = raw
             for a, b in zip(raw, raw[1:]):  # noqa: B905
                 joined[a << 8 | b] = 1
-        self.joined = bytes(joined)
-        self.length_of = np.array([len(b) for b in self.bytes_of])
-        self.cache: dict[str, bytes] = {}
-        ascii_space = [9, 10, 11, 12, 13, 32]
-        #: Pairs of another byte and ASCII white space that some token holds; a text without them needs no look at its bytes.
-        self.held = [bytes((a, b)) for a in range(256) if a not in ascii_space for b in ascii_space if joined[a << 8 | b]]
-
-    def fragments(self, text: str) -> list[str]:
-        parts = FRAGMENT.findall(text)
+        pairs = np.frombuffer(bytes(joined), np.uint8).reshape(256, 256).copy()
+        pairs[list(AFTER), :] = 1
+        pairs[:, list(BEFORE)] = 1
+        #: By pair of bytes (the first times 256): whether a cut between them is certain.
+        self.cut = pairs.reshape(-1) == 0
+        self.cache: dict[bytes, bytes] = {}
+
+    def fragments(self, text: str) -> list[bytes]:
+        """The text in UTF-8 between its certain cuts."""
         raw = text.encode()
-        if not any(p in raw for p in self.held) and not WIDE_SPACE.search(text):
-            return parts
-        out: list[str] = []
-        for p in parts:
-            if out and self.joined[out[-1][-1].encode()[-1] << 8 | p[0].encode()[0]]:
-                out[-1] += p  # no certain cut here
-            else:
-                out.append(p)
-        return out
+        if len(raw) < 2:
+            return [raw] if raw else []
+        x = np.frombuffer(raw, np.uint8).astype(np.uint16)
+        at = np.flatnonzero(self.cut[x[:-1] << 8 | x[1:]]) + 1
+        if WIDE_SPACE.search(text):
+            at = at[~np.isin(at, self._wide_ends(text))]
+        at = [0, *at.tolist(), len(raw)]
+        return [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+    @staticmethod
+    def _wide_ends(text: str) -> np.ndarray:
+        """Where white space of several bytes ends."""
+        out, chars, done = [], 0, 0
+        for m in WIDE_SPACE.finditer(text):
+            done += len(text[chars : m.end()].encode())
+            chars = m.end()
+            out.append(done)
+        return np.array(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -84,26 +95,13 @@ class Codec:
             return b"".join([cache[p] for p in parts])
         except KeyError:
             pass
-        own = {}
         missing = [p for p in dict.fromkeys(parts) if p not in cache]
-        # One call for all of them: each begins behind a certain cut, so the ids fall apart at the fragments' byte lengths.
-        (e,) = self.encode_batch(["".join(missing)], add_special_tokens=False)
-        ids = np.array(e.ids, dtype="<u4")
-        reached = np.cumsum(self.length_of[ids])
-        wanted = np.cumsum([len(p.encode()) for p in missing])
-        at = np.searchsorted(reached, wanted) + 1
-        if len(ids) and at[-1] == len(ids) and (reached[at - 1] == wanted).all():
-            raw, begin = ids.tobytes(), 0
-            for p, end in zip(missing, (4 * at).tolist(), strict=True):
-                own[p] = raw[begin:end]
-                begin = end
-        else:
-            for p, e in zip(missing, self.encode_batch(missing, add_special_tokens=False), strict=True):
-                own[p] = np.array(e.ids, dtype="<u4").tobytes()
+        found = self.encode_batch([p.decode() for p in missing], add_special_tokens=False)
+        own = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(missing, found, strict=True)}
         out = b"".join([cache[p] if p in cache else own[p] for p in parts])
         if len(cache) + len(own) > CACHED:
             cache.clear()
-        cache.update((p, i) for p, i in own.items() if len(p) <= CACHED_CHARS)
+        cache.update((p, i) for p, i in own.items() if len(p) <= CACHED_BYTES)
         return out
 
     def decode(self, ids: bytes) -> str:

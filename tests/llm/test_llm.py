@@ -138,12 +138,16 @@ def test_bpe(spark):
 
     t = Tokenizer.from_file(bpe.default_path())
     c, draw = bpe.Codec(bpe.default_path()), random.Random(2)
-    parts = [*"ab'sdt  \n\n\t.!?1é\x1c\x85\xa0　", "<|endoftext|>", "'re", "the", "日本", "😀"]
-    for text in ("".join(draw.choices(parts, k=draw.randint(0, 40))) for _ in range(2000)):
+    parts = [*"ab'sdtqzx@#$  \n\n\t.!?1é\x1c\x85\xa0　", "<|endoftext|>", "'re", "'ll", "don't", "''", ".'s", "zqj", "the", "日本", "😀", "\u2003", "\u0661\u0662", "e\u0301", "½", "\x00"]
+    for text in ("".join(draw.choices(parts, k=draw.randint(0, 40))) for _ in range(6000)):
         ids = t.encode(text, add_special_tokens=False).ids
         got = c.encode(text)
         assert list(struct.unpack(f"<{len(got) // 4}I", got)) == ids
         assert c.decode(got) == t.decode(ids, skip_special_tokens=False)
+    assert c.fragments("a zqjx") != ["a zqjx".encode()] and b"".join(c.fragments("a zqjx's\u3000b")) == "a zqjx's\u3000b".encode()
+    long = "".join(draw.choices(parts, k=200_000))
+    assert list(struct.unpack(f"<{len(c.encode(long)) // 4}I", c.encode(long))) == t.encode(long, add_special_tokens=False).ids
+    assert bpe.tokens(empty(spark)).count() == 0 and bpe.tokens(odd(spark)).count() == len(ODD)
     rows = {r["doc_id"]: r for r in bpe.tokens(odd(spark)).collect()}
     assert rows[1]["n_tokens"] == rows[2]["n_tokens"] == 0 and rows[5]["decoded_sha256"] == hashlib.sha256(ODD[5][1].encode()).hexdigest()
 
@@ -177,11 +181,42 @@ def test_mixing(spark):
     assert mixing.planned(empty(spark)).count() == 0 and mixing.planned(odd(spark)).count() == len(ODD)
 
 
-def test_url_filter(spark):
-    urls = [None, "", "x", "http://A.Example.com/en/75?x#y", "https://com/en/", "http://b.example.net/de/81", "http://q.net/de/1", "http://notexample.com/en/7", "ftp://h.org/ads/1", "http://h.org?/es/"]
-    rows = {r["url"]: r for r in urlfilter.url_filter(spark.createDataFrame([(u,) for u in urls], "url string")).collect()}
-    assert [rows[u]["rule"] for u in urls] == [None, None, None, "example.com/en/7", "com/en/", "example.net/de/8", "net/de/", "com/en/", None, None]
-    assert [rows[u]["verdict"] for u in urls] == ["allow"] * 4 + ["block", "block", "allow", "block", "block", "allow"]
+URLS = [None, "", "x", "http://A.Example.com/en/75?x#y", "https://com/en/", "http://b.example.net/de/81", "http://q.net/de/1", "http://notexample.com/en/7", "ftp://h.org/ads/1", "http://h.org?/es/", "http://h.org?/es/", "http://doubleclick.net/x", "http://h.org/a?utm_source=1", "http://h.org/sponsored"]
+RULES = [None, None, None, "example.com/en/7", "com/en/", "example.net/de/8", "net/de/", "com/en/", None, None, None, None, None, None]
+VERDICTS = ["allow"] * 4 + ["block", "block", "allow", "block", "block", "allow", "allow", "block", "block", "block"]
+
+
+@pytest.mark.parametrize("inline", [urlfilter.INLINE, 0])
+def test_url_filter(spark, inline):
+    """Rules in the plan and rules in a table give the same; other columns may have any name."""
+    names = ["__url", "__url_t", "u", "t", "h", "s", "q", "v", "rules"]
+    pages = spark.createDataFrame([(i, u, *names) for i, u in enumerate(URLS)], "page_id long, url string, " + ", ".join(f"{n} string" for n in names))
+    out = urlfilter.url_filter(pages, inline=inline)
+    assert out.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+    rows = sorted(out.collect(), key=lambda r: r["page_id"])
+    assert [r["rule"] for r in rows] == RULES and [r["verdict"] for r in rows] == VERDICTS
+    assert all([r[n] for n in names] == names for r in rows) and [r["url"] for r in rows] == URLS
+    assert urlfilter.url_filter(pages.limit(0), inline=inline).count() == 0
+
+
+def test_url_rules(spark):
+    """Many rules; equal lengths; rules without a token; patterns against a brute force over all rules."""
+    assert urlfilter.pattern_tokens("/ads/x*y.track^") == ["ads", "track"] and urlfilter.pattern_tokens("utm") == []
+    draw = random.Random(5)
+    part = lambda: draw.choice(("a", "bc", "ads", "x1", "de"))
+    urls = [f"http://{part()}.{part()}.org/{part()}/{part()}{draw.choice('/.?-')}{part()}" for _ in range(300)]
+    sites = [(f"{part()}.org", f"/{part()}", draw.choice(("block", "allow"))) for _ in range(60)] + [("org", "/", "allow"), (".", "", "block")]
+    sites = list({(h, p): (h, p, v) for h, p, v in sites}.values())
+    patterns = [f"/{part()}^", f".{part()}.*{part()}", "c/d", f"{part()}?{part()}"] + [f"/no{i}/" for i in range(30)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    for inline in (1000, 0):
+        got = {r["page_id"]: r for r in urlfilter.url_filter(pages, site_rules=sites, pattern_rules=patterns, inline=inline).collect()}
+        for i, u in enumerate(urls):
+            host, path = got[i]["host"], got[i]["path"]
+            fit = [(-len(h + p), h + p, v) for h, p, v in sites if (host == h or host.endswith("." + h)) and path.startswith(p)]
+            hit = any(re.search(urlfilter.pattern_regex(p), u) for p in patterns)
+            want = min(fit)[1:] if fit else (None, "block" if hit else "allow")
+            assert (got[i]["rule"], got[i]["verdict"]) == want
 
 
 def test_warc(spark):
