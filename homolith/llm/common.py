@@ -34,8 +34,8 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """df written to the shared folder and read back, which cuts its lineage; and its path, for drop().
+def written(spark: SparkSession, df: DataFrame, label: str, **options: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back, which cuts its lineage; and its path, for drop(). Options are the writer's.
 
     What it shuffled is removed at once: no later plan reads it (a task that is lost before then still finds it, or has
     its stage run again)."""
@@ -43,7 +43,7 @@ def written(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame,
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)

@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, tidy, written
 
 #: Samples in a block; frames that are coded or decoded side by side; sample rate in the stream's header.
 BLOCK, SIDE, RATE = 576, 2048, 8000
+#: Order of the linear predictors that are fitted to a frame; bits of their weights; largest shift of their sums.
+LPC, PRECISION, SHIFT = 4, 10, 12
 #: Size of a block in a frame's header, by its code (fixed values of the format).
 BLOCK_CODES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608, 8: 256, 9: 512, 10: 1024, 11: 2048, 12: 4096, 13: 8192, 14: 16384, 15: 32768}
 
@@ -67,21 +69,50 @@ def _rice_best(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k0 + more, np.where(more, bits[1], bits[0])
 
 
+def predictors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the weights of a linear predictor of order LPC, as integers, and the shift of their sums: Levinson and
+    Durbin's recursion on the autocorrelation, the samples tapered by a triangle."""
+    taper = 1 - np.abs(np.linspace(-1, 1, x.shape[1])) * 0.75
+    y = x * taper
+    r = np.stack([(y[:, k:] * y[:, : x.shape[1] - k]).sum(axis=1) for k in range(LPC + 1)])
+    r[0] = r[0] * (1 + 1e-9) + 1e-9
+    a, error = np.zeros((LPC, len(x))), r[0].copy()
+    for i in range(LPC):
+        reflect = (r[i + 1] - (a[:i] * r[i:0:-1]).sum(axis=0)) / error
+        a[:i] = a[:i] - reflect * a[:i][::-1]
+        a[i] = reflect
+        error = np.maximum(error * (1 - reflect**2), 1e-9)
+    top = np.maximum(np.abs(a).max(axis=0), 1e-6)
+    shift = np.clip(PRECISION - 1 - np.ceil(np.log2(top)), 0, SHIFT).astype(np.int64)
+    most = 1 << (PRECISION - 1)
+    return np.clip(np.rint(a * 2.0**shift), -most, most - 1).astype(np.int64).T, shift
+
+
+def predicted(x: np.ndarray, weights: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """What the predictors make of the samples before each sample from the LPC-th on."""
+    n = x.shape[1]
+    total = sum(weights[:, j][:, None] * x[:, LPC - 1 - j : n - 1 - j].astype(np.int64) for j in range(LPC))
+    return total >> shift[:, None]
+
+
 def encode_frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Frames of rows of BLOCK signed 8-bit samples: all bytes, and the length of each frame.
 
-    Of a constant, the fixed linear predictors of order 0 to 2 with Rice-coded residuals, and the samples as they are,
-    each frame takes the shortest; it depends on the frame alone.
+    Of a constant, the fixed linear predictors of order 0 to 2, a fitted one of order LPC (both with Rice-coded residuals),
+    and the samples as they are, each frame takes the shortest; it depends on the frame alone.
     """
     x = x.astype(np.int32)
     f = len(x)
     residual = [x, np.diff(x, axis=1), np.diff(x, n=2, axis=1)]
+    weights, shift = predictors(x)
+    residual.append((x[:, LPC:] - predicted(x, weights, shift)).astype(np.int32))
     zig = [(r << 1) ^ (r >> 31) for r in residual]
     best = [_rice_best(u) for u in zig]
-    size = np.stack([8 * o + 10 + bits for o, (_, bits) in enumerate(best)] + [np.full(f, 8 * BLOCK)])
-    kind = size.argmin(axis=0)  # 0 to 2: order; 3: verbatim
-    kind[(x == x[:, :1]).all(axis=1)] = 4
-    sub = (8 + np.where(kind == 4, 8, size.min(axis=0)) + 7) // 8
+    extra = [0, 8, 16, 8 * LPC + 9 + PRECISION * LPC]  # first samples, and the fitted predictor
+    size = np.stack([more + 10 + bits for more, (_, bits) in zip(extra, best, strict=True)] + [np.full(f, 8 * BLOCK)])
+    kind = size.argmin(axis=0)  # 0 to 2: order; 3: fitted; 4: verbatim; 5: constant
+    kind[(x == x[:, :1]).all(axis=1)] = 5
+    sub = (8 + np.where(kind == 5, 8, size.min(axis=0)) + 7) // 8
     coded, digits = _utf8_number(number)
     head = 5 + digits
     length = head + sub + 2
@@ -93,27 +124,31 @@ def encode_frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nda
         for j in range(n):
             bits[offset + j] = value >> (n - 1 - j) & 1
 
-    for o in range(3):
+    for o in range(4):
         rows = np.flatnonzero(kind == o)
         if not len(rows):
             continue
         k, u, p = best[o][0][rows], zig[o][rows], at[rows]
-        put(rows, p, np.full(len(rows), (8 | o) << 1), 8)
-        for w in range(o):
+        put(rows, p, np.full(len(rows), (8 | o if o < 3 else 32 | LPC - 1) << 1), 8)
+        for w in range(o if o < 3 else LPC):
             put(rows, p + 8 + 8 * w, x[rows, w] & 255, 8)
-        put(rows, p + 8 + 8 * o, k, 10)  # method 0, one partition, its parameter
+        if o == 3:
+            put(rows, p + 8 + 8 * LPC, PRECISION - 1 << 5 | shift[rows], 9)
+            for j in range(LPC):
+                put(rows, p + 17 + 8 * LPC + PRECISION * j, weights[rows, j] & (1 << PRECISION) - 1, PRECISION)
+        put(rows, p + 8 + extra[o], k, 10)  # method 0, one partition, its parameter
         q = u >> k[:, None]
         n = q + 1 + k[:, None]
-        stop = (p + 18 + 8 * o)[:, None] + np.cumsum(n, axis=1) - n + q
+        stop = (p + 18 + extra[o])[:, None] + np.cumsum(n, axis=1) - n + q
         bits[stop] = 1
         for j in range(int(k.max())):
             some = np.flatnonzero(k > j)
             bits[stop[some] + (k[some] - j)[:, None]] = u[some] >> j & 1
-    rows = np.flatnonzero(kind == 3)
+    rows = np.flatnonzero(kind == 4)
     if len(rows):
         put(rows, at[rows], np.full(len(rows), 2), 8)
         bits[(at[rows] + 8)[:, None] + np.arange(8 * BLOCK)] = np.unpackbits((x[rows] & 255).astype(np.uint8), axis=1)
-    rows = np.flatnonzero(kind == 4)
+    rows = np.flatnonzero(kind == 5)
     if len(rows):
         put(rows, at[rows] + 8, x[rows, 0] & 255, 8)
     buf = np.packbits(bits)
@@ -287,14 +322,23 @@ def decode_frames(buf: np.ndarray, base: np.ndarray, length: np.ndarray) -> np.n
     grab = lambda p, n: wide[p >> 3] >> (32 - (p & 7) - n) & ((1 << n) - 1)
     kind = buf[base + head].astype(np.int64) >> 1
     start = (base + head + 1) * 8
-    flagged = ~plain | (buf[base + head] & 1 > 0) | (kind > 12) | ((kind > 1) & (kind < 8))
-    for o in range(5):
-        here = np.flatnonzero(~flagged & (kind == 8 + o))
-        orders = grab(start[here] + 8 * o, 6)
+    flagged = ~plain | (buf[base + head] & 1 > 0) | ((kind > 12) & (kind < 32)) | ((kind > 1) & (kind < 8))
+    for code in np.unique(kind[~flagged & (kind > 1)]):
+        fixed, o = code < 32, int(code - 8 if code < 32 else code - 31)
+        here = np.flatnonzero(~flagged & (kind == code))
+        begin = start[here] + 8 * o
+        if not fixed:  # the precision of the weights, the shift and the weights come first
+            precision, shift = grab(begin, 4) + 1, grab(begin + 4, 5)
+            weights = np.stack([grab(begin + 9 + precision * j, precision) for j in range(o)], axis=1)
+            weights = weights - ((weights >> precision[:, None] - 1) << precision[:, None])
+            flagged[here[shift > 15]] = True  # a negative shift
+            begin = begin + 9 + precision * o
+        orders = grab(begin, 6)
         flagged[here[orders > 15]] = True
         for parts in np.unique(orders[orders < 16]):
-            rows = here[orders == parts]
-            pos = start[rows] + 8 * o + 6
+            mine = orders == parts
+            rows = here[mine]
+            pos = begin[mine] + 6
             u = np.zeros((BLOCK - o, len(rows)), dtype=np.int64)
             per, k = BLOCK >> int(parts), None
             bad = np.zeros(len(rows), dtype=bool)
@@ -311,6 +355,12 @@ def decode_frames(buf: np.ndarray, base: np.ndarray, length: np.ndarray) -> np.n
             flagged[rows[bad]] = True
             s = ((u >> 1) ^ -(u & 1)).T
             warm = np.stack([_signed(grab(start[rows] + 8 * w, 8)) for w in range(o)], axis=1) if o else np.zeros((len(rows), 0), np.int64)
+            if not fixed:
+                made, w, by = np.concatenate([warm.T, s.T]), weights[mine].T[::-1].copy(), shift[mine]
+                for i in range(o, BLOCK):
+                    made[i] += (w * made[i - o : i]).sum(axis=0) >> by
+                out[rows] = made.T
+                continue
             for d in range(o - 1, -1, -1):  # sums of the differences of order d + 1, from the warm-up's
                 s = np.cumsum(np.concatenate([np.diff(warm[:, : d + 1], n=d, axis=1)[:, :1], s], axis=1), axis=1) if d == 0 else np.cumsum(np.concatenate([np.diff(warm[:, : d + 1], n=d, axis=1), s], axis=1), axis=1)
             out[rows] = s
@@ -409,7 +459,13 @@ def media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             made = [payload_of(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for _, n in made], pa.int64()), pa.array(encode_all([p for p, _ in made]), pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, media binary")
+
+
+def stored(found: DataFrame) -> DataFrame:
+    """media()'s rows, written to the shared folder and read back. The table is packed: headers, seek points and repeated
+    streams are alike."""
+    return written(found.sparkSession, found, "flac", **{"compression": "zstd", "parquet.compression.codec.zstd.level": "9"})[0]
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -428,7 +484,7 @@ def digests(found: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
 
-    return found.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return found.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def pcm_blocks(found: DataFrame) -> DataFrame:
@@ -449,4 +505,4 @@ def pcm_blocks(found: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return digests(media(table(spark, sf_dir, "documents")))
+    return digests(stored(media(table(spark, sf_dir, "documents"))))

@@ -4,11 +4,10 @@ import re
 import string
 import struct
 
-import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from homolith.llm import bpe, flac, jaccard, mixing, secrets, urlfilter, warc
+from homolith.llm import bpe, jaccard, mixing, secrets, urlfilter, warc
 
 ODD = [(1, None), (2, ""), (3, "a"), (3, "a"), (4, " \t\n"), (5, "é😀 " * 300), (None, "one two three four five six"), (6, "one two three four five six")]
 
@@ -109,30 +108,6 @@ def test_secrets_of_any_length():
         assert secrets.model_spans(f"see {s} here", [], models) == []
 
 
-def test_flac(spark):
-    draw = random.Random(1)
-    payloads = [flac.payload_of(t)[0] for t in (None, "a", "ab" * 288, "é" * 3000, "".join(chr(draw.randint(32, 126)) for _ in range(2000)))] + [bytes(draw.choices(range(256), k=576)), bytes(576)]
-    streams = flac.encode_all(payloads)
-    for p, s, x in zip(payloads, streams, flac.decode_all(streams), strict=True):
-        assert (x.astype(np.int8).view(np.uint8) ^ 128).tobytes() == p
-        _, points, at = flac.metadata(s)
-        out, starts, begin = [], [], at
-        while at < len(s):
-            starts.append(at - begin)
-            _, got, at = flac.decode_frame(s, at)
-            out += got
-        assert (np.array(out, np.int8).view(np.uint8) ^ 128).tobytes() == p
-        assert starts == [b for _, b, _ in points]
-    broken = bytearray(streams[3])
-    broken[-20] ^= 1
-    with pytest.raises(ValueError, match="CRC"):
-        flac.decode_all([bytes(broken)])
-    rows = {(r["doc_id"], r["n_bytes"]): r for r in flac.digests(flac.media(odd(spark))).collect()}
-    assert rows[1, 0]["payload_sha256"] == rows[2, 0]["payload_sha256"] == hashlib.sha256(b"\xff" * 576).hexdigest()
-    blocks = flac.pcm_blocks(flac.media(odd(spark))).filter("doc_id = 5").orderBy("block").collect()
-    assert [b["sample_offset"] for b in blocks] == [576 * i for i in range(len(blocks))]
-
-
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
