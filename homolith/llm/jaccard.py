@@ -18,17 +18,18 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, small_batches, table, tidy, written
+from .common import drop, fresh, small_batches, table, tidy, written
 
 #: Cells for each that a set offers; rounds with a hub for each tile, and with a forest of likely links, before the last; sets of a block.
 CELLS, HUB_ROUNDS, FOREST_ROUNDS, BLOCK = 1.3, 1, 3, 1024
 #: Sets that one task compares with a hub; sets of a block when a component's links are counted.
 HUB_SETS, LINK_BLOCK = 512, 128
-#: Bits of the filter that keeps texts without a partner from being moved: 8 MB whatever the input.
-FILTER_BITS, FILTER_SHIFTS = 26, (0, 19, 38)
+#: The filter that keeps texts without a partner from being moved has 16 bits for each mark, up to 2^FILTER_BITS (32 MB); more
+#: marks are a table. Bits of a mark that it looks at.
+FILTER_BITS, FILTER_SHIFTS = 28, (0, 17, 34)
 #: Words, and sets of one task, that a worker remembers.
 CACHED = 200_000
 
@@ -143,36 +144,46 @@ def shingled(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
 def meetings(found: DataFrame) -> DataFrame:
     """(cell, node) of the cells that two nodes or more offer."""
     offered = found.select(F.explode("cells").alias("cell"), "node")
-    by = Window.partitionBy("cell")
-    return offered.withColumn("least", F.min("node").over(by)).withColumn("most", F.max("node").over(by)).filter("least < most").select("cell", "node")
+    # Combined before moving, so a cell of very many sets is one row of a task; written, so that the join can split it.
+    shared = offered.groupBy("cell").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("cell")
+    shared, _ = written(found.sparkSession, shared, "cells")
+    return offered.join(shared, "cell", "left_semi")
 
 
-def filter_of(marks: DataFrame) -> np.ndarray:
-    """A bit set of fixed size that has three bits of each mark: at most 2^20 rows of two numbers reach the driver."""
-    mask = (1 << FILTER_BITS) - 1
+def filter_of(marks: DataFrame, bits: int) -> np.ndarray:
+    """A bit set that has three bits of each mark: at most 2^(bits - 6) rows of two numbers reach the driver."""
+    mask = (1 << bits) - 1
     bit = F.explode(F.array(*[F.shiftrightunsigned("mark", s).bitwiseAND(mask) for s in FILTER_SHIFTS])).alias("bit")
     rows = marks.select(bit).groupBy((F.shiftright("bit", 6)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("v")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
     out[rows["w"].to_numpy()] = rows["v"].to_numpy()
     return out.view(np.uint64)
 
 
-def partners(docs: DataFrame, join: Join, text: str, found: DataFrame, met: DataFrame) -> DataFrame:
+def partners(docs: DataFrame, join: Join, text: str, found: DataFrame, met: DataFrame, most: int = FILTER_BITS) -> DataFrame:
     """node, n, band, own and next (bitmaps for the set's band and the next), text: a row for each node that meets another.
 
-    Only texts whose marks pass the filter of such nodes' texts are split into shingles again, and moved."""
+    Only texts whose marks pass a filter of such nodes' marks, or beyond its largest size are in a table of them, are split
+    into shingles again, and moved."""
     spark = docs.sparkSession
-    marks = found.filter("node IS NOT NULL").join(met.select("node").distinct(), "node", "left_semi").select("mark")
-    bits = spark.sparkContext.broadcast(filter_of(marks))
-    mask = np.uint64((1 << FILTER_BITS) - 1)
+    marks = found.filter("node IS NOT NULL").join(met.select("node").distinct(), "node", "left_semi").select("mark").distinct()
+    marks, _ = written(spark, marks, "marks")
+    size = max(16, (16 * marks.count()).bit_length())
+    rows = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    if size > most:
+        rows, held = rows.join(marks, "mark", "left_semi").select("text", "mark"), None
+    else:
+        held = spark.sparkContext.broadcast(filter_of(marks, size))
+    mask = np.uint64((1 << size) - 1)
 
     def run(batches):
         seen: set[int] = set()
-        held = bits.value
         for b in batches:
             marks = b.column(1).to_numpy()
-            at = [(marks.view(np.uint64) >> np.uint64(shift)) & mask for shift in FILTER_SHIFTS]
-            passed = np.logical_and.reduce([held[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1) for p in at])
+            passed = np.ones(len(marks), bool)
+            if held is not None:
+                at = [(marks.view(np.uint64) >> np.uint64(shift)) & mask for shift in FILTER_SHIFTS]
+                passed = np.logical_and.reduce([held.value[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1) for p in at])
             rows = []
             for i in np.flatnonzero(passed).tolist():
                 mark, t = int(marks[i]), b.column(0)[i].as_py()
@@ -188,7 +199,6 @@ def partners(docs: DataFrame, join: Join, text: str, found: DataFrame, met: Data
             types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["node", "n", "band", "own", "next", "text"])
 
-    rows = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
     return rows.mapInArrow(tidy(run), "node long, n long, band int, own array<long>, next array<long>, text string").dropDuplicates(["node"])
 
 
@@ -277,12 +287,27 @@ def hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
 
 def torn_pairs(rows: DataFrame, sets: DataFrame, join: Join, forest: bool) -> DataFrame:
     """(a, b): pairs of different components in a cell whose bitmaps leave room for a link, from blocks of the cell's nodes:
-    all of them, or a forest that would join all components of a block, which takes the nearest bitmaps first."""
-    by = Window.partitionBy("cell").orderBy("node")
-    rows = rows.distinct().withColumn("block", F.floor((F.row_number().over(by) - 1) / BLOCK).cast("int"))
-    blocks = rows.groupBy("cell").agg(F.max("block").alias("last"))
-    other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
-    tiles = rows.join(blocks, "cell").select("*", other).select("cell", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    all of them, or a forest that would join all components of a block, which takes the nearest bitmaps first.
+
+    A block holds nodes of one large component, or of small ones; two blocks of one component never meet, so a large one
+    costs its own size for each block of others."""
+    spark = rows.sparkSession
+    rows, rows_path = written(spark, rows.distinct(), "torn")
+    per = rows.groupBy("cell", "root").agg(F.count("*").alias("size"))
+    per, per_path = written(spark, per, "torn-sizes")
+    small = per.groupBy("cell").agg(F.sum(F.when(F.col("size") < BLOCK, F.col("size"))).alias("small"))
+    large = F.col("size") >= BLOCK
+    dealt_by = lambda key, size: F.pmod(F.xxhash64(key, F.lit(7)), F.ceil(size / BLOCK).cast("long"))
+    block = F.when(large, F.xxhash64("root", dealt_by("node", F.col("size")))).otherwise(dealt_by("root", F.col("small")))
+    placed = rows.join(per.join(small, "cell"), ["cell", "root"]).select("cell", "node", "root", block.alias("block"), F.when(large, F.col("root")).alias("sole"))
+    placed, placed_path = written(spark, placed, "torn-blocks")
+    drop(spark, rows_path, per_path)
+    blocks = placed.select("cell", "block", "sole").distinct()
+    meet = blocks.select("cell", F.col("block").alias("i"), F.col("sole").alias("si")).join(blocks.select("cell", F.col("block").alias("j"), F.col("sole").alias("sj")), "cell")
+    meet = meet.filter("i <= j AND (si IS NULL OR sj IS NULL OR si <> sj)")
+    sides = meet.select("cell", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    sides, _ = written(spark, sides, "torn-tiles")
+    tiles = placed.drop("sole").join(sides, ["cell", "block"])
     band = F.col("cell").bitwiseAND(255).cast("int")
     held = tiles.join(sets.select("node", "n", "band", "own", "next"), "node").withColumn("bits", F.when(F.col("band") == band, F.col("own")).otherwise(F.col("next"))).drop("own", "next", "band")
     dealt = held.select("cell", "i", "j", "node", "root", "block", "n", "bits").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "node")
@@ -371,11 +396,10 @@ def link_counts(found: DataFrame, roots: DataFrame, sets: DataFrame, join: Join)
     """(node, links): rows of other nodes that a node is linked with. Both ends of a link are in one component, so all pairs
     of a component's sets are compared exactly, block by block: the tiles of a component of n sets are (n / LINK_BLOCK)^2 / 2."""
     rows = found.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("rows"))
-    by = Window.partitionBy("root").orderBy("node")
-    placed = roots.withColumn("block", F.floor((F.row_number().over(by) - 1) / LINK_BLOCK).cast("int"))
-    blocks = placed.groupBy("root").agg(F.max("block").alias("last"))
-    other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
-    tiles = placed.join(rows, "node").join(blocks, "root").select("*", other).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "rows")
+    sizes, _ = written(roots.sparkSession, roots.groupBy("root").agg(F.ceil(F.count("*") / LINK_BLOCK).cast("int").alias("blocks")), "components")
+    placed = roots.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    tiles = placed.join(rows, "node").select("*", other).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "rows")
     dealt = tiles.join(sets.select("node", "text"), "node").select("root", "i", "j", "block", "node", "rows", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "block")
 
     def counted(i: int, j: int, block: list[int], rows: list[int], held: list[np.ndarray]) -> np.ndarray:
@@ -412,15 +436,15 @@ def link_counts(found: DataFrame, roots: DataFrame, sets: DataFrame, join: Join)
     return dealt.mapInArrow(tidy(run), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def rooted(docs: DataFrame, join: Join, key: str, text: str, count: bool = False) -> DataFrame:
+def rooted(docs: DataFrame, join: Join, key: str, text: str, count: bool = False) -> tuple[DataFrame, list[str]]:
     """doc_id, n, node, mark and root (a name of the component; null without words) of every row of docs; if asked, n_links,
-    the number of other rows that the row is linked with."""
+    the number of other rows that the row is linked with. And the tables that these rows are read from."""
     spark = docs.sparkSession
     small_batches(spark)
     wide, wide_path = written(spark, shingled(docs, join, key, text), "shingled")
     met, met_path = written(spark, meetings(wide), "met")
     # The cells are most of that table and not read again.
-    found, _ = written(spark, wide.select("doc_id", "n", "node", "mark"), "sizes")
+    found, found_path = written(spark, wide.select("doc_id", "n", "node", "mark"), "sizes")
     drop(spark, wide_path)
     roots, sets, sets_path = roots_of(docs, join, text, found, met, met_path)
     names = ["doc_id", "n", "node", "mark", "root"]
@@ -433,7 +457,7 @@ def rooted(docs: DataFrame, join: Join, key: str, text: str, count: bool = False
         out = out.join(same.filter("n_links > 0"), "node", "left").select(*names, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     if sets_path:
         drop(spark, sets_path)
-    return out
+    return out, [found_path]
 
 
 def linked(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -444,9 +468,12 @@ def linked(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, key:
     class; repeated rows belong to it each. Null ids are passed over where others are in the component. Links are exact,
     but for 64-bit hashes of shingles and sets. Other columns are not read.
     """
-    found = rooted(docs, Join(words, num, den), key, text, count=True)
-    least = found.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "n_links")
+    found, _ = rooted(docs, Join(words, num, den), key, text, count=True)
+    least = found.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1").select("root", "least")
+    # Written, so that a small table is broadcast, and a component of very many rows can be split.
+    least, _ = written(docs.sparkSession, least.withColumn("several", F.lit(True)), "least")
+    component = F.when(F.col("several"), F.col("least")).otherwise(F.col("doc_id"))
+    return found.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "node", "n_links")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -456,18 +483,24 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     stay. Only rows whose id and text repeat are compared once more by their own set.
     """
     spark = docs.sparkSession
-    rows, _ = written(spark, rooted(docs, Join(words, num, den), key, text).filter("root IS NOT NULL").select("doc_id", "mark", "root"), "classes")
+    found, paths = rooted(docs, Join(words, num, den), key, text)
+    rows, rows_path = written(spark, found.filter("root IS NOT NULL").select("doc_id", "mark", "root"), "classes")
+    drop(spark, *paths)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
     shared = rows.groupBy("root").agg(F.count("*").alias("n"), first).filter("n > 1").drop("n")
+    # Written, so that a small table is broadcast, and a component of very many rows can be split.
+    shared, shared_path = written(spark, shared, "first")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    own_id, own_mark, own_n, own_out = fresh(docs, "__jac_id", "__jac_mark", "__jac_n", "__jac_out")
     # Ids and texts that go, and those of which one of several rows stays.
-    again = rows.join(shared, "root").groupBy(F.col("doc_id").alias("__jac_id"), F.col("mark").alias("__jac_mark")).agg(F.count("*").alias("__jac_n"), F.max((~stays).cast("int")).alias("__jac_out"))
-    marked, _ = written(spark, again.filter("__jac_n > 1 OR __jac_out = 1").drop("__jac_n"), "marked")
-    out = docs.join(marked, F.col(key).eqNullSafe(F.col("__jac_id")) & (F.xxhash64(text) == F.col("__jac_mark")), "left").filter("__jac_out IS NULL OR __jac_out = 0")
-    if marked.filter("__jac_out = 0").isEmpty():
+    again = rows.join(shared, "root").groupBy(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark)).agg(F.count("*").alias(own_n), F.max((~stays).cast("int")).alias(own_out))
+    marked, _ = written(spark, again.filter((F.col(own_n) > 1) | (F.col(own_out) == 1)).drop(own_n), "marked")
+    drop(spark, rows_path, shared_path)
+    out = docs.join(marked, F.col(key).eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_mark)), "left").filter(F.col(own_out).isNull() | (F.col(own_out) == 0))
+    if marked.filter(F.col(own_out) == 0).isEmpty():
         return out.select(*docs.columns)
-    once = out.filter("__jac_out = 0").select(*docs.columns).dropDuplicates([key, text])
-    return out.filter("__jac_out IS NULL").select(*docs.columns).unionByName(once)
+    once = out.filter(F.col(own_out) == 0).select(*docs.columns).dropDuplicates([key, text])
+    return out.filter(F.col(own_out).isNull()).select(*docs.columns).unionByName(once)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,45 @@ def test_jaccard_links(spark, monkeypatch):
     assert max(n for _, n in want) > 14
 
 
+def test_jaccard_blocks(spark, monkeypatch):
+    """A large group of near copies with outsiders in its cells, chains, hubs of many sets, one very long text."""
+    for name, v in (("BLOCK", 16), ("LINK_BLOCK", 32), ("HUB_SETS", 20)):
+        monkeypatch.setattr(jaccard, name, v)
+    draw = random.Random(12)
+    base = [f"w{i}" for i in range(70)]
+    rows = [(1, " ".join(f"v{i}" for i in range(60_000)))]
+    for i in range(300):
+        w = list(base)
+        for _ in range(draw.choice((0, 1, 1, 2))):
+            w[draw.randrange(len(w))] = f"z{draw.randint(0, 99)}"
+        rows.append((100 + i, " ".join(w)))
+    chain = [f"c{i}" for i in range(90)]
+    for i in range(40):
+        rows.append((600 + i, " ".join(chain[i : i + 50])))
+    for k, num in ((3, 90), (5, 80)):
+        got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.linked(odd(spark, rows), k, num).collect()), key=repr)
+        assert got == brute_components(rows, k, num)
+    assert len({c for _, _, c in got if c >= 600}) == 1
+
+
+def test_jaccard_without_filter(spark, monkeypatch):
+    """Marks beyond the filter's largest size are a table."""
+    rows = [(i, " ".join(f"{'abc'[i % 3]}{j}" for j in range(40)) + f" end{i % 5}") for i in range(60)]
+    want = brute_components(rows, 3, 90)
+    partners = jaccard.partners
+    monkeypatch.setattr(jaccard, "partners", lambda *a: partners(*a, most=1))
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.linked(odd(spark, rows)).collect()), key=repr)
+    assert got == want
+
+
+def test_one_of_each_keeps_columns(spark):
+    names = ["__jac_id", "__jac_mark", "__jac_n", "__jac_out", "root", "node", "first"]
+    docs = spark.createDataFrame([(i, "one two three four five six", *names) for i in (2, 1, None, 1)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "one two three four five six", *names)]
+    assert jaccard.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_one_of_each_by_row(spark):
     text = lambda c: " ".join(f"{c}{i}" for i in range(40))
     near = lambda c: text(c) + " more"
