@@ -30,6 +30,9 @@ def render(text: str, engine: int) -> str:
 class Op:
     """A relation defined by SQL over others, which stand in braces in its text: operators, or tables by name."""
 
+    #: Whether its inputs are parsed each for itself: Spark can't always plan one that two others have named subqueries of.
+    apart = False
+
     def __init__(self, name: str, text: str, **inputs: Op | str):
         self.name, self.text, self.inputs = name, text, inputs
         for t in re.findall(r"\{(\w+)\}", text):
@@ -42,6 +45,8 @@ class Op:
 
     def query(self, spark: SparkSession, sf_dir: str, held: dict | None = None) -> DataFrame:
         """The operator over the tables in a folder."""
+        if self.apart:
+            return self.over(spark, **{k: x.query(spark, sf_dir) for k, x in self.inputs.items()})
         held = {} if held is None else held
         for k, x in self.inputs.items():
             key = x if isinstance(x, str) else x.name

@@ -18,33 +18,40 @@ WHERE next IS NOT NULL AND value <> next""")
 
 def betti(pd: Op, grid: int = GRID, sigma: float = SIGMA, name="betti_curve") -> Op:
     """Sum over a dimension's intervals of persistence times a normal density at the middle, as wide as half the interval or
-    sigma; and that divided by its sum over the grid (0 where that is 0). The grid runs to the largest finite death, or 1."""
+    sigma; and that divided by its sum over the grid (0 where that is 0). The grid runs to the largest death, or to 1 if that isn't
+    finite or there is none; bars that never end have no middle and are left out."""
     return Op(name, f"""
-WITH top AS (SELECT coalesce(max(death), 1e0) AS tmax FROM {{pd}}),
+WITH top AS (SELECT CASE WHEN max(death) < 1e308 THEN max(death) ELSE 1e0 END AS tmax FROM {{pd}}),
 g AS (SELECT gi, gi * tmax / {grid - 1:e} AS tau FROM {numbers(grid)} n CROSS JOIN top),
 s AS (SELECT DISTINCT sample, dim FROM {{pd}}),
-i AS (SELECT sample, dim, death - birth AS life, (birth + death) / 2e0 AS mu, greatest({sigma:e}, (death - birth) / 2e0) AS sd FROM {{pd}} WHERE birth < death),
+i AS (SELECT sample, dim, death - birth AS life, (birth + death) / 2e0 AS mu, greatest({sigma:e}, (death - birth) / 2e0) AS sd FROM {{pd}} WHERE birth < death AND death < 1e308),
 r AS (SELECT i.sample, i.dim, g.gi, sum(life * exp(-(tau - mu) * (tau - mu) / (2e0 * sd * sd)) / (sd * sqrt(2e0 * pi()))) AS raw FROM i CROSS JOIN g GROUP BY i.sample, i.dim, g.gi),
 a AS (SELECT s.sample, s.dim, g.gi, g.tau, coalesce(r.raw, 0e0) AS raw FROM s CROSS JOIN g LEFT JOIN r ON r.sample = s.sample AND r.dim = s.dim AND r.gi = g.gi)
 SELECT sample, dim, gi, round(tau, 8) AS tau, round(raw, 8) AS raw, round(coalesce(raw / nullif(sum(raw) OVER (PARTITION BY sample, dim), 0), 0e0), 8) AS norm FROM a""", pd=pd)
 
 
 def euler(curves: Op, name="euler_curve") -> Op:
-    """Alternating sum of the raw curves over dimensions; normalised unless its sum is next to 0."""
+    """Alternating sum of the raw curves over dimensions (of normalised ones the sum would be rounding noise); normalised
+    unless its sum is 0."""
     return Op(name, """
 WITH e AS (SELECT sample, gi, tau, sum(CASE WHEN dim % 2 = 0 THEN raw ELSE -raw END) AS raw FROM {curves} GROUP BY sample, gi, tau),
 t AS (SELECT *, sum(raw) OVER (PARTITION BY sample) AS total FROM e)
-SELECT sample, gi, tau, round(raw, 6) + 0e0 AS raw, round(CASE WHEN abs(total) > 1e-3 THEN raw / total ELSE 0e0 END, 5) + 0e0 AS norm FROM t""", curves=curves)
+SELECT sample, gi, tau, round(raw, 8) + 0e0 AS raw, round(CASE WHEN abs(total) > 1e-12 THEN raw / total ELSE 0e0 END, 6) + 0e0 AS norm FROM t""", curves=curves)
 
 
 def consistent(curves: Op, euler_curve: Op, name="euler_consistency") -> Op:
     return Op(name, """
-SELECT e.sample, e.gi, abs(e.raw - b.raw) < 1e-5 AS consistent FROM {euler} e JOIN
+SELECT e.sample, e.gi, abs(e.raw - b.raw) < 1e-6 AS consistent FROM {euler} e JOIN
   (SELECT sample, gi, sum(CASE WHEN dim % 2 = 0 THEN raw ELSE -raw END) AS raw FROM {curves} GROUP BY sample, gi) b ON e.sample = b.sample AND e.gi = b.gi""", curves=curves, euler=euler_curve)
 
 
 def landscape(pd: Op, grid: int = LANDSCAPE_GRID, t_max: float = 1.0, level: int = 1, name="landscape") -> Op:
-    """The level-th largest tent value over a dimension's intervals, at points of [0, t_max]; 0 without intervals."""
+    """The level-th largest tent value over a dimension's intervals, at points of [0, t_max]; 0 without intervals. The first
+    level is a maximum, which is combined before anything moves."""
+    if level == 1:
+        return Op(name, f"""
+WITH g AS (SELECT gi, gi * {t_max:e} / {grid - 1:e} AS t FROM {numbers(grid)} n)
+SELECT p.sample, p.dim, g.gi, round(max(g.t), 8) AS t, round(max(greatest(0e0, least(t - birth, death - t))), 8) AS v FROM {{pd}} p CROSS JOIN g GROUP BY p.sample, p.dim, g.gi""", pd=pd)
     return Op(name, f"""
 WITH g AS (SELECT gi, gi * {t_max:e} / {grid - 1:e} AS t FROM {numbers(grid)} n), s AS (SELECT DISTINCT sample, dim FROM {{pd}}),
 v AS (SELECT p.sample, p.dim, g.gi, greatest(0e0, least(t - birth, death - t)) AS v, row_number() OVER (PARTITION BY p.sample, p.dim, g.gi ORDER BY greatest(0e0, least(t - birth, death - t)) DESC) AS k FROM {{pd}} p CROSS JOIN g)
@@ -61,7 +68,7 @@ def resampled(curve: Op, points: int, to: int, name="landscape_resampled") -> Op
     return Op(name, f"""
 WITH n AS (SELECT k, k * {points - 1:e} / {to - 1:e} AS x FROM {numbers(to, "k")} m),
 b AS (SELECT k, x, CAST(floor(x) AS INT) AS lo, CAST(least(floor(x) + 1, {points - 1}) AS INT) AS hi FROM n)
-SELECT l.sample, b.k AS gi, round(l.v + (h.v - l.v) * (b.x - b.lo), 5) AS v FROM b JOIN {{curve}} l ON l.gi = b.lo JOIN {{curve}} h ON h.gi = b.hi AND h.sample = l.sample""", curve=curve)
+SELECT l.sample, b.k AS gi, round(l.v + (h.v - l.v) * (b.x - b.lo), 8) AS v FROM b JOIN {{curve}} l ON l.gi = b.lo JOIN {{curve}} h ON h.gi = b.hi AND h.sample = l.sample""", curve=curve)
 
 
 def area(curve: Op, name="landscape_auc") -> Op:
@@ -96,6 +103,12 @@ n AS (SELECT grp, rep, {keys}, {one} AS v FROM b)
 SELECT grp, {keys}, round(avg(v), 6) AS mean, round(#quantile[[v @@ 0.025e0]], 6) AS lower, round(#quantile[[v @@ 0.975e0]], 6) AS upper FROM n GROUP BY grp, {keys}""", curves=curves, drawn=drawn)
 
 
+def euler_bands(band: Op, name="euler_bands") -> Op:
+    """Alternating sums over dimensions of the bands' means, lower and upper curves."""
+    part = lambda c: f"round(sum(CASE WHEN dim % 2 = 0 THEN {c} ELSE -{c} END), 6) + 0e0 AS {c}"
+    return Op(name, f"SELECT grp, gi, {part('mean')}, {part('lower')}, {part('upper')} FROM {{band}} GROUP BY grp, gi", band=band)
+
+
 def group_mean(curves: Op, name="group_curves") -> Op:
     """Mean normalised curve of each group and dimension."""
     return Op(name, f"SELECT {GROUP} AS grp, dim, gi, tau, avg(norm) AS m FROM {{curves}} GROUP BY {GROUP}, dim, gi, tau", curves=curves)

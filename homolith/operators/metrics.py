@@ -4,6 +4,19 @@ from __future__ import annotations
 
 from homolith.functions.sqlop import Op, numbers
 
+
+
+def normal(observed: str, random: str, bigger: bool = True) -> str:
+    """How far an observed value is from the random one to the best: 1, or 0 where smaller is better."""
+    if bigger:
+        return f"({observed} - {random}) / CASE WHEN abs(1e0 - {random}) < 1e-8 THEN 1e-8 ELSE 1e0 - {random} END"
+    return f"(CASE WHEN abs({random}) < 1e-8 THEN 1e-8 ELSE {random} END - {observed}) / CASE WHEN abs({random}) < 1e-8 THEN 1e-8 ELSE {random} END"
+
+
+def code(p: str) -> str:
+    return f"CASE WHEN {p} < 1e-3 THEN '***' WHEN {p} < 1e-2 THEN '**' WHEN {p} < 5e-2 THEN '*' WHEN {p} < 1e-1 THEN '.' ELSE '' END"
+
+
 LABELS = Op("labels_long", "SELECT o_orderkey AS cell, o_orderpriority AS x, o_orderstatus AS y FROM {orders}")
 
 
@@ -40,8 +53,5 @@ SELECT round(max(r.jaccard), 6) AS observed, round(avg(c / (ab - c)), 6) AS rand
 
 
 def normalised(base: Op, name="normalized_metrics") -> Op:
-    """(observed - random) / (1 - random), and the code of the p-value."""
-    return Op(name, "SELECT observed, rand_mean, round((observed - rand_mean) / (1e0 - rand_mean + 1e-8), 6) AS norm, CASE WHEN pval <= 1e-3 THEN '***' WHEN pval <= 1e-2 THEN '**' WHEN pval <= 5e-2 THEN '*' WHEN pval <= 1e-1 THEN '.' ELSE '' END AS flag FROM {base}", base=base)
-
-
-POINTS = Op("points", "SELECT vec_id AS point_id, CAST(label AS VARCHAR(9)) AS sample, embedding FROM {embeddings}")
+    """(observed - random) / (1 - random), a divisor next to 0 being 1e-8; and the code of the p-value."""
+    return Op(name, f"SELECT observed, rand_mean, round({normal('observed', 'rand_mean')}, 6) AS norm, {code('pval')} AS flag FROM {{base}}", base=base)

@@ -43,29 +43,40 @@ def lognorm(counts: Op, name="lognorm") -> Op:
     return Op(name, "SELECT sample, cell, gene, round(ln(1e0 + 1e4 * value / sum(value) OVER (PARTITION BY sample, cell)), 6) AS value FROM {counts}", counts=counts)
 
 
+#: Sums of a gene in a sample and the number of the sample's cells: an absent row is 0 and counts.
+MOMENTS = """n AS (SELECT sample, count(DISTINCT cell) AS n, sum(value) AS total FROM {counts} GROUP BY sample),
+q AS (SELECT c.sample, c.gene, n.n, n.total, sum(c.value) AS s, sum(c.value * c.value) AS ss FROM {counts} c JOIN n ON n.sample = c.sample GROUP BY c.sample, c.gene, n.n, n.total),
+g AS (SELECT sample, gene, n, total, s, s / n AS mean, CASE WHEN n > 1 THEN greatest(0e0, (ss - s * s / n) / (n - 1)) END AS var FROM q)"""
+
+
 def residuals(counts: Op, theta: float = 100.0, name="pearson_residuals") -> Op:
     """Analytic Pearson residuals of negative-binomial counts, cut at the root of the number of cells: an analogue of
     regularised regression. Rows are the counts there are; absent ones would have their own residual."""
     return Op(name, f"""
-WITH t AS (SELECT *, sum(value) OVER (PARTITION BY sample, cell) AS tc, sum(value) OVER (PARTITION BY sample, gene) AS tg FROM {{counts}}),
-s AS (SELECT sample, sum(value) AS total, count(DISTINCT cell) AS n FROM {{counts}} GROUP BY sample),
-m AS (SELECT t.sample, t.cell, t.gene, t.value, t.tc * t.tg / s.total AS mu, sqrt(s.n) AS top FROM t JOIN s ON t.sample = s.sample)
+WITH {MOMENTS}, t AS (SELECT sample, cell, sum(value) AS tc FROM {{counts}} GROUP BY sample, cell),
+m AS (SELECT c.sample, c.cell, c.gene, c.value, t.tc * g.s / g.total AS mu, sqrt(g.n) AS top FROM {{counts}} c JOIN t ON t.sample = c.sample AND t.cell = c.cell JOIN g ON g.sample = c.sample AND g.gene = c.gene)
 SELECT sample, cell, gene, round(greatest(-top, least(top, (value - mu) / sqrt(mu + mu * mu / {theta:e}))), 6) AS value FROM m""", counts=counts)
 
 
 def variable(counts: Op, top: int = 10, name="variable_features") -> Op:
-    """The genes of largest variance in each sample, over the cells that have them."""
-    return Op(name, f"SELECT sample, gene, v, rk FROM (SELECT sample, gene, round(v, 6) AS v, row_number() OVER (PARTITION BY sample ORDER BY round(v, 6) DESC, gene) AS rk FROM (SELECT sample, gene, var_samp(value) AS v FROM {{counts}} GROUP BY sample, gene HAVING count(*) > 1) a) b WHERE rk <= {top}", counts=counts)
+    """The genes of largest variance in each sample, over all of its cells."""
+    return Op(name, f"WITH {MOMENTS} SELECT sample, gene, v, rk FROM (SELECT sample, gene, round(var, 6) AS v, row_number() OVER (PARTITION BY sample ORDER BY round(var, 6) DESC, gene) AS rk FROM g WHERE var IS NOT NULL) b WHERE rk <= {top}", counts=counts)
 
 
-def scaled(counts: Op, name="scale_data") -> Op:
-    """z-scores by sample and gene; without spread 0."""
-    return Op(name, "SELECT sample, cell, gene, round(coalesce((value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0), 0e0), 6) AS value FROM {counts} WINDOW w AS (PARTITION BY sample, gene)", counts=counts)
+def scaled(counts: Op, zeros: bool = False, name="scale_data") -> Op:
+    """z-scores by sample and gene over all cells; without spread 0. With `zeros` also of cells that lack the gene."""
+    z = "round(coalesce(({v} - g.mean) / nullif(sqrt(g.var), 0), 0e0), 6) AS value"
+    rows = f"SELECT c.sample, c.cell, c.gene, {z.format(v='c.value')} FROM {{counts}} c JOIN g ON g.sample = c.sample AND g.gene = c.gene"
+    if zeros:
+        rows = f"SELECT e.sample, e.cell, g.gene, {z.format(v='coalesce(c.value, 0e0)')} FROM (SELECT DISTINCT sample, cell FROM {{counts}}) e JOIN g ON g.sample = e.sample LEFT JOIN {{counts}} c ON c.sample = e.sample AND c.cell = e.cell AND c.gene = g.gene"
+    return Op(name, f"WITH {MOMENTS} {rows}", counts=counts)
 
 
 def centred(counts: Op, name="batch_centring") -> Op:
-    """Each gene's mean in a sample brought to its mean over all: a plain analogue of batch correction."""
-    return Op(name, "SELECT sample, cell, gene, round(value - avg(value) OVER (PARTITION BY sample, gene) + avg(value) OVER (PARTITION BY gene), 6) AS value FROM {counts}", counts=counts)
+    """Each gene's mean in a sample brought to its mean over the cells of all samples: a plain analogue of batch correction."""
+    return Op(name, f"""
+WITH {MOMENTS}, a AS (SELECT sum(n) AS cells FROM n), o AS (SELECT gene, sum(s) / max(a.cells) AS mean FROM g CROSS JOIN a GROUP BY gene)
+SELECT c.sample, c.cell, c.gene, round(c.value - g.mean + o.mean, 6) AS value FROM {{counts}} c JOIN g ON g.sample = c.sample AND g.gene = c.gene JOIN o ON o.gene = c.gene""", counts=counts)
 
 
 def constant_metadata(counts: Op, name="constant_metadata") -> Op:

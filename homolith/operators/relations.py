@@ -7,7 +7,7 @@ from homolith.functions.sqlop import Op
 
 def broadcast_labels(counts: Op, name="cluster_label_broadcast") -> Op:
     """A sample's label on each of its cells; cells of unlabelled samples get null."""
-    return Op(name, "SELECT c.sample, c.cell, l.label FROM (SELECT DISTINCT sample, cell FROM {counts}) c LEFT JOIN (SELECT n_name AS sample, n_regionkey AS label FROM {nation} WHERE n_regionkey < 3) l ON c.sample = l.sample", counts=counts)
+    return Op(name, "SELECT c.sample, c.cell, l.label FROM (SELECT DISTINCT sample, cell FROM {counts}) c LEFT JOIN (SELECT n_name AS sample, n_regionkey AS label FROM {nation}) l ON c.sample = l.sample", counts=counts)
 
 
 def pending(pd: Op, name="pending_jobs_anti") -> Op:
@@ -19,7 +19,7 @@ SELECT j.sample FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.sampl
 
 def wide(w: Op, e: Op, name="wide_stats_full_outer") -> Op:
     """One row for each pair, a column for each statistic; pairs that one side lacks have nulls."""
-    return Op(name, "SELECT coalesce(w.g1, e.g1) AS group1, coalesce(w.g2, e.g2) AS group2, coalesce(w.dim, e.dim) AS dim, w.wasserstein, e.l2, e.effect_size FROM (SELECT * FROM {w} WHERE wasserstein > 1e-3 OR dim = 0) w FULL OUTER JOIN (SELECT * FROM {e} WHERE effect_size > 0 OR dim = 1) e ON w.g1 = e.g1 AND w.g2 = e.g2 AND w.dim = e.dim", w=w, e=e)
+    return Op(name, "SELECT coalesce(w.g1, e.g1) AS group1, coalesce(w.g2, e.g2) AS group2, coalesce(w.dim, e.dim) AS dim, w.wasserstein, e.l2, e.effect_size FROM {w} w FULL OUTER JOIN {e} e ON w.g1 = e.g1 AND w.g2 = e.g2 AND w.dim = e.dim", w=w, e=e)
 
 
 def long(w: Op, name="long_stats") -> Op:

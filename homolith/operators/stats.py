@@ -1,4 +1,4 @@
-"""Comparing groups of curves: Wasserstein, L2 and effect size, permutation p, Kolmogorov-Smirnov, null models, p adjustment."""
+"""Comparing groups of curves in SQL: Wasserstein, L2 and effect size, null models of areas, p adjustment."""
 
 from __future__ import annotations
 
@@ -28,50 +28,25 @@ s AS (SELECT g1, g2, dim, stddev_samp(v) AS sd FROM (SELECT g1, g2, dim, m1 AS v
 SELECT d.g1, d.g2, d.dim, round(l2, 7) AS l2, round(sd, 7) AS sd, round(coalesce(l2 / nullif(sd, 0), 0e0), 5) AS effect_size FROM d JOIN s ON d.g1 = s.g1 AND d.g2 = s.g2 AND d.dim = s.dim""", means=means)
 
 
-def ks(curves: Op, name="pair_ks_d") -> Op:
-    """Per grid point the two-sample D of two groups' curve values, and the largest over the grid."""
-    return Op(name, f"""
-WITH v AS (SELECT {GROUP} AS grp, dim, gi, norm FROM {{curves}}),
-g AS (SELECT DISTINCT grp, dim FROM v), q AS (SELECT a.grp AS g1, b.grp AS g2, a.dim FROM g a JOIN g b ON a.dim = b.dim AND a.grp < b.grp),
-u AS (SELECT q.g1, q.g2, q.dim, v.gi, v.norm, 1 AS side FROM q JOIN v ON v.grp = q.g1 AND v.dim = q.dim UNION ALL SELECT q.g1, q.g2, q.dim, v.gi, v.norm, 2 FROM q JOIN v ON v.grp = q.g2 AND v.dim = q.dim),
-n AS (SELECT *, sum(2 - side) OVER w AS c1, sum(side - 1) OVER w AS c2, sum(2 - side) OVER t AS n1, sum(side - 1) OVER t AS n2 FROM u WINDOW w AS (PARTITION BY g1, g2, dim, gi ORDER BY norm RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), t AS (PARTITION BY g1, g2, dim, gi)),
-d AS (SELECT g1, g2, dim, gi, max(abs(c1 * 1e0 / n1 - c2 * 1e0 / n2)) AS d FROM n GROUP BY g1, g2, dim, gi)
-SELECT g1, g2, dim, round(max(d), 8) AS ks_stat FROM d GROUP BY g1, g2, dim""", curves=curves)
-
-
-def permutation(curves: Op, reps: int = 20, seed: int = 42, name="pair_perm_p") -> Op:
-    """Share of label shuffles whose integrated difference of mean curves reaches the observed one. Side 1 of a shuffle are
-    the first n1 samples by a hash of seed, rep and sample; rep -1 is the observed labelling."""
-    return Op(name, f"""
-WITH v AS (SELECT sample, {GROUP} AS grp, dim, gi, tau, norm FROM {{curves}}), s AS (SELECT DISTINCT sample, grp FROM v), g AS (SELECT grp, count(*) AS n FROM s GROUP BY grp),
-q AS (SELECT a.grp AS g1, b.grp AS g2, a.n AS n1 FROM g a JOIN g b ON a.grp < b.grp),
-m AS (SELECT q.g1, q.g2, q.n1, s.sample, CASE WHEN s.grp = q.g1 THEN 1 ELSE 2 END AS side FROM q JOIN s ON s.grp = q.g1 OR s.grp = q.g2),
-r AS (SELECT g1, g2, rep, sample, CASE WHEN row_number() OVER (PARTITION BY g1, g2, rep ORDER BY #hash[['{seed}|' || CAST(rep AS VARCHAR(9)) || '|' || sample]], sample) <= n1 THEN 1 ELSE 2 END AS side FROM m CROSS JOIN {numbers(reps, "rep")} k),
-l AS (SELECT g1, g2, rep, sample, side FROM r UNION ALL SELECT g1, g2, -1, sample, side FROM m),
-c AS (SELECT l.g1, l.g2, l.rep, v.dim, v.gi, v.tau, avg(CASE WHEN side = 1 THEN norm END) - avg(CASE WHEN side = 2 THEN norm END) AS d FROM l JOIN v ON v.sample = l.sample GROUP BY l.g1, l.g2, l.rep, v.dim, v.gi, v.tau),
-t AS (SELECT *, lag(tau) OVER w AS pt, lag(d) OVER w AS pd FROM c WINDOW w AS (PARTITION BY g1, g2, rep, dim ORDER BY gi)),
-z AS (SELECT g1, g2, rep, dim, round(sqrt(sum((tau - pt) * (d * d + pd * pd) / 2e0)), 9) AS stat FROM t WHERE pt IS NOT NULL GROUP BY g1, g2, rep, dim)
-SELECT a.g1, a.g2, a.dim, round(avg(CASE WHEN a.stat >= o.stat THEN 1e0 ELSE 0e0 END), 6) AS perm_p FROM z a JOIN z o ON o.g1 = a.g1 AND o.g2 = a.g2 AND o.dim = a.dim AND o.rep = -1 WHERE a.rep >= 0 GROUP BY a.g1, a.g2, a.dim""", curves=curves)
-
-
 def null_areas(areas: Op, reps: int = 50, seed: int = 100, name="null_landscape") -> Op:
-    """Per resample of all areas: the effect |difference of the halves' means| / sd, and the gap of their cumulated shares in
-    draw order; then mean, sd and percent points. Fewer than two samples give no row."""
+    """Per resample of all areas, the first half of whose draws (rounded down) is set against the others: the effect
+    |difference of means| / sd, the two-sample KS statistic, and the largest gap of the cumulated shares in draw order (null
+    if either sums to 0; a shorter first half starts anew). Of each the mean, sd and percent points. Fewer than two
+    samples give no row."""
     return Op(name, f"""
 WITH o AS (SELECT area, row_number() OVER (ORDER BY sample) - 1 AS slot, count(*) OVER () AS n FROM {{areas}}),
 d AS (SELECT r.rep, o.slot, o.n, #hash[['{seed}|' || CAST(r.rep AS VARCHAR(9)) || '|' || CAST(o.slot AS VARCHAR(9))]] % o.n AS pick FROM o CROSS JOIN {numbers(reps, "rep")} r),
-h AS (SELECT d.rep, CASE WHEN d.slot * 2 < d.n THEN 1 ELSE 2 END AS side, o.area FROM d JOIN o ON o.slot = d.pick WHERE d.n >= 2),
-e AS (SELECT rep, coalesce(abs(avg(CASE WHEN side = 1 THEN area END) - avg(CASE WHEN side = 2 THEN area END)) / nullif(stddev_samp(area), 0), 0e0) AS effect FROM h GROUP BY rep)
-SELECT count(*) AS reps, round(avg(effect), 6) AS mean, round(stddev_samp(effect), 6) AS sd, round(#quantile[[effect @@ 0.025e0]], 6) AS q025, round(#quantile[[effect @@ 0.5e0]], 6) AS q50, round(#quantile[[effect @@ 0.975e0]], 6) AS q975 FROM e""", areas=areas)
+h AS (SELECT d.rep, d.slot, d.n, CASE WHEN d.slot < floor(d.n / 2e0) THEN 1 ELSE 2 END AS side, o.area FROM d JOIN o ON o.slot = d.pick WHERE d.n >= 2),
+e AS (SELECT rep, coalesce(abs(avg(CASE WHEN side = 1 THEN area END) - avg(CASE WHEN side = 2 THEN area END)) / nullif(stddev_samp(area), 0), 0e0) AS effect FROM h GROUP BY rep),
+k AS (SELECT rep, max(abs(c1 * 1e0 / n1 - c2 * 1e0 / n2)) AS ks FROM (SELECT rep, sum(2 - side) OVER w AS c1, sum(side - 1) OVER w AS c2, sum(2 - side) OVER t AS n1, sum(side - 1) OVER t AS n2 FROM h WINDOW w AS (PARTITION BY rep ORDER BY area RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), t AS (PARTITION BY rep)) u GROUP BY rep),
+f AS (SELECT rep, side, n, CAST(slot - CASE WHEN side = 2 THEN floor(n / 2e0) ELSE 0 END AS INT) AS place, sum(area) OVER (PARTITION BY rep, side ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / nullif(sum(area) OVER (PARTITION BY rep, side), 0) AS share FROM h),
+g AS (SELECT b.rep, max(abs(a.share - b.share)) AS gap FROM f b JOIN f a ON a.rep = b.rep AND a.side = 1 AND a.place = b.place % CAST(floor(b.n / 2e0) AS INT) WHERE b.side = 2 GROUP BY b.rep),
+m AS (SELECT 'effect' AS stat, effect AS v FROM e UNION ALL SELECT 'ks', ks FROM k UNION ALL SELECT 'cdf_gap', gap FROM g)
+SELECT stat, count(*) AS reps, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(#quantile[[v @@ 0.025e0]], 6) AS q025, round(#quantile[[v @@ 0.5e0]], 6) AS q50, round(#quantile[[v @@ 0.975e0]], 6) AS q975 FROM m GROUP BY stat""", areas=areas)
 
 
 def adjusted(ps: Op, name="bh_adjust") -> Op:
-    """Benjamini-Hochberg ("fdr" is the same) and Bonferroni, over the p that aren't null; the two dimensions are two families."""
+    """Benjamini-Hochberg ("fdr" is the same) and Bonferroni, over the p that aren't null; each comparison is a family."""
     return Op(name, """
-WITH n AS (SELECT *, count(perm_p) OVER (PARTITION BY dim) AS n, row_number() OVER (PARTITION BY dim ORDER BY perm_p, g1, g2) AS rk FROM {ps} WHERE perm_p IS NOT NULL)
-SELECT g1, g2, dim, perm_p, round(least(1e0, min(perm_p * n / rk) OVER (PARTITION BY dim ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS p_bh, round(least(1e0, perm_p * n), 6) AS p_bonferroni FROM n""", ps=ps)
-
-
-def flat(w: Op, e: Op, name="cross_iteration_stats") -> Op:
-    """The flat table of pair statistics: one row for each pair and comparison."""
-    return Op(name, "SELECT w.g1 || '_vs_' || w.g2 AS pair, 'dimension_' || CAST(w.dim AS VARCHAR(9)) AS comparison, w.wasserstein, e.effect_size FROM {w} w JOIN {e} e ON w.g1 = e.g1 AND w.g2 = e.g2 AND w.dim = e.dim", w=w, e=e)
+WITH n AS (SELECT *, count(perm_p) OVER (PARTITION BY comparison) AS n, row_number() OVER (PARTITION BY comparison ORDER BY perm_p, g1, g2) AS rk FROM {ps} WHERE perm_p IS NOT NULL)
+SELECT g1, g2, comparison, perm_p, round(least(1e0, min(perm_p * n / rk) OVER (PARTITION BY comparison ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS p_bh, round(least(1e0, perm_p * n), 6) AS p_bonferroni FROM n""", ps=ps)

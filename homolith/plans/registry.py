@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from homolith.operators import curves as c
 from homolith.operators import metrics as m
+from homolith.operators import comparisons as x
 from homolith.operators import qc, relations, stats, topology
+from homolith.sources.cuts import cut
 
 PCT = qc.feature_pct(qc.COUNTS)
 # The tables here have cells of few genes: the limits of the filter are parameters.
@@ -18,8 +20,12 @@ LAND_CURVE = c.landscape_curve(LAND)
 AREA = c.area(LAND_CURVE)
 DRAWS = c.draws(c.DIAGRAM)
 MEANS = c.group_mean(BETTI)
+BANDS = c.bands(BETTI, DRAWS)
+EULER_BANDS = c.euler_bands(BANDS)
+LAND_WIDE = c.resampled(LAND_CURVE, c.LANDSCAPE_GRID, c.GRID)
+INDIVIDUALS = x.individuals(BETTI, EULER, LAND_WIDE, c.GRID)
+GROUP_BANDS = x.group_curves(BANDS, EULER_BANDS, c.bands(LAND_WIDE, DRAWS, "v", "gi", True, "landscape_wide_bands"))
 WASSERSTEIN, EFFECT = stats.wasserstein(MEANS), stats.l2_effect(MEANS)
-PERM = stats.permutation(BETTI)
 TABLE = m.contingency(m.LABELS)
 METRICS = m.metrics(TABLE)
 GROUPS = m.random_groups(m.LABELS)
@@ -27,13 +33,21 @@ BASE = m.baseline(m.LABELS, GROUPS, METRICS)
 
 SQL = [
     PCT, KEPT, qc.genes(qc.COUNTS, KEPT, 3), qc.samples(KEPT, 20), qc.lognorm(qc.COUNTS), qc.residuals(qc.COUNTS), qc.variable(qc.COUNTS), qc.scaled(qc.COUNTS), qc.centred(qc.COUNTS), qc.constant_metadata(qc.COUNTS), qc.zero_filled(qc.COUNTS),
-    BETTI, EULER, c.consistent(BETTI, EULER), LAND, c.landscape(c.DIAGRAM, level=2, name="landscape_level2"), LAND_CURVE, c.resampled(LAND_CURVE, c.LANDSCAPE_GRID, 120), AREA, c.landscape_distance(LAND), c.bands(BETTI, DRAWS), c.bands(LAND_CURVE, DRAWS, "v", "gi", True, "landscape_bands"),
-    WASSERSTEIN, EFFECT, stats.ks(BETTI), PERM, stats.null_areas(AREA), stats.adjusted(PERM), stats.flat(WASSERSTEIN, EFFECT),
+    BETTI, EULER, c.consistent(BETTI, EULER), LAND, c.landscape(c.DIAGRAM, level=2, name="landscape_level2"), LAND_CURVE, LAND_WIDE, AREA, c.landscape_distance(LAND), BANDS, EULER_BANDS, GROUP_BANDS, c.bands(LAND_CURVE, DRAWS, "v", "gi", True, "landscape_bands"),
+    WASSERSTEIN, EFFECT, stats.null_areas(AREA),
     TABLE, METRICS, GROUPS, BASE, m.normalised(BASE),
     relations.broadcast_labels(qc.COUNTS), relations.pending(c.DIAGRAM), relations.wide(WASSERSTEIN, EFFECT), relations.long(WASSERSTEIN), relations.completed(qc.COUNTS), relations.labels(), relations.fill_down(),
 ]
 
 
+def curve_frames(spark, sf_dir):
+    """Curves of samples and of groups, computed once: Betti curves first, which all others come from."""
+    held = {BETTI.name: cut(BETTI.query(spark, sf_dir)), LAND_WIDE.name: cut(LAND_WIDE.query(spark, sf_dir)), DRAWS.name: cut(DRAWS.query(spark, sf_dir))}
+    held[BANDS.name] = cut(BANDS.query(spark, sf_dir, dict(held)))
+    means = GROUP_BANDS.over(spark, **{k: op.query(spark, sf_dir, dict(held)) if op.name not in held else held[op.name] for k, op in GROUP_BANDS.inputs.items()})
+    return cut(INDIVIDUALS.query(spark, sf_dir, dict(held))), cut(means.select("comparison", "grp", "gi", "m"))
+
+
 def points(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return e.select(F.col("label").cast("string").alias("sample"), F.col("vec_id").alias("point_id"), F.col("embedding").alias("vec"))
@@ -53,6 +67,12 @@ def _mnn(spark, sf_dir):
 
 
 KERNELS = {
+    "pair_stats": lambda s, d: x.pair_stats(*curve_frames(s, d)),
+    "cross_iteration_stats": lambda s, d: x.flat(x.pair_stats(*curve_frames(s, d))),
+    "pair_stats_heat": lambda s, d: x.heat_table(x.pair_stats(*curve_frames(s, d))),
+    "bh_adjust": lambda s, d: stats.adjusted(INDIVIDUALS).over(s, ps=x.pair_stats(*curve_frames(s, d))),
+    "null_aggregated": lambda s, d: x.null_aggregated(INDIVIDUALS.query(s, d).filter("comparison = 'landscape'")),
+    "null_euler": lambda s, d: x.null_euler(BETTI.query(s, d)),
     "h0_mst_deaths": lambda s, d: topology.diagrams(points(s, d), 0),
     "h1_diagram": _h1,
     "bottleneck": _bottleneck,
@@ -67,4 +87,12 @@ KERNELS = {
 }
 
 QUERIES = {op.name: op.query for op in SQL} | KERNELS
-ORACLES = {op.name: op.oracle() for op in SQL}
+ORACLES = {op.name: op.oracle() for op in SQL} | {
+    "pair_stats": x.oracle(INDIVIDUALS, GROUP_BANDS, "SELECT * FROM pair"),
+    "bh_adjust": x.oracle(INDIVIDUALS, GROUP_BANDS, """SELECT a.g1, a.g2, a.comparison, a.perm_p, round(min(least(1e0, b.perm_p * b.n / b.above)), 6) AS p_bh, round(least(1e0, max(a.perm_p * b.n)), 6) AS p_bonferroni
+FROM pair a JOIN (SELECT p.comparison, p.perm_p, count(*) AS above, max(t.n) AS n FROM pair p JOIN (SELECT comparison, count(*) AS n FROM pair GROUP BY ALL) t USING (comparison) JOIN pair o ON o.comparison = p.comparison AND o.perm_p <= p.perm_p GROUP BY p.comparison, p.perm_p, p.g1, p.g2) b ON b.comparison = a.comparison AND b.perm_p >= a.perm_p GROUP BY ALL"""),
+    "cross_iteration_stats": x.oracle(INDIVIDUALS, GROUP_BANDS, "SELECT 'all' AS \"Group\", g1 || '_vs_' || g2 AS \"Pair\", comparison AS \"Comparison\", wasserstein, perm_p, effect_size, ks_stat, ks_adj_p FROM pair"),
+    "pair_stats_heat": x.oracle(INDIVIDUALS, GROUP_BANDS, """, l AS (FROM pair UNPIVOT INCLUDE NULLS (v FOR stat IN (wasserstein, perm_p, effect_size, ks_stat, ks_adj_p)))
+SELECT i, j, comparison, stat, v, CASE WHEN stat IN ('perm_p', 'ks_adj_p') THEN round(-log10(CASE WHEN v = 0 THEN 1e-16 ELSE v END), 5) + 0e0 END AS minus_log10
+FROM (SELECT g1 AS i, g2 AS j, comparison, stat, v FROM l UNION ALL SELECT g2, g1, comparison, stat, v FROM l WHERE g1 <> g2) b"""),
+}
