@@ -28,13 +28,13 @@ def rips_h0(d: np.ndarray) -> np.ndarray:
     return np.sort(np.array(out))
 
 
-def rips_h1(d: np.ndarray) -> np.ndarray:
-    """(birth, death) of loops. Past the enclosing radius the complex is a cone, so edges and triangles beyond it are left
+def rips_h1(d: np.ndarray, threshold: float = np.inf) -> np.ndarray:
+    """(birth, death) of loops that die up to a threshold. Past the enclosing radius the complex is a cone, so edges and triangles beyond it are left
     out. Columns are bit sets in Python integers; edges of the spanning forest give birth to no loop and aren't waited for."""
     n = len(d)
     if n < 3:
         return np.zeros((0, 2))
-    limit = d.max(axis=1).min()
+    limit = min(d.max(axis=1).min(), threshold)
     i, j = np.triu_indices(n, 1)
     keep = d[i, j] <= limit
     i, j = i[keep], j[keep]
@@ -151,9 +151,11 @@ def spectral(d: np.ndarray, eigen: int = 50, scale: float = 0.5, normalized: boo
 
 
 def linkage(d: np.ndarray, method: str = "average") -> list[tuple[int, int, float, int]]:
-    """Merges (left, right, height, size) by Lance-Williams: average, complete, single, mcquitty, ward.D2. Singletons are 0 to n - 1."""
+    """Merges (left, right, height, size) by Lance-Williams. Singletons are 0 to n - 1. The matrix must be square, symmetric and finite."""
     n = len(d)
     d = np.array(d, float)
+    if d.ndim != 2 or d.shape[0] != d.shape[1] or not np.isfinite(d).all() or not np.allclose(d, d.T):
+        raise ValueError("distances must be a square, symmetric matrix of finite numbers")
     if method == "ward.D2":
         d = d**2
     np.fill_diagonal(d, np.inf)
@@ -171,6 +173,13 @@ def linkage(d: np.ndarray, method: str = "average") -> list[tuple[int, int, floa
             new = (di + dj) / 2
         elif method == "ward.D2":
             new = ((size[i] + size) * di + (size[j] + size) * dj - size * h) / (size[i] + size[j] + size)
+        elif method == "ward.D":
+            new = ((size[i] + size) * di + (size[j] + size) * dj - size * h) / (size[i] + size[j] + size)
+        elif method == "median":
+            new = (di + dj) / 2 - h / 4
+        elif method == "centroid":
+            both = size[i] + size[j]
+            new = (size[i] * di + size[j] * dj) / both - size[i] * size[j] * h / both**2
         else:
             raise ValueError(f"unknown linkage {method}")
         alive[j] = False
@@ -197,6 +206,30 @@ def cut(merges: list[tuple[int, int, float, int]], n: int, k: int) -> np.ndarray
     return label
 
 
+def components(x: np.ndarray, k: int, scale: bool = True) -> np.ndarray:
+    """Coordinates in the first k principal components of centred (and scaled) columns; constant columns are left out. Each
+    component's largest weight is positive."""
+    x = x - x.mean(axis=0)
+    sd = x.std(axis=0, ddof=1) if len(x) > 1 else np.zeros(x.shape[1])
+    x = x[:, sd > 0] / (sd[sd > 0] if scale else 1)
+    if not x.shape[1]:
+        return np.zeros((len(x), k))
+    u, s, v = np.linalg.svd(x, full_matrices=False)
+    sign = np.sign(v[np.arange(len(v)), np.abs(v).argmax(axis=1)])
+    out = (u * s * sign)[:, :k]
+    return np.pad(out, ((0, 0), (0, k - out.shape[1])))
+
+
+def knn_distance(x: np.ndarray, k: int) -> np.ndarray:
+    """Distance of each row to its k-th nearest other row (the last one if there are fewer), some rows at a time."""
+    k, out = min(k, len(x) - 1), []
+    for i in range(0, len(x), 1024):
+        d = np.sqrt(((x[i : i + 1024, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+        d[np.arange(len(d)), np.arange(i, i + len(d))] = -1.0
+        out.append(np.partition(d, k, axis=1)[:, k])
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def spectral_clusters(d: np.ndarray, k: int, seed: int = 5, rounds: int = 50) -> np.ndarray:
     """k-means on the normalised rows of the top k eigenvectors of a Gaussian similarity."""
     d = np.asarray(d, float)

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from homolith.functions import kernels
+from homolith.sources.cuts import cut
 
 
-def diagrams(points: DataFrame, max_dim: int = 1, sample: str = "sample", point: str = "point_id", vector: str = "vec") -> DataFrame:
-    """sample, dim, feature_id, birth, death of the Vietoris-Rips complex of each sample's points (the endless component and
-    bars of no length are left out). One task for each sample; only the three columns are moved."""
+def diagrams(points: DataFrame, max_dim: int = 1, sample: str = "sample", point: str = "point_id", vector: str = "vec", threshold: float = -1.0) -> DataFrame:
+    """sample, dim, feature_id, birth, death of the Vietoris-Rips complex of each sample's points up to a threshold (below 0:
+    none). The endless component, bars that outlast the threshold and bars of no length are left out. One task for each
+    sample; only the three columns are moved."""
+    top = threshold if threshold >= 0 else np.inf
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("point_id")
         d = kernels.distances(np.stack(p["vec"].to_list()).astype(float))
         dead = kernels.rips_h0(d)
+        dead = dead[dead <= top]
         out = [pd.DataFrame({"dim": 0, "birth": 0.0, "death": dead[dead > 0]})]
         if max_dim > 0:
-            loops = kernels.rips_h1(d)
+            loops = kernels.rips_h1(d, top)
             out.append(pd.DataFrame({"dim": 1, "birth": loops[:, 0], "death": loops[:, 1]}))
         out = pd.concat(out, ignore_index=True)
         out.insert(0, "sample", p["sample"].iloc[0])
@@ -31,19 +37,23 @@ def diagrams(points: DataFrame, max_dim: int = 1, sample: str = "sample", point:
     return narrow.groupBy("sample").applyInPandas(run, "sample string, dim int, feature_id int, birth double, death double")
 
 
-def bottleneck(diagrams_: DataFrame, dim: int = 1) -> DataFrame:
-    """i, j, d for all samples i < j; a sample without bars of the dimension has the empty diagram."""
-    bars = F.filter(F.collect_list(F.when(F.col("dim") == dim, F.struct("birth", "death"))), lambda x: x.isNotNull())
-    each = diagrams_.groupBy("sample").agg(F.to_json(F.sort_array(bars)).alias("bars"))
-    pairs = each.alias("a").join(each.alias("b"), F.col("a.sample") < F.col("b.sample")).select(F.col("a.sample").alias("i"), F.col("b.sample").alias("j"), F.col("a.bars").alias("x"), F.col("b.bars").alias("y"))
-    pairs = pairs.repartition(F.xxhash64("i", "j"))
+def bottleneck(diagrams_: DataFrame, dim: int = 1, samples: DataFrame | None = None) -> DataFrame:
+    """i, j, d for all samples i < j (of `samples`, if given); a sample without bars of the dimension has the empty diagram.
 
-    def run(frames):
-        import json
+    Diagrams move once for each pair, as arrays; pairs are dealt evenly."""
+    own = F.col("dim") == dim
+    bars = F.array_sort(F.filter(F.collect_list(F.when(own, F.struct("birth", "death"))), lambda x: x.isNotNull()))
+    each = diagrams_.groupBy("sample").agg(bars.alias("bars")).select("sample", F.col("bars.birth").alias("birth"), F.col("bars.death").alias("death"))
+    if samples is not None:
+        none = F.array().cast("array<double>")
+        each = samples.select("sample").distinct().join(each, "sample", "left").select("sample", *[F.coalesce(c, none).alias(c) for c in ("birth", "death")])
+    each = each.withColumn("key", F.lit("all"))
+    side = lambda n: each.select("key", F.col("sample").alias(n), F.col("birth").alias(f"b{n}"), F.col("death").alias(f"d{n}"))
+    pairs = side("i").join(side("j"), "key").filter("i < j").drop("key").repartition(F.xxhash64("i", "j"))
 
-        read = lambda s: np.array([(v["birth"], v["death"]) for v in json.loads(s)], float).reshape(-1, 2)
+    def run(frames):
         for p in frames:
-            yield pd.DataFrame({"i": p["i"], "j": p["j"], "d": [kernels.bottleneck(read(x), read(y)) for x, y in zip(p["x"], p["y"], strict=True)]})
+            yield pd.DataFrame({"i": p["i"], "j": p["j"], "d": [kernels.bottleneck(np.column_stack([a, b]), np.column_stack([c, d])) for a, b, c, d in zip(p["bi"], p["di"], p["bj"], p["dj"], strict=True)]})
 
     return pairs.mapInPandas(run, "i string, j string, d double")
 
@@ -73,26 +83,45 @@ def spectral_distance(dist: DataFrame, eigen: int = 50) -> DataFrame:
     return _one(dist).groupBy("iteration").applyInPandas(run, "iteration string, i string, j string, d double")
 
 
+# The linkages that are known, and those that are taken if none are named.
+LINKAGES = ("ward.D", "ward.D2", "single", "complete", "average", "mcquitty", "median", "centroid")
 METHODS = ("ward.D2", "average", "complete", "mcquitty")
 
 
+def linkages(methods) -> list[str]:
+    """Each method once, with a warning if one repeats; unknown ones, or none, are errors."""
+    if not methods:
+        raise ValueError("no linkage is named")
+    unknown = [m for m in methods if m not in LINKAGES]
+    if unknown:
+        raise ValueError(f"unknown linkages: {', '.join(unknown)}")
+    out = list(dict.fromkeys(methods))
+    if len(out) < len(methods):
+        warnings.warn("linkages that repeat are taken once", stacklevel=2)
+    return out
+
+
 def merges(dist: DataFrame, methods=METHODS) -> DataFrame:
     """iteration, linkage, step, a, b, height, size: the tree of each linkage."""
+    methods = linkages(methods)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         _, d = _square(p)
-        rows = [(p["iteration"].iloc[0], m, step, *row) for m in dict.fromkeys(methods) for step, row in enumerate(kernels.linkage(d, m))]
+        rows = [(p["iteration"].iloc[0], m, step, *row) for m in methods for step, row in enumerate(kernels.linkage(d, m))]
         return pd.DataFrame(rows, columns=["iteration", "linkage", "step", "a", "b", "height", "size"])
 
     return _one(dist).groupBy("iteration").applyInPandas(run, "iteration string, linkage string, step int, a int, b int, height double, size int")
 
 
 def clusters(dist: DataFrame, k: int, methods=METHODS, spectral: bool = True) -> DataFrame:
-    """iteration, sample, method, label: trees cut into k, and spectral clusters."""
+    """iteration, sample, method, label: trees cut into k, and spectral clusters. k must be from 1 to the number of samples."""
+    methods = linkages(methods)
+    if k < 1:
+        raise ValueError("k must be from 1 to the number of items")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         names, d = _square(p)
-        out = {f"hierarchical_{m}": kernels.cut(kernels.linkage(d, m), len(names), min(k, len(names))) for m in dict.fromkeys(methods)}
+        out = {f"hierarchical_{m}": kernels.cut(kernels.linkage(d, m), len(names), min(k, len(names))) for m in methods}
         if spectral:
             out["spectral"] = kernels.spectral_clusters(d, min(k, len(names)))
         return pd.DataFrame([(p["iteration"].iloc[0], n, m, int(v)) for m, labels in out.items() for n, v in zip(names, labels, strict=True)], columns=["iteration", "sample", "method", "label"])
@@ -100,38 +129,63 @@ def clusters(dist: DataFrame, k: int, methods=METHODS, spectral: bool = True) ->
     return _one(dist).groupBy("iteration").applyInPandas(run, "iteration string, sample string, method string, label int")
 
 
-def knn_threshold(points: DataFrame, k: int = 5, q: float = 0.9) -> DataFrame:
-    """sample, threshold: a quantile of the distances to the k-th neighbour within a sample, zeros left out."""
+def knn_threshold(points: DataFrame, k: int = 100, q: float = 0.9, dim: int = 1) -> DataFrame:
+    """sample, threshold: a quantile of the distances to the k-th neighbour within a sample, among the first `dim` principal
+    components of centred and scaled columns; zeros are left out, and nothing but zeros is an error. One task a sample."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        d = np.sort(kernels.distances(np.stack(p["vec"].to_list()).astype(float)), axis=1)
-        v = d[:, min(k, len(d) - 1)]
+        name = p["sample"].iloc[0]
+        v = kernels.knn_distance(kernels.components(np.stack(p["vec"].to_list()).astype(float), dim), k)
         v = v[v > 0]
-        return pd.DataFrame({"sample": [p["sample"].iloc[0]], "threshold": [float(np.quantile(v, q)) if len(v) else None]})
+        if not len(v):
+            raise ValueError(f"all distances to neighbours are zero in sample {name}")
+        return pd.DataFrame({"sample": [name], "threshold": [float(np.quantile(v, q))]})
 
     return points.select("sample", "vec").groupBy("sample").applyInPandas(run, "sample string, threshold double")
 
 
+#: Points of a block of the operators that compare all points with all.
+BLOCK = 512
+
+
+def blocked(points: DataFrame) -> DataFrame:
+    """(s, block, p, v, n): each sample's points in blocks of about BLOCK, as arrays, with the sample's number of points."""
+    sizes = points.groupBy("sample").agg(F.count("*").alias("n"))
+    block = F.pmod(F.xxhash64("point_id"), F.ceil(F.col("n") / BLOCK).cast("long")).cast("int")
+    rows = points.select("sample", "point_id", "vec").join(sizes, "sample").withColumn("block", block)
+    held = rows.groupBy(F.col("sample").alias("s"), "block", "n").agg(F.array_sort(F.collect_list(F.struct("point_id", "vec"))).alias("rows"))
+    return held.select("s", "block", "n", F.col("rows.point_id").alias("p"), F.col("rows.vec").alias("v"))
+
+
+def block_pairs(blocks: DataFrame, condition: str) -> DataFrame:
+    """Pairs of blocks, columns of the second with an o before them. There are (points / BLOCK)^2 pairs; points move once for each."""
+    a, b = blocks.withColumn("key", F.lit(1)), blocks.select(F.lit(1).alias("key"), *[F.col(c).alias(f"o{c}") for c in blocks.columns])
+    return a.join(b, "key").filter(condition).drop("key").repartition(F.xxhash64("s", "block", "os", "oblock"))
+
+
+def _apart(a, b) -> np.ndarray:
+    a, b = np.stack(list(a)).astype(float), np.stack(list(b)).astype(float)
+    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+
+
 def silhouette(points: DataFrame) -> DataFrame:
-    """sample, points and mean silhouette (Euclidean) over all; null with fewer than two samples or a sample of one point.
+    """sample, points and mean silhouette (Euclidean) over all; null with fewer than two samples or if a sample has one point.
 
-    Each point meets the other samples' points in blocks of one sample, not all at once.
-    """
-    left = points.select(F.col("point_id").alias("p"), F.col("sample").alias("s"), F.col("vec").alias("v"))
-    blocks = points.groupBy("sample").agg(F.collect_list("vec").alias("block")).withColumnRenamed("sample", "o")
+    Blocks of points meet in numpy and give sums of distances, one row for each point and sample, which are combined."""
+    blocks = blocked(points)
+    pairs = block_pairs(blocks, "true")
 
     def run(frames):
         for f in frames:
-            mean = []
-            for v, b, same in zip(f["v"], f["block"], f["s"] == f["o"], strict=True):
-                b = np.stack(list(b)).astype(float)
-                total = np.sqrt(((b - np.asarray(v, float)) ** 2).sum(axis=1)).sum()
-                mean.append(total / (len(b) - 1) if same and len(b) > 1 else np.nan if same else total / len(b))
-            yield pd.DataFrame({"p": f["p"], "s": f["s"], "o": f["o"], "d": mean})
-
-    d = left.join(blocks, F.lit(True)).mapInPandas(run, "p long, s string, o string, d double")
+            for s, o, n, on, p, v, w in zip(f["s"], f["os"], f["n"], f["on"], f["p"], f["v"], f["ov"], strict=True):
+                yield pd.DataFrame({"p": p, "s": s, "o": o, "n": on - (s == o), "d": _apart(v, w).sum(axis=1)})
+
+    d = pairs.mapInPandas(run, "p long, s string, o string, n long, d double").groupBy("p", "s", "o").agg((F.sum("d") / F.nullif(F.max("n"), F.lit(0))).alias("d"))
     each = d.groupBy("p", "s").agg(F.max(F.when(F.col("s") == F.col("o"), F.col("d"))).alias("a"), F.min(F.when(F.col("s") != F.col("o"), F.col("d"))).alias("b"))
-    return each.groupBy("s").agg(F.count("*").alias("points"), F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette")).withColumnRenamed("s", "sample")
+    out = each.groupBy("s").agg(F.count("*").alias("points"), F.avg(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 0.0))).alias("silhouette"))
+    lone = out.agg(F.min("points").alias("least"), F.count("*").alias("samples"))
+    whole = (F.col("least") > 1) & (F.col("samples") > 1)
+    return out.join(F.broadcast(lone)).select(F.col("s").alias("sample"), "points", F.when(whole, F.col("silhouette")).alias("silhouette"))
 
 
 def kmeans(points: DataFrame, k: int, starts: int = 25, seed: int = 1) -> DataFrame:
@@ -154,10 +208,85 @@ def pca(points: DataFrame, k: int = 2) -> DataFrame:
     return PCA(k=k, inputCol="features", outputCol="pc").fit(x).transform(x).select("point_id", vector_to_array("pc").alias("pc"))
 
 
-def mutual_neighbours(a: DataFrame, b: DataFrame, k: int = 5) -> DataFrame:
-    """pa, pb, d: pairs of points of two batches that are among each other's k nearest: anchors of an integration."""
-    x, y = a.select(F.col("point_id").alias("pa"), F.col("vec").alias("va")), b.select(F.col("point_id").alias("pb"), F.col("vec").alias("vb"))
-    d = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    pairs = x.join(y, F.lit(True)).select("pa", "pb", d.alias("d"))
-    rank = lambda by, other: F.row_number().over(Window.partitionBy(by).orderBy("d", other))
-    return pairs.select("*", rank("pa", "pb").alias("ra"), rank("pb", "pa").alias("rb")).filter((F.col("ra") <= k) & (F.col("rb") <= k)).select("pa", "pb", "d")
+def mutual_neighbours(points: DataFrame, k: int = 5) -> DataFrame:
+    """batch_a, batch_b, pa, pb, d: pairs of points of two batches a < b that are among each other's k nearest: anchors of an
+    integration. Ties go to the smaller id. Blocks of points meet in numpy, and k neighbours of a point and block are ranked."""
+    pairs = block_pairs(blocked(points), "s < os")
+
+    def run(frames):
+        for f in frames:
+            for s, o, p, q, v, w in zip(f["s"], f["os"], f["p"], f["op"], f["v"], f["ov"], strict=True):
+                d, p, q = _apart(v, w), np.asarray(p), np.asarray(q)
+                near = np.zeros(d.shape, bool)
+                np.put_along_axis(near, np.argsort(d, axis=1, kind="stable")[:, :k], True, axis=1)
+                np.put_along_axis(near, np.argsort(d, axis=0, kind="stable")[:k], True, axis=0)
+                i, j = np.nonzero(near)
+                yield pd.DataFrame({"batch_a": s, "batch_b": o, "pa": p[i], "pb": q[j], "d": d[i, j]})
+
+    found = pairs.mapInPandas(run, "batch_a string, batch_b string, pa long, pb long, d double")
+    rank = lambda by, other: F.row_number().over(Window.partitionBy("batch_a", "batch_b", by).orderBy("d", other))
+    return found.select("*", rank("pa", "pb").alias("ra"), rank("pb", "pa").alias("rb")).filter((F.col("ra") <= k) & (F.col("rb") <= k)).drop("ra", "rb")
+
+
+def corrected(points: DataFrame, anchors: DataFrame, reference: str, weigh: int = 50) -> DataFrame:
+    """sample, point_id, vec: the points of every other batch moved to the reference batch by the differences of their anchor
+    pairs, weighted by a Gaussian kernel of the distance to the `weigh` nearest anchors; a batch without anchors stays as it
+    is. A plain analogue of anchor integration. A block of points and all anchors of its batch are one task."""
+    ends = anchors.filter((F.col("batch_a") == reference) | (F.col("batch_b") == reference))
+    own_first = F.col("batch_a") == reference
+    ends = ends.select(F.when(own_first, F.col("batch_b")).otherwise(F.col("batch_a")).alias("s"), F.when(own_first, F.col("pa")).otherwise(F.col("pb")).alias("to"), F.when(own_first, F.col("pb")).otherwise(F.col("pa")).alias("at"))
+    vec = points.select(F.col("point_id").alias("k"), F.transform("vec", lambda x: x.cast("double")).alias("x"))
+    moves = ends.join(vec.withColumnRenamed("k", "to").withColumnRenamed("x", "xt"), "to").join(vec.withColumnRenamed("k", "at").withColumnRenamed("x", "xa"), "at")
+    held = moves.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("at", "to", "xa", "xt"))).alias("m")).select("s", F.col("m.xa").alias("xa"), F.col("m.xt").alias("xt"))
+    rows = blocked(points).join(held, "s", "left")
+
+    def run(frames):
+        for f in frames:
+            for s, p, v, a, t in zip(f["s"], f["p"], f["v"], f["xa"], f["xt"], strict=True):
+                x = np.stack(list(v)).astype(float)
+                if a is not None and s != reference:
+                    a, t = np.stack(list(a)).astype(float), np.stack(list(t)).astype(float)
+                    d = _apart(x, a)
+                    n = min(weigh, len(a))
+                    near = np.argsort(d, axis=1, kind="stable")[:, :n]
+                    far = np.take_along_axis(d, near, axis=1)
+                    width = np.maximum(far[:, -1:], 1e-12)
+                    w = np.exp(-((2 * far / width) ** 2) / 2)
+                    x = x + (w[:, :, None] * (t - a)[near]).sum(axis=1) / w.sum(axis=1)[:, None]
+                yield pd.DataFrame({"sample": s, "point_id": p, "vec": list(x)})
+
+    return rows.select("s", "p", "v", "xa", "xt").mapInPandas(run, "sample string, point_id long, vec array<double>")
+
+
+def graph_clusters(points: DataFrame, k: int = 20, rounds: int = 20) -> DataFrame:
+    """point_id, label: labels spread over the graph of shared nearest neighbours until they stay (at most `rounds` times): a
+    point takes the label that weighs most among its neighbours, of equal weights the smaller. An analogue of community
+    search on a neighbour graph."""
+    one = points.withColumn("sample", F.lit("all"))
+    pairs = block_pairs(blocked(one), "true")
+
+    def run(frames):
+        for f in frames:
+            for p, q, v, w in zip(f["p"], f["op"], f["v"], f["ov"], strict=True):
+                d, p, q = _apart(v, w), np.asarray(p), np.asarray(q)
+                d[p[:, None] == q[None, :]] = np.inf
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                i = np.repeat(np.arange(len(p)), near.shape[1])
+                j = near.ravel()
+                keep = np.isfinite(d[i, j])
+                yield pd.DataFrame({"p": p[i[keep]], "q": q[j[keep]], "d": d[i[keep], j[keep]]})
+
+    near = pairs.mapInPandas(run, "p long, q long, d double").withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("d", "q"))).filter(F.col("r") <= k).select("p", "q")
+    edges = cut(near.unionByName(near.select(F.col("q").alias("p"), F.col("p").alias("q"))).groupBy("p", "q").agg(F.count("*").alias("w")))
+    labels, still = points.select("point_id", F.col("point_id").alias("label")), 0
+    for turn in range(rounds):
+        heard = edges.join(labels, F.col("q") == F.col("point_id")).groupBy("p", "label").agg(F.sum("w").alias("w"))
+        # Half of the points change at a time, so that two don't swap their labels for ever.
+        best = heard.groupBy("p").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("new"))
+        moved = labels.join(best, F.col("p") == F.col("point_id"), "left").select("point_id", "label", F.when(F.pmod(F.xxhash64("point_id"), F.lit(2)) == turn % 2, F.coalesce("new", "label")).otherwise(F.col("label")).alias("new"))
+        moved = cut(moved)
+        labels = moved.select("point_id", F.col("new").alias("label"))
+        still = still + 1 if moved.filter("label <> new").isEmpty() else 0
+        if still == 2:
+            break
+    return labels

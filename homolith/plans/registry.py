@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from homolith.operators import curves as c
 from homolith.operators import metrics as m
+from homolith.functions.sqlop import Op
+from homolith.operators import clusterings as k
 from homolith.operators import comparisons as x
 from homolith.operators import qc, relations, stats, topology
 from homolith.sources.cuts import cut
@@ -31,6 +33,8 @@ METRICS = m.metrics(TABLE)
 GROUPS = m.random_groups(m.LABELS)
 BASE = m.baseline(m.LABELS, GROUPS, METRICS)
 
+CLUSTERINGS, REFERENCES = Op("clusterings", k.LABELS_SQL), Op("references", k.REFERENCES_SQL)
+
 SQL = [
     PCT, KEPT, qc.genes(qc.COUNTS, KEPT, 3), qc.samples(KEPT, 20), qc.lognorm(qc.COUNTS), qc.residuals(qc.COUNTS), qc.variable(qc.COUNTS), qc.scaled(qc.COUNTS), qc.centred(qc.COUNTS), qc.constant_metadata(qc.COUNTS), qc.zero_filled(qc.COUNTS),
     BETTI, EULER, c.consistent(BETTI, EULER), LAND, c.landscape(c.DIAGRAM, level=2, name="landscape_level2"), LAND_CURVE, LAND_WIDE, AREA, c.landscape_distance(LAND), BANDS, EULER_BANDS, GROUP_BANDS, c.bands(LAND_CURVE, DRAWS, "v", "gi", True, "landscape_bands"),
@@ -48,6 +52,15 @@ def curve_frames(spark, sf_dir):
     return cut(INDIVIDUALS.query(spark, sf_dir, dict(held))), cut(means.select("comparison", "grp", "gi", "m"))
 
 
+def comparison(spark, sf_dir):
+    return k.comparison(CLUSTERINGS.query(spark, sf_dir), REFERENCES.query(spark, sf_dir), GROUPS.query(spark, sf_dir))
+
+
+def comparison_oracle() -> str:
+    held = GROUPS.parts(REFERENCES.parts(CLUSTERINGS.parts({})))
+    return "WITH " + ",\n".join([f"{n} AS ({v})" for n, v in held.items()] + [f"lab AS (SELECT * FROM r_{CLUSTERINGS.name}), refs AS (SELECT * FROM r_{REFERENCES.name}), grp AS (SELECT * FROM r_{GROUPS.name})"]) + "," + k.ORACLE
+
+
 def points(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return e.select(F.col("label").cast("string").alias("sample"), F.col("vec_id").alias("point_id"), F.col("embedding").alias("vec"))
@@ -58,15 +71,22 @@ def _h1(spark, sf_dir):
 
 
 def _bottleneck(spark, sf_dir):
-    return topology.bottleneck(_h1(spark, sf_dir))
+    return topology.bottleneck(_h1(spark, sf_dir), samples=points(spark, sf_dir))
 
 
 def _mnn(spark, sf_dir):
+    found = topology.mutual_neighbours(points(spark, sf_dir))
+    return found.withColumn("d", F.round("d", 6))
+
+
+def _corrected(spark, sf_dir):
     p = points(spark, sf_dir)
-    return topology.mutual_neighbours(p.filter("sample = '0'"), p.filter("sample = '1'"))
+    return topology.corrected(p, topology.mutual_neighbours(p), "0")
 
 
 KERNELS = {
+    "cluster_comparison": comparison,
+    "cluster_comparison_wide": lambda s, d: k.wide(comparison(s, d)),
     "pair_stats": lambda s, d: x.pair_stats(*curve_frames(s, d)),
     "cross_iteration_stats": lambda s, d: x.flat(x.pair_stats(*curve_frames(s, d))),
     "pair_stats_heat": lambda s, d: x.heat_table(x.pair_stats(*curve_frames(s, d))),
@@ -80,15 +100,27 @@ KERNELS = {
     "linkage_merges": lambda s, d: topology.merges(_bottleneck(s, d)),
     "distance_clusters": lambda s, d: topology.clusters(_bottleneck(s, d), 3),
     "knn_threshold": lambda s, d: topology.knn_threshold(points(s, d)),
-    "silhouette": lambda s, d: topology.silhouette(points(s, d)),
+    "silhouette": lambda s, d: topology.silhouette(points(s, d)).withColumn("silhouette", F.round("silhouette", 6)),
     "kmeans": lambda s, d: topology.kmeans(points(s, d), 10),
     "pca": lambda s, d: topology.pca(points(s, d)),
     "mnn_integration": _mnn,
+    "mnn_correction": _corrected,
+    "graph_clusters": lambda s, d: topology.graph_clusters(points(s, d)),
 }
 
 QUERIES = {op.name: op.query for op in SQL} | KERNELS
 ORACLES = {op.name: op.oracle() for op in SQL} | {
     "pair_stats": x.oracle(INDIVIDUALS, GROUP_BANDS, "SELECT * FROM pair"),
+    "cluster_comparison": comparison_oracle(),
+    "silhouette": """WITH p AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS s, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.id, a.s, b.s AS o, sum(list_distance(a.v, b.v)) / nullif(count(*) - CASE WHEN a.s = b.s THEN 1 ELSE 0 END, 0) AS d FROM p a CROSS JOIN p b GROUP BY a.id, a.s, b.s),
+e AS (SELECT id, s, max(CASE WHEN s = o THEN d END) AS a, min(CASE WHEN s <> o THEN d END) AS b FROM d GROUP BY ALL),
+t AS (SELECT s AS sample, count(*) AS points, avg((b - a) / greatest(a, b)) AS m FROM e GROUP BY ALL)
+SELECT sample, points, CASE WHEN (SELECT min(points) FROM t) > 1 AND (SELECT count(*) FROM t) > 1 THEN round(m, 6) END AS silhouette FROM t""",
+    "mnn_integration": """WITH p AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS s, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.s AS batch_a, b.s AS batch_b, a.id AS pa, b.id AS pb, list_distance(a.v, b.v) AS d FROM p a JOIN p b ON a.s < b.s),
+r AS (SELECT *, row_number() OVER (PARTITION BY batch_a, batch_b, pa ORDER BY d, pb) AS ra, row_number() OVER (PARTITION BY batch_a, batch_b, pb ORDER BY d, pa) AS rb FROM d)
+SELECT batch_a, batch_b, pa, pb, round(d, 6) AS d FROM r WHERE ra <= 5 AND rb <= 5""",
     "bh_adjust": x.oracle(INDIVIDUALS, GROUP_BANDS, """SELECT a.g1, a.g2, a.comparison, a.perm_p, round(min(least(1e0, b.perm_p * b.n / b.above)), 6) AS p_bh, round(least(1e0, max(a.perm_p * b.n)), 6) AS p_bonferroni
 FROM pair a JOIN (SELECT p.comparison, p.perm_p, count(*) AS above, max(t.n) AS n FROM pair p JOIN (SELECT comparison, count(*) AS n FROM pair GROUP BY ALL) t USING (comparison) JOIN pair o ON o.comparison = p.comparison AND o.perm_p <= p.perm_p GROUP BY p.comparison, p.perm_p, p.g1, p.g2) b ON b.comparison = a.comparison AND b.perm_p >= a.perm_p GROUP BY ALL"""),
     "cross_iteration_stats": x.oracle(INDIVIDUALS, GROUP_BANDS, "SELECT 'all' AS \"Group\", g1 || '_vs_' || g2 AS \"Pair\", comparison AS \"Comparison\", wasserstein, perm_p, effect_size, ks_stat, ks_adj_p FROM pair"),
