@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 from homolith.functions.sqlop import Op
+from homolith.sources import tables
 
 
 def broadcast_labels(counts: Op, name="cluster_label_broadcast") -> Op:
@@ -33,8 +39,69 @@ def completed(counts: Op, name="complete_fill") -> Op:
 
 
 def labels(name="iteration_labels") -> Op:
-    """Names of processing variants brought to their labels; unknown ones stay. The preferred one comes first."""
-    return Op(name, "WITH cfg AS (SELECT * FROM (VALUES ('Raw', 'raw', 1), ('SCT_Individual', 'sctInd', 2), ('SCT_Whole', 'sctWhole', 3), ('Seurat Integration', 'seurat_integration', 4), ('Harmony Integration', 'harmony_integration', 5)) AS v(label, prefix, ord)), ids AS (SELECT * FROM (VALUES ('raw'), ('Seurat Integration'), ('seurat_integration'), ('other')) AS v(id)) SELECT i.id, coalesce(c.label, i.id) AS label, 'BDM_' || coalesce(c.prefix, i.id) || '.csv' AS bdm_path, row_number() OVER (ORDER BY CASE WHEN c.label = 'Seurat Integration' THEN 0 ELSE 1 END, coalesce(c.ord, 99), i.id) AS ord FROM ids i LEFT JOIN cfg c ON i.id = c.prefix OR i.id = c.label")
+    """Names of processing variants brought to their labels, unknown ones as they are, with the names of their tables. The
+    preferred one comes first."""
+    config = ", ".join(f"('{label}', '{prefix}', {i}, '{'unintegrated_' if prefix in tables.UNINTEGRATED else ''}')" for i, (label, prefix, _) in enumerate(tables.ITERATIONS, 1))
+    return Op(name, f"WITH cfg AS (SELECT * FROM (VALUES {config}) AS v(label, prefix, ord, pre)), ids AS (SELECT DISTINCT CASE event_type WHEN 'click' THEN 'raw' WHEN 'error' THEN 'Seurat Integration' WHEN 'purchase' THEN 'harmony_integration' ELSE event_type END AS id FROM {{events}}) SELECT i.id, coalesce(c.label, i.id) AS label, 'BDM_' || coalesce(c.pre || c.prefix, i.id) || '.rds' AS bdm_matrix, 'SDM_' || coalesce(c.pre || c.prefix, i.id) || '.rds' AS sdm_matrix, 'PD_list_' || coalesce(c.pre || c.prefix, i.id) || '.rds' AS pd_list, row_number() OVER (ORDER BY CASE WHEN c.label = '{tables.PREFERRED}' THEN 0 ELSE 1 END, coalesce(c.ord, 99), i.id) AS ord FROM ids i LEFT JOIN cfg c ON i.id = c.prefix OR i.id = c.label")
+
+
+def first_match(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first row of each key in an order (ties are broken by the other columns, so that reruns agree)."""
+    by = Window.partitionBy(*keys).orderBy(*order, *[c for c in rows.columns if c not in keys])
+    at = "__first"
+    return rows.withColumn(at, F.row_number().over(by)).filter(F.col(at) == 1).drop(at)
+
+
+def annotated(cells: DataFrame, manifest: DataFrame, key: str = "sample") -> DataFrame:
+    """Cells with their sample's metadata, by name and not by position; a sample that the manifest repeats has its first row."""
+    more = [c for c in manifest.columns if c != key and c not in cells.columns]
+    one = first_match(manifest.select(key, *more), [key], [F.col(c) for c in more])
+    return cells.join(F.broadcast(one), key, "left")
+
+
+def preferring(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left rows; of columns on both sides the right value, where there is one."""
+    shared = [c for c in right.columns if c in left.columns and c not in keys]
+    renamed = right.select(*keys, *[F.col(c).alias(f"{c}.right") for c in shared], *[c for c in right.columns if c not in left.columns])
+    out = left.join(renamed, keys, "left")
+    return out.select(*[F.coalesce(F.col(f"`{c}.right`"), F.col(c)).alias(c) if c in shared else F.col(c) for c in left.columns], *[c for c in right.columns if c not in left.columns])
+
+
+def aligned(frames: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Diagrams of several iterations as one table: (diagrams, metadata) by iteration. A diagram has the first metadata row of
+    its sample, diagrams without one are dropped, columns that all have are kept, and samples are named iteration_sample."""
+    out = []
+    for name, (pd, meta) in frames.items():
+        joined = pd.join(annotated(pd.select("sample").distinct().join(meta.select("sample").distinct(), "sample"), meta), "sample")
+        out.append(joined.withColumn("iteration", F.lit(name)).withColumn("sample", F.concat_ws("_", F.lit(name), "sample")))
+    common = [c for c in out[0].columns if all(c in f.columns for f in out)]
+    return reduce(lambda a, b: a.unionByName(b), [f.select(*common) for f in out])
+
+
+def in_order(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """Rows sorted by an outer list of names, others last."""
+    order = rows.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], f"`{key}` string, __ord int")
+    return rows.join(F.broadcast(order), key, "left").orderBy(F.col("__ord").asc_nulls_last(), key).drop("__ord")
+
+
+def one_per_sample(cells: DataFrame, columns: list[str], cell: str = "cell") -> DataFrame:
+    """Each column's value in a sample's smallest cell."""
+    return cells.groupBy("sample").agg(*[F.min_by(c, cell).alias(c) for c in columns])
+
+
+def spans(rows: DataFrame, group: str, at: str) -> DataFrame:
+    """Least, largest and middle place of each group."""
+    return rows.groupBy(group).agg(F.min(at).alias("least"), F.max(at).alias("most"), ((F.min(at) + F.max(at)) / 2).alias("middle"))
+
+
+def prefixed(cells: DataFrame) -> DataFrame:
+    """Cells named sample_cell, so that merged samples have no name twice."""
+    return cells.withColumn("cell", F.concat_ws("_", "sample", F.col("cell").cast("string")))
+
+
+def merged(samples: list[DataFrame]) -> DataFrame:
+    """Samples' long matrices as one, cells named by sample; a gene that a sample lacks is 0 there, as an absent row is."""
+    return reduce(lambda a, b: a.unionByName(b), [prefixed(s) for s in samples])
 
 
 def fill_down(name="fill_down") -> Op:

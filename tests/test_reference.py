@@ -58,7 +58,7 @@ def test_rips_against_full_reduction(seed):
 
 def test_linkage_and_cut():
     d = kernels.distances(np.array([[0.0], [0.1], [5.0], [5.2]]))
-    for m in topology.METHODS:
+    for m in topology.LINKAGES:
         assert kernels.cut(kernels.linkage(d, m), 4, 2).tolist() == [1, 1, 2, 2]
     with pytest.raises(ValueError):
         kernels.cut(kernels.linkage(d), 4, 9)
@@ -107,7 +107,79 @@ def test_sources(spark, tmp_path):
         tables.matrices(spark, [str(tmp_path / "none.parquet")])
     one = str(tmp_path / "s1.sparse.parquet")
     spark.createDataFrame([("c", "g", 1.0)], "cell string, gene string, value double").write.parquet(one)
+    assert [tuple(r) for r in tables.matrices(spark, [one]).collect()] == [("c", "g", 1.0, "s1")]
     assert tables.toy_counts(spark, 2, 10, 10).count() > 0
+    cfg = tmp_path / "c.csv"
+    cfg.write_text("label,prefix,assay\nRaw,raw,RNA\n")
+    assert tables.iteration_config(spark, str(cfg)).collect()[0]["prefix"] == "raw"
+    cfg.write_text("label,assay\nRaw,RNA\n")
+    with pytest.raises(ValueError, match="prefix"):
+        tables.iteration_config(spark, str(cfg))
+    log = str(tmp_path / "log")
+    tables.log_progress(spark.createDataFrame([("a", "completed", 0.5), ("b", "failed", None)], "job_id string, status string, threshold double"), log)
+    jobs = spark.createDataFrame([("a",), ("b",), ("c",)], "job_id string")
+    assert sorted(r["job_id"] for r in tables.unfinished(jobs, spark.read.parquet(log)).collect()) == ["b", "c"]
+
+
+def test_points_and_clusters(spark):
+    draw = np.random.default_rng(4)
+    x = np.concatenate([draw.normal(0, 0.2, (30, 4)), draw.normal(3, 0.2, (30, 4))])
+    rows = [("ab"[i // 30], i, [float(v) for v in r]) for i, r in enumerate(x)]
+    points = spark.createDataFrame(rows, "sample string, point_id long, vec array<double>")
+    d = kernels.distances(x)
+    own = np.arange(60) // 30
+    a = np.array([d[i, own == own[i]].sum() / 29 for i in range(60)])
+    b = np.array([d[i, own != own[i]].mean() for i in range(60)])
+    got = {r["sample"]: r["silhouette"] for r in topology.silhouette(points).collect()}
+    assert np.isclose(got["a"], ((b - a) / np.maximum(a, b))[:30].mean()) and np.isclose(got["b"], ((b - a) / np.maximum(a, b))[30:].mean())
+    one = points.unionByName(spark.createDataFrame([("c", 99, [0.0] * 4)], points.schema))
+    assert {r["silhouette"] for r in topology.silhouette(one).collect()} == {None}
+    labels = {r["point_id"]: r["label"] for r in topology.graph_clusters(points, 5).collect()}
+    assert not {labels[i] for i in range(30)} & {labels[i] for i in range(30, 60)}
+    assert len({r["label"] for r in topology.kmeans(points, 2, starts=2).collect()}) == 2
+    anchors = topology.mutual_neighbours(points, 3)
+    assert all(r["batch_a"] == "a" and r["pa"] < 30 <= r["pb"] for r in anchors.collect())
+    moved = {r["point_id"]: np.array(r["vec"]) for r in topology.corrected(points, anchors, "a").collect()}
+    assert np.allclose(moved[0], x[0]) and np.abs(np.mean([moved[i] for i in range(30, 60)], axis=0)).max() < 1
+    sd = x[:30].std(axis=0, ddof=1)
+    _, _, v = np.linalg.svd((x[:30] - x[:30].mean(axis=0)) / sd)
+    line = ((x[:30] - x[:30].mean(axis=0)) / sd) @ v[0]
+    near = np.sort(np.abs(line[:, None] - line[None]), axis=1)[:, 7]
+    threshold = {r["sample"]: r["threshold"] for r in topology.knn_threshold(points, 7).collect()}
+    assert np.isclose(threshold["a"], np.quantile(near, 0.9))
+    same = spark.createDataFrame([("s", i, [1.0, 2.0]) for i in range(5)], points.schema)
+    with pytest.raises(Exception, match="zero"):
+        topology.knn_threshold(same).collect()
+    dist = topology.bottleneck(topology.diagrams(points, 1), samples=one)
+    assert {(r["i"], r["j"]) for r in dist.collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
+    cut_off = topology.diagrams(points, 1, threshold=0.3)
+    assert cut_off.agg({"death": "max"}).first()[0] <= 0.3
+
+
+def test_linkage_names():
+    with pytest.raises(ValueError, match="unknown"):
+        topology.linkages(["average", "other"])
+    with pytest.raises(ValueError):
+        topology.linkages([])
+    with pytest.warns(UserWarning):
+        assert topology.linkages(["average", "average"]) == ["average"]
+    with pytest.raises(ValueError, match="square"):
+        kernels.linkage(np.zeros((2, 3)))
+
+
+def test_stream_adds_diagrams_once(spark, tmp_path):
+    from homolith.streaming import incremental
+
+    src, table = str(tmp_path / "in"), str(tmp_path / "pd")
+    schema = "sample string, point_id long, vec array<double>"
+    rows = lambda s: spark.createDataFrame([(s, i, [float(i), float(i * i % 5)]) for i in range(6)], schema)
+    rows("a").write.parquet(src)
+    for turn in range(3):
+        incremental.add_diagrams(spark.readStream.schema(schema).parquet(src), table, str(tmp_path / "ck")).awaitTermination()
+        if turn == 0:
+            rows("b").write.mode("append").parquet(src)
+    got = spark.read.parquet(table).groupBy("sample").count().collect()
+    assert {r["sample"]: r["count"] for r in got} == {s: topology.diagrams(rows(s)).count() for s in "ab"}
 
 
 def test_entry(spark):
