@@ -136,6 +136,46 @@ def test_secrets(spark):
     assert models[0].loglik("identifier") < models[1].loglik("identifier")
 
 
+def brute_secrets(t):
+    """Leftmost matches of the contract's patterns, letters of the first in either case, those that fail their length dropped."""
+    words = "password|passwd|secret|token|api_?key"
+    spans = [(m.start(), 0, m.end()) for m in re.finditer(f"(?i:({words}))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t, re.ASCII) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 20]
+    return sorted(spans + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if m.end() - m.start() >= 24])
+
+
+def test_secrets_against_patterns(spark):
+    draw = random.Random(3)
+    parts = [*"aAf0 =:'\"-_./é\n", "password", "Token", "api_key", "APIKEY", "AKIA", "deadbeef0123", "ABCDEFGH12345678", "x9Qz7LmPw2VbN4tRk8Ys", "\u017fecret"]
+    rows = [(i, "".join(draw.choices(parts, k=draw.randint(0, 60)))) for i in range(400)] + [(400, "token: " + "Ab1" * 5), (400, "token: " + "Ab1" * 5), (None, "f" * 30), (401, ("key Qw8Zt5Rb1Xk7Mv3Lp9Hn " + "a" * 30 + " ") * 20_000)]
+    docs = odd(spark, rows)
+    models = (secrets.Markov(secrets.random_strings()), secrets.Markov(["the", "token", "counter_value", "getUserName", "identifier"] * 20))
+    got = [r for r in secrets.find(docs, models).collect()]
+    want = sorted((repr(i), hashlib.sha256(secrets.joined(brute_secrets(t)).encode()).hexdigest()) for i, t in rows)
+    assert sorted((repr(r["doc_id"]), r["base_sha256"]) for r in got) == want
+    for r, (_, t) in zip(sorted(got, key=lambda r: repr(r["doc_id"])), sorted(rows, key=lambda r: repr(r[0])), strict=True):
+        spans = [s.split(":") for s in r["spans"].split(",") if s]
+        model = [(int(a), int(b)) for k, a, b in spans if k == "model"]
+        base = brute_secrets(t)
+        runs = {(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", t)}
+        free = {(a, b) for a, b in runs if not any(x < b and a < y for x, _, y in base)} if len(t) < 10_000 else runs - {(a, b) for a, _, b in base}
+        ratio = lambda s: (models[0].loglik(s) - models[1].loglik(s)) / len(s)
+        assert model == sorted((a, b) for a, b in free if ratio(t[a:b]) > secrets.THRESHOLD)
+        assert len(t) < 10_000 or len(model) == 20_000
+    assert secrets.find(empty(spark), models).count() == 0 and secrets.train(empty(spark))[1].loglik("the") < 0
+
+
+def test_markov_by_hand():
+    """Order two, filled up with single characters' shares."""
+    m = secrets.Markov(["ab", "ab", "ac"], weight=4.0)
+    alphabet = len(secrets.Markov.ALPHABET)
+    share = {"a": 4 / (alphabet + 6), "b": 3 / (alphabet + 6)}
+    from math import log
+
+    assert abs(m.loglik("ab") - log((3 + 4 * share["a"]) / 7) - log((2 + 4 * share["b"]) / 7)) < 1e-12
+    assert abs(m.loglik("b") - log(4 / 7) - log(share["b"])) < 1e-12
+
+
 def test_secrets_of_any_length():
     texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()
     models = (secrets.Markov(secrets.random_strings()), secrets.Markov(secrets.ordinary(set().union(*(secrets.identifiers(t or "") for t in texts))) + secrets.numbers()))
@@ -233,6 +273,42 @@ def test_url_rules(spark):
             assert (got[i]["rule"], got[i]["verdict"]) == want
 
 
+def test_mixing_keeps_columns(spark):
+    names = ["__mix_source", "__mix_size", "__mix_target", "__mix_copy", "rate", "copies", "target", "source_size"]
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 3), ("a", "b", None)[i % 3], *names) for i in range(300)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and all(tuple(r)[3:] == tuple(names) for r in out.collect())
+    assert mixing.planned(docs).count() == 300 and mixing.mix(docs.limit(0)).count() == 0
+    again = sorted(map(repr, mixing.mix(docs).collect()))
+    assert again == sorted(map(repr, out.collect()))
+
+
+def test_mixing_hot_source(spark):
+    """A third of all rows in one source, sources of equal reach, repeated rows and ids."""
+    rows = [(i % 50, "a b c", f"s{max(i % 6 - 2, 0)}") for i in range(900)]
+    got = mixing.planned(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 900 and all(r["taken"] <= 3 * r["size"] for r in got)
+    of = {}
+    for r in got:
+        of.setdefault((r["doc_id"], r["target"], r["source_size"]), set()).add(r["copies"])
+    assert all(len(v) == 1 for v in of.values())
+
+
+def test_warc_selects_records(spark, monkeypatch):
+    """Only chosen records of the index are read, with ranges that join near ones, across files and damage."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    rows = [(i, f"http://h/{i}", "".join(random.Random(i).choices(string.ascii_letters, k=1500))) for i in range(40)] + [(7, "http://h/7", "x" * 2000), (7, "http://h/7", "x" * 2000)]
+    pages = spark.createDataFrame([(*r, "d", "f") for r in rows], "page_id long, url string, html string, digest string, file string").repartition(2)
+    folder = warc.new_path(spark, "warc-test")
+    index, _ = warc.written(spark, warc.write(warc.classified(pages), folder), "warc-index")
+    assert index.count() == 42 and index.select("file").distinct().count() > 4
+    some = warc.read(index.filter("page_id % 3 = 0"), folder).collect()
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in some) == sorted((i, h) for i, _, h in rows if i % 3 == 0)
+    assert {r["record_type"] for r in warc.read(index.filter("page_id = 7"), folder).collect()} == {"response"}
+    assert warc.read(index.limit(0), folder).count() == 0
+    assert warc.archive(pages.limit(0)).count() == 0
+
+
 def test_warc(spark):
     big = "é" * 600
     rows = [(1, "http://a", big), (2, "http://b", big), (3, None, big), (4, "http://c", "x" * 999), (5, "u", "x" * 999), (6, "u", None), (None, "u", big)]
