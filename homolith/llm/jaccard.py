@@ -447,14 +447,19 @@ def rooted(docs: DataFrame, join: Join, key: str, text: str, count: bool = False
     found, found_path = written(spark, wide.select("doc_id", "n", "node", "mark"), "sizes")
     drop(spark, wide_path)
     roots, sets, sets_path = roots_of(docs, join, text, found, met, met_path)
-    names = ["doc_id", "n", "node", "mark", "root"]
-    out = found.withColumn("root", F.col("node")) if roots is None else found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select(*names)
+    # What is known of a node is one written table: a join with it can split a set of very many rows, two joins in a row can't.
+    known = roots
     if count:
-        same = found.filter("node IS NOT NULL").groupBy("node").agg((F.count("*") - 1).alias("n_links"))
+        known = found.filter("node IS NOT NULL").groupBy("node").agg((F.count("*") - 1).alias("n_links"))
         if roots is not None:
             links, _ = written(spark, link_counts(found, roots, sets, join), "link-counts")
-            same = same.join(links, "node", "left").select("node", (F.col("n_links") + F.coalesce("links", F.lit(0))).alias("n_links"))
-        out = out.join(same.filter("n_links > 0"), "node", "left").select(*names, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+            known = known.join(links, "node", "left").join(roots, "node", "left").select("node", (F.col("n_links") + F.coalesce("links", F.lit(0))).alias("n_links"), "root")
+        else:
+            known = known.withColumn("root", F.lit(None).cast("long"))
+        known, _ = written(spark, known.filter("n_links > 0"), "nodes")
+    names = ["doc_id", "n", "node", "mark", "root"]
+    out = found.withColumn("root", F.col("node")) if known is None else found.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    out = out.select(*names, *[F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] * count)
     if sets_path:
         drop(spark, sets_path)
     return out, [found_path]
