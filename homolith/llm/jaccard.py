@@ -166,7 +166,8 @@ def partners(docs: DataFrame, join: Join, text: str, found: DataFrame, met: Data
     Only texts whose marks pass a filter of such nodes' marks, or beyond its largest size are in a table of them, are split
     into shingles again, and moved."""
     spark = docs.sparkSession
-    marks = found.filter("node IS NOT NULL").join(met.select("node").distinct(), "node", "left_semi").select("mark").distinct()
+    # Rows of one text are one before they move.
+    marks = found.filter("node IS NOT NULL").select("node", "mark").distinct().join(met.select("node").distinct(), "node", "left_semi").select("mark").distinct()
     marks, _ = written(spark, marks, "marks")
     size = max(16, (16 * marks.count()).bit_length())
     rows = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
