@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, flac, jaccard, mixing, pii, secrets, toxicity, urlfilter, warc
+from . import ann, bpe, fim, fingerprints, flac, jaccard, mixing, pii, runs, secrets, toxicity, urlfilter, warc
 from .common import table
 
 
@@ -25,6 +25,9 @@ QUERIES = {
     "op8_mixing": op8,
     "op9_url_filter": op9,
     "op10_warc": warc.query,
+    "op11_runs": runs.query,
+    "op12_fingerprints": fingerprints.query,
+    "op13_fim": fim.query,
 }
 
 MIXING = """
@@ -41,4 +44,4 @@ c AS (SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN CAST('0x' || substr(md5(
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM c
 """
 
-ORACLES = {"op8_mixing": MIXING, "op9_url_filter": urlfilter.ORACLE, "op10_warc": warc.ORACLE}
+ORACLES = {"op8_mixing": MIXING, "op9_url_filter": urlfilter.ORACLE, "op10_warc": warc.ORACLE, "op13_fim": fim.ORACLE}
