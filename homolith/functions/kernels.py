@@ -29,8 +29,13 @@ def rips_h0(d: np.ndarray) -> np.ndarray:
 
 
 def rips_h1(d: np.ndarray, threshold: float = np.inf) -> np.ndarray:
-    """(birth, death) of loops that die up to a threshold. Past the enclosing radius the complex is a cone, so edges and triangles beyond it are left
-    out. Columns are bit sets in Python integers; edges of the spanning forest give birth to no loop and aren't waited for."""
+    """(birth, death) of loops that die up to a threshold, by reducing coboundaries.
+
+    Past the enclosing radius the complex is a cone, so edges beyond it are left out. Edges have a rank by length; a triangle is
+    its longest edge's rank and the vertex across from it, which orders triangles too. Edges of the spanning forest bear no
+    loop (clearing). An edge that is the longest of some triangle is paired with the first of these at once and lives for
+    no time; its column is its coboundary and is made when another one needs it. The few edges that are left are reduced from
+    the longest on: a column is a sorted array of triangles, and its first triangle ends the loop."""
     n = len(d)
     if n < 3:
         return np.zeros((0, 2))
@@ -40,9 +45,14 @@ def rips_h1(d: np.ndarray, threshold: float = np.inf) -> np.ndarray:
     i, j = i[keep], j[keep]
     order = np.lexsort((j, i, d[i, j]))
     i, j = i[order], j[order]
-    length = d[i, j]
-    index = np.full((n, n), -1)
-    index[i, j] = index[j, i] = np.arange(len(i))
+    length, far = d[i, j], len(i)
+    rank = np.full((n, n), far, np.int64)
+    rank[i, j] = rank[j, i] = np.arange(far)
+    first = np.full(far, -1, np.int64)  # the first triangle whose longest edge it is
+    for e in range(0, far, 4096):
+        r = np.arange(e, min(e + 4096, far))
+        inside = np.maximum(rank[i[r]], rank[j[r]]) < r[:, None]
+        first[r] = np.where(inside.any(axis=1), inside.argmax(axis=1), -1)
     root = list(range(n))
 
     def find(a: int) -> int:
@@ -51,88 +61,151 @@ def rips_h1(d: np.ndarray, threshold: float = np.inf) -> np.ndarray:
             a = root[a]
         return a
 
-    open_ = set()
+    left = []
     for e, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
         x, y = find(a), find(b)
-        if x == y:
-            open_.add(e)
-        else:
+        if x != y:
             root[x] = y
-    sides = []
-    for e in range(len(i)):
-        a, b = int(i[e]), int(j[e])
-        ea, eb = index[a], index[b]
-        c = np.flatnonzero((ea >= 0) & (eb >= 0) & (ea < e) & (eb < e))  # the longest side comes last: each triangle once
-        sides += [(e, max(int(ea[k]), int(eb[k])), min(int(ea[k]), int(eb[k]))) for k in c]
-    low: dict[int, int] = {}
+        elif first[e] < 0:
+            left.append(e)
+
+    def coboundary(e: int) -> np.ndarray:
+        a, b = i[e], j[e]
+        ra, rb = rank[a], rank[b]
+        k = np.flatnonzero((ra < far) & (rb < far))
+        ra, rb = ra[k], rb[k]
+        return np.sort(np.where((ra < e) & (rb < e), e * n + k, np.where(ra > rb, ra * n + b, rb * n + a)))
+
+    held: dict[int, np.ndarray] = {}
     out = []
-    for e, f, g in sides:
-        column = (1 << e) | (1 << f) | (1 << g)
-        while column:
-            top = column.bit_length() - 1
-            if top not in low:
-                low[top] = column
-                open_.discard(top)
-                if length[e] > length[top]:
-                    out.append((length[top], length[e]))
+    for e in reversed(left):
+        column = coboundary(e)
+        while len(column):
+            low = int(column[0])
+            longest, across = divmod(low, n)
+            if low in held:
+                column = np.setxor1d(column, held[low], assume_unique=True)
+            elif first[longest] == across:
+                column = np.setxor1d(column, coboundary(longest), assume_unique=True)
+            else:
+                held[low] = column
+                if length[longest] > length[e]:
+                    out.append((length[e], length[longest]))
                 break
-            column ^= low[top]
-        if not open_:
-            break
     return np.array(sorted(out)).reshape(-1, 2)
 
 
+def _reaching(a: np.ndarray, b: np.ndarray, must: np.ndarray, r: float, known: dict[int, int]) -> bool:
+    """Whether every point of a in `must` can have a point of b of its own no further than r (Hopcroft-Karp; b is in order of birth).
+    It starts from the pairs that are `known` from a smaller r, and leaves there what it found if that isn't enough."""
+    low, high = np.searchsorted(b[:, 0], a[must, 0] - r * (1 + 1e-12) - 1e-300), np.searchsorted(b[:, 0], a[must, 0] + r * (1 + 1e-12) + 1e-300, "right")
+    ways = [(np.flatnonzero(np.abs(b[s:t] - p).max(axis=1) <= r) + s).tolist() if t > s else [] for p, s, t in zip(a[must], low.tolist(), high.tolist(), strict=True)]
+    if not all(ways):
+        return False
+    # Whoever has as many partners as there are others finds one last.
+    order = sorted(range(len(ways)), key=lambda u: len(ways[u]))
+    while order and len(ways[order[-1]]) >= len(order):
+        order.pop()
+    ways, who = [ways[u] for u in order], must[order].tolist()
+    mate = [known.get(w, -1) for w in who]
+    of = {v: u for u, v in enumerate(mate) if v >= 0}
+    for u in range(len(ways)):
+        v = mate[u] if mate[u] >= 0 else next((v for v in ways[u] if v not in of), -1)
+        if v >= 0:
+            mate[u], of[v] = v, u
+    while True:
+        level, queue, open_ = [0 if m < 0 else -1 for m in mate], [u for u, m in enumerate(mate) if m < 0], False
+        if not queue:
+            return True
+        end = len(ways)
+        for u in queue:
+            if level[u] >= end:
+                break
+            for v in ways[u]:
+                w = of.get(v, -1)
+                if w < 0:
+                    open_, end = True, min(end, level[u] + 1)
+                elif level[w] < 0:
+                    level[w] = level[u] + 1
+                    queue.append(w)
+        if not open_:
+            known.clear()
+            known.update({w: m for w, m in zip(who, mate, strict=True) if m >= 0})
+            return False
+        at = [0] * len(ways)
+        for start in [u for u, m in enumerate(mate) if m < 0]:
+            path = [start]
+            while path:
+                u = path[-1]
+                if at[u] == len(ways[u]):
+                    # A dead end: whoever came here tries its next way.
+                    path.pop()
+                    if path:
+                        at[path[-1]] += 1
+                    continue
+                v = ways[u][at[u]]
+                w = of.get(v, -1)
+                if w < 0:
+                    for x in path:
+                        y = ways[x][at[x]]
+                        mate[x], of[y] = y, x
+                        at[x] = len(ways[x])
+                    break
+                if level[w] == level[u] + 1 and at[w] < len(ways[w]):
+                    path.append(w)
+                else:
+                    at[u] += 1
+
+
 def bottleneck(a: np.ndarray, b: np.ndarray) -> float:
-    """Least largest move that matches two diagrams; a point may be matched to the diagonal at half its persistence."""
+    """Least largest move that matches two diagrams; a point may be matched to the diagonal at half its persistence.
+
+    Within r, only points of more than twice that persistence need a partner. If those of either side can all have one, then both
+    can at once (Mendelsohn and Dulmage), so each side is asked alone, by layers of shortest paths over the points that are near.
+    It is looked for upwards from what no point can do without, so that the pairs found on the way stay, and then among the
+    distances that are left."""
     a, b = np.asarray(a, float).reshape(-1, 2), np.asarray(b, float).reshape(-1, 2)
-    n, m = len(a), len(b)
-    if not n and not m:
+    if not len(a) and not len(b):
         return 0.0
-    cost = np.zeros((n + m, n + m))
-    if n and m:
-        cost[:n, :m] = np.abs(a[:, None, :] - b[None, :, :]).max(axis=2)
-    cost[:n, m:] = ((a[:, 1] - a[:, 0]) / 2)[:, None]
-    cost[n:, :m] = ((b[:, 1] - b[:, 0]) / 2)[None, :]
-    values = np.unique(cost)
-    low, high = 0, len(values) - 1
-    while low < high:
-        mid = (low + high) // 2
-        if _perfect(cost <= values[mid]):
-            high = mid
+    a, b = a[np.argsort(a[:, 0], kind="stable")], b[np.argsort(b[:, 0], kind="stable")]
+    ha, hb = (a[:, 1] - a[:, 0]) / 2, (b[:, 1] - b[:, 0]) / 2
+
+    pairs: tuple[dict[int, int], dict[int, int]] = ({}, {})
+
+    def fits(r: float) -> bool:
+        return all(_reaching(x, y, np.flatnonzero(h > r), r, k) for x, y, h, k in ((a, b, ha, pairs[0]), (b, a, hb, pairs[1])))
+
+    # No point can do better than its nearest partner or the diagonal.
+    near = [np.full(len(a), np.inf), np.full(len(b), np.inf)]
+    apart = lambda s: np.abs(a[s : s + 512, None, :] - b[None, :, :]).max(axis=2)
+    if len(b):
+        for s in range(0, len(a), 512):
+            d = apart(s)
+            near[0][s : s + 512] = d.min(axis=1)
+            near[1] = np.minimum(near[1], d.min(axis=0))
+    low = max(float(np.minimum(h, n).max(initial=0)) for h, n in zip((ha, hb), near, strict=True))
+    if fits(low):
+        return low
+    top = float(max(ha.max(initial=0), hb.max(initial=0)))
+    step = max(low, top / 256) / 16
+    high = min(low + step, top)
+    while not fits(high):
+        low, step = high, 2 * step
+        high = min(low + step, top)
+    values = [h[(h > low) & (h <= high)] for h in (ha, hb)]
+    if len(b):
+        for s in range(0, len(a), 512):
+            d = apart(s)
+            values.append(np.unique(d[(d > low) & (d <= high)]))
+    values = np.unique(np.concatenate(values))
+    first, last = 0, len(values) - 1
+    while first < last:
+        mid = (first + last) // 2
+        if fits(float(values[mid])):
+            last = mid
         else:
-            low = mid + 1
-    return float(values[low])
-
-
-def _perfect(ok: np.ndarray) -> bool:
-    """Whether a bipartite graph has a perfect matching (augmenting paths, without recursion)."""
-    n = len(ok)
-    ways = [np.flatnonzero(r).tolist() for r in ok]
-    partner = [-1] * n
-    for s in range(n):
-        seen, parent, stack, end = set(), {}, [s], -1
-        while stack and end < 0:
-            u = stack.pop()
-            for v in ways[u]:
-                if v not in seen:
-                    seen.add(v)
-                    parent[v] = u
-                    if partner[v] < 0:
-                        end = v
-                        break
-                    stack.append(partner[v])
-        if end < 0:
-            return False
-        held = {u: v for v, u in enumerate(partner) if u >= 0}
-        v = end
-        while True:
-            u = parent[v]
-            before = held.get(u, -1)
-            partner[v] = u
-            if u == s:
-                break
-            v = before
-    return True
+            first = mid + 1
+    return float(values[first])
 
 
 def spectral(d: np.ndarray, eigen: int = 50, scale: float = 0.5, normalized: bool = True) -> np.ndarray:
