@@ -132,16 +132,22 @@ def train(docs: DataFrame, text: str = "text", sample: int = TRAIN_DOCS) -> tupl
 
 
 def model_spans(text: str, taken: list[tuple[int, int, int]], models: tuple[Markov, Markov], threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """Candidates of any length that touch no base span (`taken`, sorted) and look random by their likelihood ratio per character."""
+    """Candidates of any length, and of those that touch base spans (`taken`, sorted) the pieces outside of them that are long
+    enough to be candidates, if they look random by their likelihood ratio per character."""
     out, covered, k = [], merged(taken), 0
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        while k < len(covered) and covered[k][1] <= m.start():
+        at, end = m.span()
+        while k < len(covered) and covered[k][1] <= at:
             k += 1
-        if k < len(covered) and covered[k][0] < m.end():
-            continue
-        if (models[0].loglik(s) - models[1].loglik(s)) / len(s) > threshold:
-            out.append((m.start(), 3, m.end()))
+        pieces, i = [], k
+        while i < len(covered) and covered[i][0] < end:
+            pieces.append((at, covered[i][0]))
+            at = covered[i][1]
+            i += 1
+        for a, b in [*pieces, (at, end)]:
+            s = text[a:b]
+            if (not pieces or CANDIDATE.fullmatch(s)) and (models[0].loglik(s) - models[1].loglik(s)) / len(s) > threshold:
+                out.append((a, 3, b))
     return out
 
 
@@ -152,7 +158,7 @@ def joined(spans) -> str:
 def find(docs: DataFrame, models: tuple[Markov, Markov], key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_model.
 
-    A null or empty text has no spans (the hash is that of the empty string); repeated rows each get theirs; no other
+    What is left of a run beside a base span is judged too, if it is long enough to be one. A null or empty text has no spans (the hash is that of the empty string); repeated rows each get theirs; no other
     column is read. Each text is judged whole, one at a time, in time linear in its length. Spans of one start stand in the
     order of their kinds.
     """
