@@ -25,8 +25,10 @@ EXCESS = (2.0, 3.0)
 FEATURES = 6
 #: From this score on a document is rejected.
 THRESHOLD = 0.7
-#: Cells in which an expression's contexts are counted (linear counting: nearly exact for the rare ones that need smoothing).
-CELLS = 64
+#: Cells of a level in which an expression's contexts are counted, and levels: each but the last holds 7 in 8 of the contexts that
+#: the ones before it leave. A level with more than FULL filled cells gives way to the next (whose counts stand for 8 times as many),
+#: so counts are nearly exact for the rare expressions that need smoothing, within some 20 % beyond, and go on to a million.
+CELLS, LEVELS, FULL = 64, 5, 60
 #: Expressions that are broadcast at most (16 bytes each); a larger table is joined.
 BROADCAST = 4_000_000
 #: Training rows (id, hash, label) that are broadcast at most; beyond them texts are moved to their labels.
@@ -179,23 +181,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str) -> Da
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(g, cells0 ..., n0 ...): for each expression the texts of each class and fold that have it (n at class * FOLDS + fold),
-    and for each fold the cells of the expressions before it, as bits. A task passes on one row for each expression, or more
+    """(g, cells0_0 ..., n0 ...): for each expression the texts of each class and fold that have it (n at class * FOLDS + fold),
+    and for each fold and level the cells of the expressions before it, as bits. A task passes on one row for each expression, or more
     if it has very many."""
-    names, bits = [f"n{i}" for i in range(2 * FOLDS)], [f"cells{i}" for i in range(FOLDS)]
+    names, bits = [f"n{i}" for i in range(2 * FOLDS)], [f"cells{i}_{j}" for i in range(FOLDS) for j in range(LEVELS)]
 
     class Bits(dict):
         def __missing__(self, w):
-            self[w] = out = 1 << (xxhash.xxh64_intdigest(w, 7) % CELLS)
+            self[w] = out = 1 << cell_of(w)
             return out
 
     def run(batches):
-        new = lambda: (Bits(), [defaultdict(int) for _ in bits], [Counter() for _ in names])
+        new = lambda: (Bits(), [defaultdict(int) for _ in range(FOLDS)], [Counter() for _ in names])
         bit, cells, n = new()
 
         def out():
             g = list(set().union(*n))
-            columns = [pa.array(np.array([c.get(w, 0) for w in g], np.uint64).view(np.int64)) for c in cells]
+            columns = []
+            for c in cells:
+                raw = b"".join([c.get(w, 0).to_bytes(8 * LEVELS, "little") for w in g])
+                columns += [pa.array(np.ascontiguousarray(x)) for x in np.frombuffer(raw, "<i8").reshape(-1, LEVELS).T]
             return pa.RecordBatch.from_arrays([pa.array(g, pa.string()), *columns, *[pa.array([c[w] for w in g], pa.int64()) for c in n]], ["g", *bits, *names])
 
         for b in batches:
@@ -215,10 +220,22 @@ def counted(rows: DataFrame) -> DataFrame:
     return found.groupBy("g").agg(*[F.bit_or(c).alias(c) for c in bits], *[F.sum(c).alias(c) for c in names])
 
 
+def cell_of(context: str) -> int:
+    """The cell, counted over all levels, that a context fills."""
+    h = xxhash.xxh64_intdigest(context, 7)
+    level, rest = 0, h >> 6
+    while level < LEVELS - 1 and not rest & 7:
+        level, rest = level + 1, rest >> 3
+    return level * CELLS + h % CELLS
+
+
 def contexts(without: int | None = None):
-    """Number of contexts, without those of a fold, from the cells that they fill."""
-    cells = reduce(lambda a, b: a.bitwiseOR(b), [F.col(f"cells{f}") for f in range(FOLDS) if f != without])
-    return -CELLS * F.log(1 - F.least(F.bit_count(cells).cast("double"), F.lit(CELLS - 0.5)) / CELLS)
+    """Number of contexts, without those of a fold, from the cells that they fill (linear counting of the first level that isn't full,
+    and of those behind it)."""
+    filled = [F.bit_count(reduce(lambda a, b: a.bitwiseOR(b), [F.col(f"cells{f}_{j}") for f in range(FOLDS) if f != without])).cast("double") for j in range(LEVELS)]
+    count = [-CELLS * F.log(1 - F.least(x, F.lit(CELLS - 0.5)) / CELLS) for x in filled]
+    found = [F.lit(8.0**j) * reduce(lambda a, b: a + b, count[j:]) for j in range(LEVELS)]
+    return F.coalesce(*[F.when(x <= FULL, n) for x, n in zip(filled[:-1], found, strict=False)], found[-1])
 
 
 def in_class(c: int, without: int | None = None):

@@ -30,6 +30,31 @@ def frames(spark, rows, labels):
     return docs, spark.createDataFrame(labels, "doc_id long, toxic int")
 
 
+def counted(cells):
+    """Contexts from the cells that they fill, level by level."""
+    lc = [-64 * math.log(1 - min(sum(x // 64 == j for x in cells), 63.5) / 64) for j in range(5)]
+    full = [sum(x // 64 == j for x in cells) > 60 for j in range(4)]
+    j = next((j for j in range(4) if not full[j]), 4)
+    return 8**j * sum(lc[j:])
+
+
+def test_contexts_of_any_number(spark):
+    """Levels by definition, and counts that don't stop: within a few of the truth for rare expressions, a fifth or so for common ones."""
+    for w in ("", "a", "é", "word17"):
+        h = xxhash.xxh64_intdigest(w, 7)
+        level = next((j for j in range(4) if h >> 6 + 3 * j & 7), 4)
+        assert toxicity.cell_of(w) == 64 * level + h % 64
+    for n, off in ((1, 0.02), (5, 0.3), (30, 0.35), (120, 0.45), (2000, 0.6), (40_000, 0.6), (500_000, 0.7)):
+        assert abs(counted({toxicity.cell_of(f"c{n}-{i}") for i in range(n)}) / n - 1) < off
+    name = lambda i: "w" + "".join(chr(97 + int(x)) for x in str(i))
+    rows = [(i, f"{name(i % 7)} common {name(i)} rare") for i in range(900)]
+    docs, _ = frames(spark, rows, [(0, 0)])
+    table = toxicity.counted(docs.selectExpr("text", "0 AS toxic", "CAST(doc_id % 4 AS INT) AS fold"))
+    got = {r["g"]: r["k"] for r in table.select("g", toxicity.contexts().alias("k")).collect()}
+    assert got["common"] == pytest.approx(counted({toxicity.cell_of(name(i)) for i in range(7)})) and got["rare"] == pytest.approx(counted({toxicity.cell_of(name(i)) for i in range(900)}))
+    assert 450 < got["rare"] < 1500
+
+
 def by_hand(rows, labels):
     """Log ratio of every expression, straight from the formula."""
     toxic, n, cells, seen = dict(labels), [Counter(), Counter()], defaultdict(set), set()
@@ -40,8 +65,8 @@ def by_hand(rows, labels):
         words = t.split()
         n[toxic[i]].update(set(words))
         for a, b in zip(["", *words], words):
-            cells[b].add(xxhash.xxh64_intdigest(a, 7) % 64)
-    k = {w: -64 * math.log(1 - min(len(c), 63.5) / 64) for w, c in cells.items()}
+            cells[b].add(toxicity.cell_of(a))
+    k = {w: counted(c) for w, c in cells.items()}
     total, free, off = sum(k.values()), [], []
     for c in n:
         of = [max(sum(v == j for v in c.values()), 1) for j in (1, 2, 3, 4)]
