@@ -337,3 +337,25 @@ def ks_exact_p(d: float, n: int, m: int) -> float:
             new[j] = 1 if i == j == 0 else (row[j] if i else 0) + (new[j - 1] if j else 0)
         row = new
     return (comb(n + m, n) - row[m]) / comb(n + m, n)
+
+
+def leaves(merges: list[tuple[int, int, float, int]], n: int) -> list[int]:
+    """Items in the order in which a tree shows them: of two branches the tighter one first (single items are tightest, of two the smaller
+    number; of equal heights the earlier merge)."""
+    parts, height = {i: [i] for i in range(n)}, {i: (-np.inf, i) for i in range(n)}
+    for step, (a, b, h, _) in enumerate(merges):
+        one, two = sorted((a, b), key=lambda x: height[x])
+        parts[n + step] = parts.pop(one) + parts.pop(two)
+        height[n + step] = (h, n + step)
+    return [i for p in parts.values() for i in p]
+
+
+def cophenetic(merges: list[tuple[int, int, float, int]], n: int) -> np.ndarray:
+    """The height at which each two items first are in one branch."""
+    out, members = np.zeros((n, n)), {i: np.array([i]) for i in range(n)}
+    for step, (a, b, h, _) in enumerate(merges):
+        one, two = members.pop(a), members.pop(b)
+        out[np.ix_(one, two)] = h
+        out[np.ix_(two, one)] = h
+        members[n + step] = np.concatenate([one, two])
+    return out

@@ -61,9 +61,8 @@ def integrated_diff(d: np.ndarray, tau: np.ndarray) -> np.ndarray:
 
 
 def wasserstein(m1: np.ndarray, m2: np.ndarray, tau: np.ndarray) -> float:
-    """Area between the cumulated shares of two curves over tau / max tau; NaN if one has no shares: its values sum to less
-    than a thousandth of their sizes (group means of Euler curves do, where both dimensions have bars)."""
-    if any(abs(m.sum()) <= 1e-3 * np.abs(m).sum() for m in (m1, m2)):
+    """Area between the cumulated shares of two curves over tau / max tau; NaN if the values of one sum to 0."""
+    if any(abs(m.sum()) <= 1e-12 for m in (m1, m2)):
         return float("nan")
     gap = np.abs(np.cumsum(m1 / m1.sum()) - np.cumsum(m2 / m2.sum()))
     return float(gap @ trapezoid(tau / tau.max()))
@@ -255,7 +254,7 @@ g AS (SELECT DISTINCT comparison, grp FROM means WHERE length(trim(grp)) > 0),
 q AS (SELECT a.comparison, a.grp AS g1, b.grp AS g2 FROM g a JOIN g b ON a.comparison = b.comparison AND a.grp <= b.grp),
 axis AS (SELECT DISTINCT comparison, gi, tau, tau / max(tau) OVER (PARTITION BY comparison) AS x FROM ind),
 wt AS (SELECT comparison, gi, tau, x, (coalesce(lead(tau) OVER o, tau) - coalesce(lag(tau) OVER o, tau)) / 2e0 AS w, (coalesce(lead(x) OVER o, x) - coalesce(lag(x) OVER o, x)) / 2e0 AS wx FROM axis WINDOW o AS (PARTITION BY comparison ORDER BY gi)),
-share AS (SELECT comparison, grp, gi, m, sum(m) OVER (PARTITION BY comparison, grp ORDER BY gi) / CASE WHEN abs(sum(m) OVER (PARTITION BY comparison, grp)) > 1e-3 * sum(abs(m)) OVER (PARTITION BY comparison, grp) THEN sum(m) OVER (PARTITION BY comparison, grp) END AS f FROM means),
+share AS (SELECT comparison, grp, gi, m, sum(m) OVER (PARTITION BY comparison, grp ORDER BY gi) / CASE WHEN abs(sum(m) OVER (PARTITION BY comparison, grp)) > 1e-12 THEN sum(m) OVER (PARTITION BY comparison, grp) END AS f FROM means),
 mm AS (SELECT q.comparison, q.g1, q.g2, round(sum(abs(a.f - b.f) * wt.wx), 6) AS wasserstein, sqrt(sum((a.m - b.m) * (a.m - b.m) * wt.w)) AS l2
   FROM q JOIN share a ON a.comparison = q.comparison AND a.grp = q.g1 JOIN share b ON b.comparison = q.comparison AND b.grp = q.g2 AND b.gi = a.gi JOIN wt ON wt.comparison = q.comparison AND wt.gi = a.gi GROUP BY ALL),
 sd AS (SELECT q.comparison, q.g1, q.g2, stddev_samp(v.m) AS sd FROM q JOIN (SELECT 1 AS side, * FROM means UNION ALL SELECT 2, * FROM means) v ON v.comparison = q.comparison AND v.grp = CASE v.side WHEN 1 THEN q.g1 ELSE q.g2 END GROUP BY ALL),

@@ -103,12 +103,6 @@ n AS (SELECT grp, rep, {keys}, {one} AS v FROM b)
 SELECT grp, {keys}, round(avg(v), 6) AS mean, round(#quantile[[v @@ 0.025e0]], 6) AS lower, round(#quantile[[v @@ 0.975e0]], 6) AS upper FROM n GROUP BY grp, {keys}""", curves=curves, drawn=drawn)
 
 
-def euler_bands(band: Op, name="euler_bands") -> Op:
-    """Alternating sums over dimensions of the bands' means, lower and upper curves."""
-    part = lambda c: f"round(sum(CASE WHEN dim % 2 = 0 THEN {c} ELSE -{c} END), 6) + 0e0 AS {c}"
-    return Op(name, f"SELECT grp, gi, {part('mean')}, {part('lower')}, {part('upper')} FROM {{band}} GROUP BY grp, gi", band=band)
-
-
 def group_mean(curves: Op, name="group_curves") -> Op:
     """Mean normalised curve of each group and dimension."""
     return Op(name, f"SELECT {GROUP} AS grp, dim, gi, tau, avg(norm) AS m FROM {{curves}} GROUP BY {GROUP}, dim, gi, tau", curves=curves)

@@ -37,6 +37,32 @@ def diagrams(points: DataFrame, max_dim: int = 1, sample: str = "sample", point:
     return narrow.groupBy("sample").applyInPandas(run, "sample string, dim int, feature_id int, birth double, death double")
 
 
+class Persistence:
+    """The table function persistence(TABLE(points) PARTITION BY (sample), dim): diagrams() of (sample, point_id, vec) in SQL, up to dimension 1
+    or the one given after the table. Rows without a vector take no part."""
+
+    def __init__(self):
+        self.points, self.sample, self.dim = [], None, 1
+
+    def eval(self, row, dim: int = 1):
+        self.sample, self.dim = row["sample"], dim
+        if row["vec"] is not None:
+            self.points.append((row["point_id"], row["vec"]))
+
+    def terminate(self):
+        if not self.points:
+            return
+        d = kernels.distances(np.array([v for _, v in sorted(self.points)], float))
+        bars = [(0, 0.0, float(x)) for x in kernels.rips_h0(d) if x > 0] + [(1, float(b), float(x)) for b, x in (kernels.rips_h1(d) if self.dim > 0 else [])]
+        for i, (dim, birth, death) in enumerate(bars):
+            yield self.sample, dim, i, birth, death
+
+
+def register(spark) -> None:
+    """Makes persistence() known to a session's SQL."""
+    spark.udtf.register("persistence", F.udtf(Persistence, returnType="sample string, dim int, feature_id int, birth double, death double"))
+
+
 def bottleneck(diagrams_: DataFrame, dim: int = 1, samples: DataFrame | None = None) -> DataFrame:
     """i, j, d for all samples i < j (of `samples`, if given); a sample without bars of the dimension has the empty diagram.
 
@@ -113,6 +139,44 @@ def merges(dist: DataFrame, methods=METHODS) -> DataFrame:
     return _one(dist).groupBy("iteration").applyInPandas(run, "iteration string, linkage string, step int, a int, b int, height double, size int")
 
 
+def leaf_order(dist: DataFrame, methods=METHODS) -> DataFrame:
+    """iteration, linkage, place (from 0 on), sample: the order in which each linkage's tree shows the samples."""
+    methods = linkages(methods)
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        names, d = _square(p)
+        rows = [(p["iteration"].iloc[0], m, place, names[i]) for m in methods for place, i in enumerate(kernels.leaves(kernels.linkage(d, m), len(names)))]
+        return pd.DataFrame(rows, columns=["iteration", "linkage", "place", "sample"])
+
+    return _one(dist).groupBy("iteration").applyInPandas(run, "iteration string, linkage string, place int, sample string")
+
+
+def cophenetic(dist: DataFrame, methods=METHODS) -> DataFrame:
+    """iteration, linkage, i, j, d: the height at which two samples i < j meet in each linkage's tree."""
+    methods = linkages(methods)
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        names, d = _square(p)
+        a, b = np.triu_indices(len(names), 1)
+        found = {m: kernels.cophenetic(kernels.linkage(d, m), len(names))[a, b] for m in methods}
+        return pd.concat([pd.DataFrame({"iteration": p["iteration"].iloc[0], "linkage": m, "i": [names[k] for k in a], "j": [names[k] for k in b], "d": v}) for m, v in found.items()])
+
+    return _one(dist).groupBy("iteration").applyInPandas(run, "iteration string, linkage string, i string, j string, d double")
+
+
+def ordered_scores(dist: DataFrame, linkage: str = "ward.D2") -> DataFrame:
+    """iteration, row, col, i, j, d, z: the distance matrix with rows and columns in the order of a tree, and each value against the mean and
+    deviation of its row (0 in a row without)."""
+    both = _one(dist).select("iteration", "i", "j", "d").unionByName(_one(dist).select("iteration", F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    names = both.select("iteration", F.col("i").alias("s")).distinct()
+    whole = both.unionByName(names.select("iteration", F.col("s").alias("i"), F.col("s").alias("j"), F.lit(0.0).alias("d")))
+    order = leaf_order(dist, [linkage]).select("iteration", F.col("sample").alias("s"), "place")
+    per = whole.groupBy("iteration", "i").agg(F.avg("d").alias("m"), F.stddev_samp("d").alias("sd"))
+    z = F.coalesce((F.col("d") - F.col("m")) / F.nullif("sd", F.lit(0.0)), F.lit(0.0))
+    rows = whole.join(per, ["iteration", "i"]).join(order.select("iteration", F.col("s").alias("i"), F.col("place").alias("row")), ["iteration", "i"])
+    return rows.join(order.select("iteration", F.col("s").alias("j"), F.col("place").alias("col")), ["iteration", "j"]).select("iteration", "row", "col", "i", "j", "d", z.alias("z"))
+
+
 def clusters(dist: DataFrame, k: int, methods=METHODS, spectral: bool = True) -> DataFrame:
     """iteration, sample, method, label: trees cut into k, and spectral clusters. k must be from 1 to the number of samples."""
     methods = linkages(methods)

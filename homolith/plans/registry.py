@@ -9,7 +9,7 @@ from homolith.operators import metrics as m
 from homolith.functions.sqlop import Op
 from homolith.operators import clusterings as k
 from homolith.operators import comparisons as x
-from homolith.operators import qc, relations, stats, topology
+from homolith.operators import communities, integration, qc, relations, sct, spaces, stats, topology
 from homolith.sources.cuts import cut
 
 PCT = qc.feature_pct(qc.COUNTS)
@@ -23,7 +23,7 @@ AREA = c.area(LAND_CURVE)
 DRAWS = c.draws(c.DIAGRAM)
 MEANS = c.group_mean(BETTI)
 BANDS = c.bands(BETTI, DRAWS)
-EULER_BANDS = c.euler_bands(BANDS)
+EULER_BANDS = c.bands(EULER, DRAWS, "raw", "gi", name="euler_bands")
 LAND_WIDE = c.resampled(LAND_CURVE, c.LANDSCAPE_GRID, c.GRID)
 INDIVIDUALS = x.individuals(BETTI, EULER, LAND_WIDE, c.GRID)
 GROUP_BANDS = x.group_curves(BANDS, EULER_BANDS, c.bands(LAND_WIDE, DRAWS, "v", "gi", True, "landscape_wide_bands"))
@@ -84,7 +84,38 @@ def _corrected(spark, sf_dir):
     return topology.corrected(p, topology.mutual_neighbours(p), "0")
 
 
+def _regressed(what):
+    def query(spark, sf_dir):
+        counts = cut(qc.COUNTS.query(spark, sf_dir).select("sample", F.col("cell").cast("string").alias("cell"), "gene", "value"))
+        totals = cut(sct.depths(counts))
+        return sct.values(counts, totals, cut(sct.scaled(sct.model(counts, totals), totals)), what).withColumn("value", F.round("value", 6))
+
+    return query
+
+
+def _from_sql(spark, sf_dir):
+    topology.register(spark)
+    narrow = points(spark, sf_dir).filter("vec IS NOT NULL").select("sample", "point_id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    return spark.sql("SELECT p.* FROM persistence(TABLE({rows}) PARTITION BY (sample), 0) p", rows=narrow)
+
+
+def _components(spark, sf_dir):
+    p = points(spark, sf_dir).filter("vec IS NOT NULL")
+    width = p.select(F.max(F.size("vec"))).first()[0]
+    return spaces.pca(spaces.dense_rows(p), width, 5)[1].select(F.col("batch").alias("sample"), F.col("id").alias("point_id"), "pc")
+
+
 KERNELS = {
+    "sct_residuals": _regressed("residuals"),
+    "sct_data": _regressed("data"),
+    "batch_components": _components,
+    "anchor_integration": lambda s, d: integration.integrated(points(s, d), dims=10),
+    "harmony_integration": lambda s, d: integration.harmony(points(s, d), 20, rounds=3),
+    "modularity_clusters": lambda s, d: communities.clustered(points(s, d)),
+    "persistence_sql": _from_sql,
+    "leaf_order": lambda s, d: topology.leaf_order(_bottleneck(s, d)),
+    "cophenetic": lambda s, d: topology.cophenetic(_bottleneck(s, d)),
+    "ordered_scores": lambda s, d: topology.ordered_scores(_bottleneck(s, d)),
     "cluster_comparison": comparison,
     "cluster_comparison_wide": lambda s, d: k.wide(comparison(s, d)),
     "pair_stats": lambda s, d: x.pair_stats(*curve_frames(s, d)),

@@ -17,12 +17,13 @@ def toy(spark, folder, samples=6):
         counts.filter(F.col("sample") == f"s{i}").drop("sample").write.parquet(path)
         rows.append((path, f"s{i}", f"SRA{i % 2}", ("liver", "bone marrow")[i // 3 % 2], ("sc", "sn")[i % 2]))
     spark.createDataFrame(rows, "`File Path` string, `Sample Name` string, SRA string, Tissue string, Approach string").coalesce(1).write.csv(f"{folder}/manifest", header=True)
-    return pipeline.Config(f"{folder}/manifest", f"{folder}/results", min_cells=5, min_features=2, max_mito=100, min_ribo=-1, min_gene_cells=1, permutations=9, resamples=4, grid=40, linkages=("average", "median"), random_groups=3)
+    return pipeline.Config(f"{folder}/manifest", f"{folder}/results", min_cells=5, min_features=2, max_mito=100, min_ribo=-1, min_gene_cells=1, permutations=9, resamples=4, grid=40, linkages=("average", "median"), random_groups=3, features=20, dims=4, min_integration_cells=5, sct_min_cells=2, k_filter=10, k_score=5, k_weight=5, harmony_clusters=3, harmony_rounds=1, kmeans_starts=1)
 
 
 def test_whole_run(spark, tmp_path):
     cfg = toy(spark, str(tmp_path))
     cfg.run_cluster = cfg.run_betti = cfg.run_cross_iteration = True
+    cfg.run_standard = False
     iterations, out = pipeline.run(spark, cfg)
     assert [it["name"] for it in iterations] == ["Seurat Integration", "Raw", "SCT_Individual", "SCT_Whole"]
     assert iterations[1]["bdm_matrix"] == "BDM_unintegrated_raw.rds"
@@ -30,11 +31,16 @@ def test_whole_run(spark, tmp_path):
     assert {(r["iteration"], r["kind"]): r["count"] for r in out["distances"].groupBy("iteration", "kind").count().collect()} == {(it["name"], k): n for it in iterations for k in ("bdm", "sdm", "landscape")}
     assert {r[0] for r in out["cluster_comparison"].select("metric").distinct().collect()} == {"ARI", "NMI", "Jaccard", "VI", "Purity"}
     assert out["labels"].filter("method = 'hierarchical_cluster_bdm_ph_raw_tissue_median'").count() == 6
+    assert {r[0] for r in out["cell_labels"].select("method").distinct().collect()} >= {"kmeans_cluster_raw_tissue", "kmeans_cluster_seurat_integration_sra"}
+    assert out["cell_labels"].filter("iteration = 'Raw'").groupBy("method").agg(F.count_distinct("cell").alias("n")).select("n").distinct().collect()[0][0] == 6 * 16
+    assert {r[0] for r in out["cluster_comparison"].select("method").distinct().collect()} >= {"kmeans_cluster_raw_tissue"}
+    assert {(r["iteration"], r["target"], r["comparison"]) for r in out["bands"].select("iteration", "target", "comparison").distinct().collect()} >= {("Raw", "tissue", "euler"), ("SCT_Whole", "sra", "landscape")}
+    assert out["curves"].filter("iteration = 'Raw' AND target = 'tissue' AND comparison = 'euler'").count() == 6 * 40
     flat = out["cross_iteration_statistics"]
     assert flat.columns == ["Group", "Pair", "Comparison", "wasserstein", "perm_p", "effect_size", "ks_stat", "ks_adj_p"]
     assert flat.count() == 2 * 10 * 4 and {r[0] for r in flat.select("Group").distinct().collect()} == {"liver", "bone marrow"}
-    own = flat.filter("split(Pair, '_vs_')[0] = split(Pair, '_vs_')[1] AND Comparison <> 'euler'").collect()
-    assert len(own) == 2 * 4 * 3 and all((r["wasserstein"], r["perm_p"], r["effect_size"], r["ks_stat"], r["ks_adj_p"]) == (0, 1, 0, 0, 1) for r in own)
+    own = flat.filter("split(Pair, '_vs_')[0] = split(Pair, '_vs_')[1]").collect()
+    assert len(own) == 2 * 4 * 4 and all((r["wasserstein"], r["perm_p"], r["effect_size"], r["ks_stat"], r["ks_adj_p"]) == (0, 1, 0, 0, 1) for r in own)
     # A second run reads the valid distances again; a given table takes the place of its own.
     given = f"{tmp_path}/given"
     spark.createDataFrame([(f"s{i}", f"s{j}", 7.0) for i in range(6) for j in range(i + 1, 6)], "i string, j string, d double").write.parquet(given)
@@ -48,6 +54,27 @@ def test_nothing_but_diagrams(spark, tmp_path):
     cfg.integration_methods = ("Harmony",)
     iterations, out = pipeline.run(spark, cfg)
     assert not out and [it["prefix"] for it in iterations] == ["raw", "sct_individual", "sct_whole", "harmony_integration"]
+    # A second run takes the finished samples' diagrams; one that broke off makes what isn't logged, and replaces what was half written.
+    raw = next(it for it in iterations if it["prefix"] == "raw")
+    path = f"{cfg.results}/pd/raw-{raw['data']['key']}"
+    want = sorted(map(tuple, raw["data"]["pd"].collect()))
+    log = spark.read.parquet(f"{path}-log")
+    assert log.count() == 3 and want
+    log = log.filter("job_id <> 's1'").collect()
+    spark.createDataFrame(log, "job_id string, status string, threshold double, ts timestamp").write.mode("overwrite").parquet(f"{path}-log")
+    spark.createDataFrame([(0, 0, 0.0, 99.0, "s1")], "dim int, feature_id int, birth double, death double, sample string").write.mode("append").partitionBy("sample").parquet(path)
+    seen = []
+    real, pipeline.topology.diagrams = pipeline.topology.diagrams, lambda p, *a, **k: (seen.extend(r[0] for r in p.select("sample").distinct().collect()), real(p, *a, **k))[1]
+    try:
+        again = pipeline.resumed_diagrams(spark, raw["data"]["variant"].points(), path, cfg)
+    finally:
+        pipeline.topology.diagrams = real
+    assert seen == ["s1"] and sorted(map(tuple, again.collect())) == want
+    cfg.run_kmeans = False
+    cells = pipeline.cell_clusters([raw], cfg)
+    assert cells.count() == 3 * 16 and cells.select("method").distinct().collect()[0][0] == "seurat_cluster_raw"
+    other = pipeline.stage_key(pipeline.Config("", "", threshold=2.0), [])
+    assert other != pipeline.stage_key(pipeline.Config("", ""), []) == pipeline.stage_key(pipeline.Config("", "", permutations=3), [])
     for methods in ((), ("other",)):
         with pytest.raises(ValueError, match="integration methods"):
             pipeline.checked(pipeline.Config("", "", integration_methods=methods))
