@@ -30,11 +30,12 @@ def expanded(labels: DataFrame) -> DataFrame:
     return labels.select("iteration", each, "cell", "cluster")
 
 
-def reference_of(method):
-    """The reference that a method is judged by: by suffix, which stands at the end or before the linkage's name."""
+def reference_of(method, before_linkage: bool = True):
+    """The reference that a method is judged by: by suffix, which stands at the end or, unless told otherwise, before the linkage's
+    name. (With the end alone, every hierarchical clustering is judged by the default.)"""
     out = F.lit(DEFAULT)
     for suffix, ref in SUFFIXES.items():
-        out = F.when(method.rlike(f"{suffix}(_[A-Za-z.0-9]+)?$"), ref).otherwise(out)
+        out = F.when(method.rlike(f"{suffix}{'(_[A-Za-z.0-9]+)?' if before_linkage else ''}$"), ref).otherwise(out)
     return out
 
 

@@ -17,7 +17,7 @@ def broadcast_labels(counts: Op, name="cluster_label_broadcast") -> Op:
 
 
 def pending(pd: Op, name="pending_jobs_anti") -> Op:
-    """Jobs (samples) that no diagram is there for, or that the log doesn't have as completed."""
+    """Samples without more than 125 bars of dimension 0, which stand for jobs that aren't done."""
     return Op(name, """
 WITH done AS (SELECT sample, count(*) AS n FROM {pd} WHERE dim = 0 GROUP BY sample HAVING count(*) > 125), jobs AS (SELECT DISTINCT sample FROM {pd})
 SELECT j.sample FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.sample = j.sample)""", pd=pd)

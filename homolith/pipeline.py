@@ -58,7 +58,8 @@ class Config:
     run_cross_iteration: bool = False
     group_by: str = "tissue"
     linkages: tuple[str, ...] = topology.METHODS
-    random_groups: int = 5
+    #: Random groupings of the cells that a clustering is compared with: p-values move in steps of one over it.
+    random_groups: int = 100
     permutations: int = comparisons.PERMUTATIONS
     resamples: int = curves.RESAMPLES
     grid: int = curves.GRID
@@ -325,19 +326,30 @@ def curve_statistics(curve: tuple[DataFrame, DataFrame], cfg: Config) -> DataFra
     return cut(comparisons.pair_stats(curve[0], curve[1].select("comparison", "grp", "gi", "m"), cfg.permutations))
 
 
+def _token(group):
+    """A group's name without the character that ends it in names like group_sample; _shown() has it back."""
+    return F.regexp_replace(group, "_", "\x1f")
+
+
+def _shown(c: str) -> F.Column:
+    return F.regexp_replace(F.regexp_replace(c, "(^|_vs_)\\d{3}\x1e", "$1"), "\x1f", "_").alias(c)
+
+
 def _grouped(pd: DataFrame, group) -> DataFrame:
-    """Samples named group_sample; a group's own underscores become hyphens."""
-    return pd.filter(F.length(F.trim(group)) > 0).withColumn("sample", F.concat_ws("_", F.regexp_replace(group, "_", "-"), "sample"))
+    """Samples named group_sample."""
+    return pd.filter(F.length(F.trim(group)) > 0).withColumn("sample", F.concat_ws("_", _token(group), "sample"))
 
 
 def cross_iteration(spark: SparkSession, iterations: list[dict], cfg: Config) -> DataFrame:
-    """The flat table of statistics between iterations, for each value of a metadata column."""
-    one = relations.aligned({it["name"].replace("_", "-"): (it["data"]["pd"], it["data"]["meta"]) for it in iterations})
+    """The flat table of statistics between iterations, for each value of a metadata column; pairs stand in the order of iterations."""
+    named = {f"{i:03d}\x1e" + it["name"].replace("_", "\x1f").replace(" ", "\x1f"): it for i, it in enumerate(iterations)}
+    one = relations.aligned({name: (it["data"]["pd"], it["data"]["meta"]) for name, it in named.items()})
     one = cut(one)
     values = [r[0] for r in comparisons.valid_groups(one, cfg.group_by).select(cfg.group_by).distinct().orderBy(cfg.group_by).collect()]
     out = None
     for v in values:
         found = comparisons.flat(curve_statistics(curve_tables(spark, one.filter(F.col(cfg.group_by) == v), cfg), cfg), v)
+        found = found.withColumn("Pair", _shown("Pair"))
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -367,9 +379,9 @@ def postprocess(spark: SparkSession, iterations: list[dict], cfg: Config) -> dic
                 pd = _grouped(it["data"]["pd"].join(F.broadcast(it["data"]["meta"]), "sample"), F.col(column)).select("sample", "dim", "feature_id", "birth", "death")
                 curve = curve_tables(spark, pd, cfg)
                 tagged = lambda df: df.select(F.lit(it["name"]).alias("iteration"), F.lit(column).alias("target"), "*")  # noqa: B023, E731
-                add("group_statistics", comparisons.flat(curve_statistics(curve, cfg), column).withColumn("iteration", F.lit(it["name"])))
-                add("curves", tagged(curve[0]))
-                add("bands", tagged(curve[1]))
+                add("group_statistics", comparisons.flat(curve_statistics(curve, cfg), column).withColumn("Pair", _shown("Pair")).withColumn("iteration", F.lit(it["name"])))
+                add("curves", tagged(curve[0]).withColumn("grp", _shown("grp")).withColumn("sample", _shown("sample")))
+                add("bands", tagged(curve[1]).withColumn("grp", _shown("grp")))
     if cfg.run_cross_iteration:
         add("cross_iteration_statistics", cross_iteration(spark, iterations, cfg))
     for name, df in out.items():

@@ -38,6 +38,8 @@ def test_whole_run(spark, tmp_path):
     assert out["curves"].filter("iteration = 'Raw' AND target = 'tissue' AND comparison = 'euler'").count() == 6 * 40
     flat = out["cross_iteration_statistics"]
     assert flat.columns == ["Group", "Pair", "Comparison", "wasserstein", "perm_p", "effect_size", "ks_stat", "ks_adj_p"]
+    assert {r[0] for r in flat.select("Pair").distinct().collect()} >= {"Raw_vs_SCT_Individual", "SCT_Individual_vs_SCT_Whole", "Seurat_Integration_vs_Raw", "Raw_vs_Raw"}
+    assert {r[0] for r in out["group_statistics"].filter("`Group` = 'tissue'").select("Pair").distinct().collect()} == {"bone_marrow_vs_bone_marrow", "bone_marrow_vs_liver", "liver_vs_liver"}
     assert flat.count() == 2 * 10 * 4 and {r[0] for r in flat.select("Group").distinct().collect()} == {"liver", "bone marrow"}
     own = flat.filter("split(Pair, '_vs_')[0] = split(Pair, '_vs_')[1]").collect()
     assert len(own) == 2 * 4 * 4 and all((r["wasserstein"], r["perm_p"], r["effect_size"], r["ks_stat"], r["ks_adj_p"]) == (0, 1, 0, 0, 1) for r in own)
