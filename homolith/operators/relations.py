@@ -25,7 +25,10 @@ SELECT j.sample FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.sampl
 
 def wide(w: Op, e: Op, name="wide_stats_full_outer") -> Op:
     """One row for each pair, a column for each statistic; pairs that one side lacks have nulls."""
-    return Op(name, "SELECT coalesce(w.g1, e.g1) AS group1, coalesce(w.g2, e.g2) AS group2, coalesce(w.dim, e.dim) AS dim, w.wasserstein, e.l2, e.effect_size FROM {w} w FULL OUTER JOIN {e} e ON w.g1 = e.g1 AND w.g2 = e.g2 AND w.dim = e.dim", w=w, e=e)
+    out = Op(name, "SELECT coalesce(w.g1, e.g1) AS group1, coalesce(w.g2, e.g2) AS group2, coalesce(w.dim, e.dim) AS dim, w.wasserstein, e.l2, e.effect_size FROM {w} w FULL OUTER JOIN {e} e ON w.g1 = e.g1 AND w.g2 = e.g2 AND w.dim = e.dim", w=w, e=e)
+    # Both sides come from one relation of curves, whose copies Spark can't tell apart once all is one plan of subqueries.
+    out.apart = True
+    return out
 
 
 def long(w: Op, name="long_stats") -> Op:

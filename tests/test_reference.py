@@ -187,3 +187,8 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_statistics_of_pairs_can_be_written(spark, tmp_path):
+    registry.QUERIES["wide_stats_full_outer"](spark, SF).write.parquet(f"{tmp_path}/wide")
+    assert spark.read.parquet(f"{tmp_path}/wide").count() == registry.QUERIES["pair_l2_effect"](spark, SF).count()
