@@ -101,3 +101,16 @@ def test_persistence_in_sql(spark):
     assert key(got) == key(topology.diagrams(points, 1)) and got.filter("dim = 1").count() > 0
     flat = spark.sql("SELECT * FROM persistence(TABLE({p}) PARTITION BY (sample), 0)", p=points)
     assert key(flat) == key(topology.diagrams(points, 0)) and flat.filter(F.col("dim") > 0).isEmpty()
+
+
+def test_samples_are_dealt_over_tasks(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    points = spark.createDataFrame([(f"s{s}", i, draw.normal(size=3).tolist()) for s in range(12) for i in range(8)], "sample string, point_id long, vec array<double>")
+    bars = topology.diagrams(points, 1)
+    assert bars.select(F.spark_partition_id()).distinct().count() > 1
+    assert topology.bottleneck(bars).select(F.spark_partition_id()).distinct().count() > 1
+    # Columns that are made again each time they are needed.
+    d = k.distances(draw.normal(size=(40, 6)))
+    kept = k.rips_h1(d)
+    monkeypatch.setattr(k, "COLUMNS", 0)
+    assert len(kept) and np.array_equal(k.rips_h1(d), kept)
