@@ -28,6 +28,27 @@ def rips_h0(d: np.ndarray) -> np.ndarray:
     return np.sort(np.array(out))
 
 
+def rips_h0_points(x: np.ndarray) -> np.ndarray:
+    """rips_h0() of points: distances to one point at a time, over the points that are still outside. The edges' lengths are those of
+    differences, so that a copy's is 0."""
+    n = len(x)
+    rest, place = np.array(x[1:], float), np.arange(1, n)
+    square, near, by = (rest * rest).sum(axis=1), np.full(max(n - 1, 0), np.inf), np.zeros(max(n - 1, 0), np.int64)
+    out, last = np.zeros(max(n - 1, 0)), 0
+    for m in range(n - 1, 0, -1):
+        v = np.asarray(x[last], float)
+        d = square[:m] + v @ v - 2 * (rest[:m] @ v)
+        nearer = d < near[:m]
+        near[:m][nearer] = d[nearer]
+        by[:m][nearer] = last
+        k = int(near[:m].argmin())
+        last = int(place[k])
+        out[m - 1] = np.sqrt(((rest[k] - x[by[k]]) ** 2).sum())
+        for held in (rest, place, square, near, by):
+            held[k] = held[m - 1]
+    return np.sort(out)
+
+
 #: Triangles of reduced columns that are kept by a reduction of loops: 8 bytes each.
 COLUMNS = 32_000_000
 

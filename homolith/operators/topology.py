@@ -27,12 +27,12 @@ def diagrams(points: DataFrame, max_dim: int = 1, sample: str = "sample", point:
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("point_id")
-        d = kernels.distances(np.stack(p["vec"].to_list()).astype(float))
-        dead = kernels.rips_h0(d)
+        x = np.stack(p["vec"].to_list()).astype(float)
+        dead = kernels.rips_h0_points(x)
         dead = dead[dead <= top]
         out = [pd.DataFrame({"dim": 0, "birth": 0.0, "death": dead[dead > 0]})]
         if max_dim > 0:
-            loops = kernels.rips_h1(d, top)
+            loops = kernels.rips_h1(kernels.distances(x), top)
             out.append(pd.DataFrame({"dim": 1, "birth": loops[:, 0], "death": loops[:, 1]}))
         out = pd.concat(out, ignore_index=True)
         out.insert(0, "sample", p["sample"].iloc[0])
@@ -53,13 +53,13 @@ class Persistence:
     def eval(self, row, dim: int = 1):
         self.sample, self.dim = row["sample"], dim
         if row["vec"] is not None:
-            self.points.append((row["point_id"], row["vec"]))
+            self.points.append((row["point_id"], np.array(row["vec"], float)))
 
     def terminate(self):
         if not self.points:
             return
-        d = kernels.distances(np.array([v for _, v in sorted(self.points)], float))
-        bars = [(0, 0.0, float(x)) for x in kernels.rips_h0(d) if x > 0] + [(1, float(b), float(x)) for b, x in (kernels.rips_h1(d) if self.dim > 0 else [])]
+        points = np.array([v for _, v in sorted(self.points, key=lambda p: p[0])])
+        bars = [(0, 0.0, float(x)) for x in kernels.rips_h0_points(points) if x > 0] + [(1, float(b), float(x)) for b, x in (kernels.rips_h1(kernels.distances(points)) if self.dim > 0 else [])]
         for i, (dim, birth, death) in enumerate(bars):
             yield self.sample, dim, i, birth, death
 

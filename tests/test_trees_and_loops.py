@@ -114,3 +114,14 @@ def test_samples_are_dealt_over_tasks(spark, monkeypatch):
     kept = k.rips_h1(d)
     monkeypatch.setattr(k, "COLUMNS", 0)
     assert len(kept) and np.array_equal(k.rips_h1(d), kept)
+
+
+def test_components_of_points_without_a_matrix(spark):
+    draw = np.random.default_rng(6)
+    for n in (1, 2, 3, 40, 200):
+        x = draw.normal(size=(n, 5))
+        assert k.rips_h0_points(x) == pytest.approx(k.rips_h0(k.distances(x)))
+    # Copies bear no bars, whatever a product of their vectors is rounded to.
+    x = np.repeat(draw.normal(size=(30, 64)).astype(np.float32), 3, axis=0)
+    points = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "sample string, point_id long, vec array<float>")
+    assert topology.diagrams(points, 0).count() == 29
