@@ -379,13 +379,18 @@ def components(x: np.ndarray, k: int, scale: bool = True) -> np.ndarray:
     return np.pad(out, ((0, 0), (0, k - out.shape[1])))
 
 
+#: Differences of coordinates that are held at a time when neighbours are looked for: 8 bytes each.
+DIFFERENCES = 2_000_000
+
+
 def knn_distance(x: np.ndarray, k: int) -> np.ndarray:
     """Distance of each row to its k-th nearest other row (the last one if there are fewer), some rows at a time."""
     k, out = min(k, len(x) - 1), []
-    for i in range(0, len(x), 1024):
-        d = np.sqrt(((x[i : i + 1024, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    step = max(1, DIFFERENCES // max(1, x.size))
+    for i in range(0, len(x), step):
+        d = np.sqrt(((x[i : i + step, None, :] - x[None, :, :]) ** 2).sum(axis=2))
         d[np.arange(len(d)), np.arange(i, i + len(d))] = -1.0
-        out.append(np.partition(d, k, axis=1)[:, k])
+        out.append(np.partition(d, k, axis=1)[:, k].copy())  # a view would keep the whole block
     return np.concatenate(out) if out else np.zeros(0)
 
 

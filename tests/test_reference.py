@@ -192,3 +192,15 @@ def test_entry(spark):
 def test_statistics_of_pairs_can_be_written(spark, tmp_path):
     registry.QUERIES["wide_stats_full_outer"](spark, SF).write.parquet(f"{tmp_path}/wide")
     assert spark.read.parquet(f"{tmp_path}/wide").count() == registry.QUERIES["pair_l2_effect"](spark, SF).count()
+
+
+def test_neighbours_in_bounded_memory():
+    import tracemalloc
+
+    x = np.random.default_rng(7).normal(size=(6000, 1))
+    tracemalloc.start()
+    found = kernels.knn_distance(x, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
+    assert np.isclose(found[17], np.sort(np.abs(x[:, 0] - x[17, 0]))[5])
