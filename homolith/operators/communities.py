@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from homolith.operators import topology
+from homolith.operators import pairs
 from homolith.sources.cuts import tabled as cut
 
 #: Neighbours of a point, itself included; edges of less weight are left out; passes over a graph and contractions at most.
@@ -17,20 +15,8 @@ K, PRUNE, PASSES, LEVELS = 20, 1 / 15, 24, 12
 def nearest(points: DataFrame, k: int = K) -> DataFrame:
     """(graph, id, near): each point's k - 1 nearest others of its graph (the column sample) and itself, by Euclidean distance, ties to the
     smaller id."""
-    kind = points.schema["point_id"].dataType.simpleString()
-    pairs = topology.block_pairs(topology.blocked(points), "s = os")
-
-    def run(frames):
-        for f in frames:
-            for s, p, q, v, w in zip(f["s"], f["p"], f["op"], f["v"], f["ov"], strict=True):
-                d, p, q = topology._apart(v, w).round(12), np.asarray(p), np.asarray(q)
-                d[p[:, None] == q[None, :]] = -1.0
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"graph": s, "id": np.repeat(p, near.shape[1]), "q": q[near.ravel()], "d": np.take_along_axis(d, near, axis=1).ravel()})
-
-    rank = F.row_number().over(Window.partitionBy("graph", "id").orderBy("d", "q"))
-    found = pairs.mapInPandas(run, f"graph string, id {kind}, q {kind}, d double").withColumn("r", rank).filter(F.col("r") <= k)
-    return found.groupBy("graph", "id").agg(F.array_sort(F.collect_list("q")).alias("near"))
+    found = pairs.within(points, "sample", k - 1, 12)
+    return found.select(F.col("s").alias("graph"), "id", F.array_sort(F.array_append("near", F.col("id"))).alias("near"))
 
 
 def shared(near: DataFrame, prune: float = PRUNE) -> DataFrame:
