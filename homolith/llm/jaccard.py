@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from .common import drop, fresh, small_batches, table, tidy, written
 CELLS, HUB_ROUNDS, FOREST_ROUNDS, BLOCK = 1.3, 1, 3, 1024
 #: Sets that one task compares with a hub; sets of a block when a component's links are counted.
 HUB_SETS, LINK_BLOCK = 512, 128
+#: Parts of the hash space whose cells are shuffled one after the other.
+SLICES = 4
 #: The filter that keeps texts without a partner from being moved has 16 bits for each mark, up to 2^FILTER_BITS (32 MB); more
 #: marks are a table. Bits of a mark that it looks at.
 FILTER_BITS, FILTER_SHIFTS = 28, (0, 17, 34)
@@ -141,13 +144,24 @@ def shingled(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(tidy(run), f"doc_id {kind}, n long, node long, mark long, cells array<long>")
 
 
-def meetings(found: DataFrame) -> DataFrame:
-    """(cell, node) of the cells that two nodes or more offer."""
-    offered = found.select(F.explode("cells").alias("cell"), "node")
-    # Combined before moving, so a cell of very many sets is one row of a task; written, so that the join can split it.
-    shared = offered.groupBy("cell").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("cell")
-    shared, _ = written(found.sparkSession, shared, "cells")
-    return offered.join(shared, "cell", "left_semi")
+def meetings(found: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(cell, node) of the cells that two nodes or more offer, and the tables that these rows are read from.
+
+    One slice of the cells is shuffled at a time, and its shuffle files are gone before the next: beside the cells themselves
+    the disk holds a part of them, not all of them once more with two nodes each."""
+    spark = found.sparkSession
+    offered, met, paths = found.select(F.explode("cells").alias("cell"), "node"), [], []
+    for k in range(SLICES):
+        # The last byte is the band, which is not evenly spread.
+        part = offered.filter(F.pmod(F.shiftright("cell", 8), F.lit(SLICES)) == k)
+        # Combined before moving, so a cell of very many sets is one row of a task; written, so that the join can split it.
+        shared = part.groupBy("cell").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("cell")
+        shared, cells_path = written(spark, shared, "cells")
+        rows, path = written(spark, part.join(shared, "cell", "left_semi"), "met")
+        drop(spark, cells_path)
+        met.append(rows)
+        paths.append(path)
+    return reduce(DataFrame.unionByName, met), paths
 
 
 def filter_of(marks: DataFrame, bits: int) -> np.ndarray:
@@ -364,14 +378,14 @@ def _with_end(batches):
     yield None
 
 
-def roots_of(docs: DataFrame, join: Join, text: str, found: DataFrame, met: DataFrame, met_path: str) -> tuple[DataFrame | None, DataFrame | None, str | None]:
+def roots_of(docs: DataFrame, join: Join, text: str, found: DataFrame, met: DataFrame, met_paths: list[str]) -> tuple[DataFrame | None, DataFrame | None, str | None]:
     """(node, root) of the nodes with links, None if there are none; the sets that met, with their path. `met` is dropped."""
     spark = docs.sparkSession
     if met.isEmpty():
-        drop(spark, met_path)
+        drop(spark, *met_paths)
         return None, None, None
     sets, sets_path = written(spark, partners(docs, join, text, found, met), "sets")
-    roots, paths = None, [met_path]
+    roots, paths = None, [*met_paths]
     last, turn = HUB_ROUNDS + FOREST_ROUNDS, -1
     while turn < last:
         turn += 1
@@ -443,11 +457,11 @@ def rooted(docs: DataFrame, join: Join, key: str, text: str, count: bool = False
     spark = docs.sparkSession
     small_batches(spark)
     wide, wide_path = written(spark, shingled(docs, join, key, text), "shingled")
-    met, met_path = written(spark, meetings(wide), "met")
+    met, met_paths = meetings(wide)
     # The cells are most of that table and not read again.
     found, found_path = written(spark, wide.select("doc_id", "n", "node", "mark"), "sizes")
     drop(spark, wide_path)
-    roots, sets, sets_path = roots_of(docs, join, text, found, met, met_path)
+    roots, sets, sets_path = roots_of(docs, join, text, found, met, met_paths)
     # What is known of a node is one written table: a join with it can split a set of very many rows, two joins in a row can't.
     known = roots
     if count:
