@@ -5,17 +5,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from homolith.functions import kernels
-from homolith.operators import spaces
+from homolith.operators import pairs, spaces
 from homolith.sources.cuts import tabled as cut
 
 #: Neighbours that make an anchor, that a filter looks at, that a score compares, that a cell's correction is weighed from.
 K_ANCHOR, K_FILTER, K_SCORE, K_WEIGHT = 5, 50, 30, 50
-#: Points of a block when blocks are compared; values of a cell that are corrected in one task.
-BLOCK, PART = 512, 64
+#: Blocks of cells that stay in a task together; values of a cell that are corrected in one task; products that are added at a time.
+STAYING, PART, ADDED = 4, 64, 65_536
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -23,84 +23,83 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def reciprocal(points: DataFrame, width: int, dims: int = 50) -> DataFrame:
-    """(space, batch, id, x): all cells in the components of each batch, each component over its deviation there, of length 1."""
+    """(space, batch, block, ids, x): all cells in the components of each batch, each component over its deviation there, of length 1. x are
+    a block's cells as binary doubles, cell by cell."""
     held = cut(spaces.blocks(spaces.dense_rows(points)))
-    fits = spaces.loadings(held, width, dims)
     kind = points.schema["point_id"].dataType.simpleString()
 
     def run(frames):
         for f in frames:
-            yield f[["space", "batch", "id"]].assign(x=[_unit(np.asarray(p) / np.maximum(np.frombuffer(s), 1e-12)) for p, s in zip(f["pc"], f["spread"], strict=True)])
+            x = [_unit(np.frombuffer(y).reshape(len(i), -1) / np.maximum(np.frombuffer(s), 1e-12)).tobytes() for i, y, s in zip(f["ids"], f["pc"], f["spread"], strict=True)]
+            yield f[["space", "batch", "block", "ids"]].assign(x=x)
 
-    found = spaces.scores(held, fits, "all").join(fits.select(F.col("batch").alias("space"), "spread"), "space")
-    return found.select("space", "batch", "id", "pc", "spread").mapInPandas(run, f"space string, batch string, id {kind}, x array<double>")
-
-
-def _blocked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    n = rows.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = rows.join(n, keys).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    held = placed.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct("id", "x"))).alias("r"))
-    return held.select(*keys, "block", F.col("r.id").alias("ids"), F.col("r.x").alias("x"))
+    found = spaces.block_scores(held, spaces.loadings(held, width, dims), "all")
+    return found.select("space", "batch", "block", "ids", "pc", "spread").mapInPandas(run, f"space string, batch string, block int, ids array<{kind}>, x binary")
 
 
 def neighbours(rows: DataFrame, k: int = K_SCORE) -> DataFrame:
     """(space, batch, id, near): for each cell of the batch that a space belongs to, its k nearest cells of each batch there, nearest
-    first, ties to the smaller id; a cell is not its own neighbour. Blocks of a space meet, as arrays; k rows of each block are ranked."""
-    kind = rows.schema["id"].dataType.simpleString()
-    held = cut(_blocked(rows, ["space", "batch"]))
-    own = held.filter("space = batch").select("space", F.col("block").alias("own"), F.col("ids").alias("i"), F.col("x").alias("v"))
-    pairs = own.join(held, "space").select("space", "batch", "i", "v", "ids", "x").repartition(F.xxhash64("space", "batch", F.col("i")[0], F.col("ids")[0]))
+    first, ties to the smaller id; a cell is not its own neighbour. Some blocks of a batch stay in a task while all of its space pass by."""
+    held = cut(rows.withColumn("single", F.lit(False)))
+    kind = rows.schema["ids"].dataType.simpleString()
 
-    def run(frames):
-        for f in frames:
-            for space, batch, i, v, j, w in zip(*[f[c] for c in ("space", "batch", "i", "v", "ids", "x")], strict=True):
-                i, j = np.asarray(i), np.asarray(j)
-                d = -(np.stack(list(v)) @ np.stack(list(w)).T)
-                d[i[:, None] == j[None, :]] = np.inf
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                at, to = np.repeat(i, near.shape[1]), near.ravel()
-                far = np.take_along_axis(d, near, axis=1).ravel()
-                keep = np.isfinite(far)
-                yield pd.DataFrame({"space": space, "batch": batch, "id": at[keep], "other": j[to[keep]], "d": far[keep].round(12)})
+    def joined(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("block")
+        return pd.DataFrame([[p["space"].iloc[0], p["block"].iloc[0] // STAYING, np.concatenate(p["ids"].to_list()).tolist(), b"".join(p["x"]), False]], columns=["s", "block", "ids", "x", "single"])
 
-    found = pairs.mapInPandas(run, f"space string, batch string, id {kind}, other {kind}, d double")
-    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("space", "batch", "id").orderBy("d", "other"))).filter(F.col("r") <= k)
-    return ranked.groupBy("space", "batch", "id").agg(F.array_sort(F.collect_list(F.struct("r", "other"))).alias("n")).select("space", "batch", "id", F.col("n.other").alias("near"))
+    own = held.filter("space = batch").withColumn("own", F.floor(F.col("block") / STAYING))
+    own = cut(own.groupBy("space", "own").applyInPandas(joined, f"s string, block int, ids {kind}, x binary, single boolean"))
+    others = held.select(F.col("space").alias("s"), F.col("batch").alias("group"), F.struct("batch", "block").alias("at"), "ids", "x", "single")
+    found = pairs.nearest(own, others, F.col("own_s") == F.col("b.s"), k, True, 12, "product")
+    return found.filter(F.size("near") > 0).select(F.col("s").alias("space"), F.col("o").alias("batch"), "id", "near")
 
 
 def anchors(near: DataFrame, k: int = K_ANCHOR) -> DataFrame:
     """(a, b, pa, pb, shared): pairs of cells of batches a < b among the k nearest of each other, each in the space of its own batch, with
     the number of neighbours (in both batches) that both cells have."""
-    cross = near.filter("space <> batch")
-    one = cross.filter("space < batch").select(F.col("space").alias("a"), F.col("batch").alias("b"), F.col("id").alias("pa"), F.explode(F.slice("near", 1, k)).alias("pb"))
-    two = cross.filter("space > batch").select(F.col("batch").alias("a"), F.col("space").alias("b"), F.col("id").alias("pb"), F.explode(F.slice("near", 1, k)).alias("pa"))
-    both = one.join(two, ["a", "b", "pa", "pb"])
-    side = lambda s, p, o, n: near.select(F.col("space").alias(s), F.col("batch").alias(o), F.col("id").alias(p), F.col("near").alias(n))
-    held = both.join(side("a", "pa", "b", "ab"), ["a", "pa", "b"]).join(side("b", "pb", "a", "ba"), ["b", "pb", "a"])
-    home = near.filter("space = batch")
-    held = held.join(home.select(F.col("id").alias("pa"), F.col("near").alias("aa")), "pa").join(home.select(F.col("id").alias("pb"), F.col("near").alias("bb")), "pb")
-    shared = F.size(F.array_intersect(F.concat("aa", "ab"), F.concat("ba", "bb")))
-    return held.select("a", "b", "pa", "pb", shared.alias("shared"))
+    home = near.filter("space = batch").select("id", F.col("near").alias("home"))
+    cross = cut(near.filter("space <> batch").join(home, "id").select("space", "batch", "id", F.slice("near", 1, k).alias("first"), F.concat("home", "near").alias("both")))
+    one = cross.filter("space < batch").select(F.col("space").alias("a"), F.col("batch").alias("b"), F.col("id").alias("pa"), F.explode("first").alias("pb"))
+    two = cross.filter("space > batch").select(F.col("batch").alias("a"), F.col("space").alias("b"), F.col("id").alias("pb"), F.explode("first").alias("pa"))
+    of_a = cross.filter("space < batch").select(F.col("batch").alias("b"), F.col("id").alias("pa"), F.col("both").alias("na"))
+    of_b = cross.filter("space > batch").select(F.col("batch").alias("a"), F.col("id").alias("pb"), F.col("both").alias("nb"))
+    held = one.join(two, ["a", "b", "pa", "pb"]).join(of_a, ["b", "pa"]).join(of_b, ["a", "pb"])
+    return held.select("a", "b", "pa", "pb", F.size(F.array_intersect("na", "nb")).alias("shared"))
+
+
+class _Near:
+    """Keeps the anchors of a block of first cells whose second cell is among the k nearest (or as near as the k-th) of all that pass."""
+
+    def __init__(self, row, k: int):
+        self.row, self.x, self.k = row, _unit(pairs.unpacked(row["ids"], row["x"], row["single"])), k
+        self.nearest = pairs.Nearest(row["ids"], self.x, k, measure="product")
+        self.at = np.repeat(np.arange(len(self.x)), [len(m) for m in row["more"]])
+        self.to = pairs.named([p for m in row["more"] for p in m])
+        self.product = np.full(len(self.to), np.nan)
+
+    def take(self, other):
+        y, ids = _unit(pairs.unpacked(other["ids"], other["x"], other["single"])), pairs.named(other["ids"])
+        j = np.minimum(np.searchsorted(ids, self.to), len(ids) - 1)
+        here = np.flatnonzero(ids[j] == self.to)
+        self.product[here] = (self.x[self.at[here]] * y[j[here]]).sum(axis=1)
+        self.nearest.take(other["ids"], y)
+        yield from ()
+
+    def done(self):
+        keep = np.flatnonzero(self.product + 1e-9 >= -self.nearest.d[self.at, self.k - 1])
+        yield pd.DataFrame({"pa": pairs.named(self.row["ids"])[self.at[keep]], "pb": self.to[keep]})
 
 
 def filtered(found: DataFrame, points: DataFrame, k: int = K_FILTER) -> DataFrame:
-    """Anchors whose second cell is among the k cells of its batch that are nearest to the first, by the values themselves at length 1."""
-    rows = points.select(F.col("sample").alias("batch"), F.col("point_id").alias("id"), F.transform("vec", lambda v: v.cast("double")).alias("x"))
-    x = lambda p, n: rows.select(F.col("id").alias(p), F.col("x").alias(n))
-    pairs = found.join(x("pa", "xa"), "pa").join(x("pb", "xb"), "pb")
+    """Anchors whose second cell is among the k cells of its batch that are nearest to the first, by the values themselves at length 1.
+    First cells stay in blocks, with their anchors, while the batch passes by."""
     kind = points.schema["point_id"].dataType.simpleString()
-    chunks = pairs.withColumn("chunk", F.pmod(F.xxhash64("pa"), F.lit(64))).groupBy("b", "chunk").agg(F.collect_list(F.struct("pa", "pb", "xa", "xb")).alias("r"))
-    met = chunks.join(_blocked(rows, ["batch"]), F.col("b") == F.col("batch")).select("r.pa", "r.pb", "r.xa", "r.xb", "x")
-
-    def run(frames):
-        for f in frames:
-            for pa, pb, xa, xb, w in zip(*[f[c] for c in ("pa", "pb", "xa", "xb", "x")], strict=True):
-                xa, xb, w = (_unit(np.stack(list(v)).astype(float)) for v in (xa, xb, w))
-                own = (xa * xb).sum(axis=1)
-                yield pd.DataFrame({"pa": pa, "pb": pb, "nearer": (xa @ w.T > own[:, None] + 1e-9).sum(axis=1)})
-
-    counted = met.mapInPandas(run, f"pa {kind}, pb {kind}, nearer long").groupBy("pa", "pb").agg(F.sum("nearer").alias("nearer"))
-    return found.join(counted.filter(F.col("nearer") < k).select("pa", "pb"), ["pa", "pb"], "left_semi")
+    rows = points.select(F.col("sample").alias("group"), "point_id", "vec")
+    first = found.groupBy("b", "pa").agg(F.array_sort(F.collect_list("pb")).alias("more")).join(rows.select(F.col("point_id").alias("pa"), "vec"), "pa")
+    own = cut(pairs.packed(first.select("b", F.col("pa").alias("point_id"), "vec", "more"), "b", size=STAYING * spaces.BLOCK, more="more").drop("labels"))
+    others = cut(pairs.packed(rows, "group").drop("labels")).withColumn("at", F.struct("block"))
+    kept = pairs.meeting(own, others, F.col("own_s") == F.col("b.s"), lambda row: _Near(row, k), f"pa {kind}, pb {kind}")
+    return found.join(kept, ["pa", "pb"], "left_semi").select(found.columns)
 
 
 def scored(found: DataFrame) -> DataFrame:
@@ -130,31 +129,39 @@ def merge_order(counts: dict[tuple[str, str], int], sizes: dict[str, int]) -> li
     return out
 
 
-def weights(cells: DataFrame, ends: DataFrame, k: int = K_WEIGHT, sd: float = 1.0) -> DataFrame:
-    """(id, at, w): for each cell its k nearest anchors (of ends: anchor, x, score) and their shares in its correction: one less the
-    distance over that to the last of them, times the score, through a Gaussian of width 2 / sd."""
-    kind = cells.schema["id"].dataType.simpleString()
-    one = _blocked(cells.select(F.lit("q").alias("g"), "id", "x"), ["g"])
-    two = ends.withColumn("chunk", F.floor(F.col("anchor") / BLOCK).cast("int")).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("anchor", "x", "score"))).alias("r"))
-    chunks = two.agg(F.max("chunk")).first()[0]
-    if chunks is None:
-        return cells.select("id").limit(0).selectExpr("id", "CAST(NULL AS ARRAY<LONG>) AS at", "CAST(NULL AS ARRAY<DOUBLE>) AS w")
-    met = one.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks)))).join(two, "chunk").select("ids", F.col("x").alias("v"), "r.anchor", F.col("r.x").alias("w"), "r.score")
+class _Weighed:
+    """The ends of anchors that a block of cells is weighed from: of the nearest, as many as have k anchors, of the last maybe not all."""
 
-    def run(frames):
-        for f in frames:
-            for ids, v, at, w, score in zip(*[f[c] for c in ("ids", "v", "anchor", "w", "score")], strict=True):
-                v, w, at, score = np.stack(list(v)), np.stack(list(w)), np.asarray(at), np.asarray(score)
-                d = np.sqrt(np.maximum((v * v).sum(1)[:, None] + (w * w).sum(1)[None] - 2 * v @ w.T, 0)).round(9)
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"id": np.repeat(np.asarray(ids), near.shape[1]), "anchor": at[near.ravel()], "d": np.take_along_axis(d, near, 1).ravel(), "score": score[near.ravel()]})
+    def __init__(self, row, k: int):
+        self.row, self.k = row, k
+        self.nearest = pairs.Nearest(row["ids"], pairs.unpacked(row["ids"], row["x"], row["single"]), k, digits=9)
+
+    def take(self, other):
+        self.nearest.take(other["ids"], pairs.unpacked(other["ids"], other["x"], other["single"]), np.asarray(other["more"]))
+        yield from ()
 
-    found = met.mapInPandas(run, f"id {kind}, anchor long, d double, score double")
-    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "anchor"))).filter(F.col("r") <= k)
-    last = F.greatest(F.max("d").over(Window.partitionBy("id")), F.lit(1e-12))
-    share = 1 - F.exp(-((1 - F.col("d") / last) * F.col("score")) / (2 / sd) ** 2)
-    held = ranked.select("id", "anchor", share.alias("w")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("anchor", "w"))).alias("r"), F.sum("w").alias("all"))
-    return held.filter("all > 0").select("id", F.col("r.anchor").alias("at"), F.transform("r.w", lambda w: w / F.col("all")).alias("w"))
+    def done(self):
+        d, n = self.nearest.d, self.nearest.more
+        n = np.where(np.isfinite(d), n, 0)
+        before = np.cumsum(n, axis=1) - n
+        cell, rank = np.nonzero((n > 0) & (before < self.k))
+        last = np.maximum.reduceat(d[cell, rank], np.flatnonzero(np.append(True, cell[1:] != cell[:-1])))
+        taken = np.minimum(n, self.k - before)[cell, rank]
+        yield pd.DataFrame({"block": self.row["block"], "cell": cell, "own": self.nearest.near[cell, rank], "d": d[cell, rank], "n": taken, "last": np.maximum(last, 1e-12)[np.cumsum(np.append(0, cell[1:] != cell[:-1]))]})
+
+
+def weights(held: DataFrame, found: DataFrame, place: DataFrame, k: int = K_WEIGHT, sd: float = 1.0) -> DataFrame:
+    """(block, cell, ref, own, w): for each cell (its number in a block of `held`, packed()) the k anchors (found: ref, own, score) whose own
+    cells are nearest in `place` (point_id, vec), and their weights: one less the distance over that to the last of them, times the
+    score, through a Gaussian of width 2 / sd. Ties go to the smaller own cell, then the smaller ref."""
+    kind = place.schema["point_id"].dataType.simpleString()
+    ends = cut(found.groupBy("own").agg(F.array_sort(F.collect_list(F.struct("ref", "score"))).alias("r")))
+    counted = ends.select(F.col("own").alias("point_id"), F.size("r").alias("more")).join(place, "point_id").withColumn("g", F.lit("q"))
+    others = cut(pairs.packed(counted, "g", more="more").drop("labels")).withColumn("at", F.struct("block"))
+    near = pairs.meeting(held, others, F.lit(True), lambda row: _Weighed(row, k), f"block int, cell int, own {kind}, d double, n int, last double")
+    rows = near.join(ends, "own").select("block", "cell", "own", "d", "last", F.explode(F.slice("r", F.lit(1), F.col("n"))).alias("a"))
+    w = 1 - F.exp(-((1 - F.col("d") / F.col("last")) * F.col("a.score")) / (2 / sd) ** 2)
+    return rows.select("block", "cell", F.col("a.ref").alias("ref"), "own", w.alias("w")).filter("w > 0")
 
 
 def _parts(points: DataFrame, width: int) -> DataFrame:
@@ -164,26 +171,55 @@ def _parts(points: DataFrame, width: int) -> DataFrame:
     return rows.select("batch", "id", "j", F.slice("vec", F.col("j") * PART + 1, PART).alias("part"))
 
 
-def _moved(parts: DataFrame, pairs: DataFrame, shares: DataFrame, query: list[str]) -> DataFrame:
-    """Pieces of the query batches' cells moved by the differences of their anchors. A task has the differences of all of a merge's
-    anchors in one piece (PART numbers each) and some cells; pairs are (anchor, ref, own)."""
+def _moved(parts: DataFrame, held: DataFrame, shares: DataFrame, query: list[str]) -> DataFrame:
+    """Pieces of the query batches' cells moved by the differences of their anchors, over the sum of weights. A cell that anchors name goes
+    once to each block (of `held`, packed()) with cells that it counts for; a task holds the sums of one block's pieces."""
     kind = parts.schema["id"].dataType.simpleString()
-    diff = pairs.join(parts.select(F.col("id").alias("ref"), "j", F.col("part").alias("to")), "ref").join(parts.select(F.col("id").alias("own"), "j", F.col("part").alias("from")), ["own", "j"])
-    diff = diff.groupBy("j").agg(F.array_sort(F.collect_list(F.struct("anchor", F.zip_with("to", "from", lambda x, y: x - y).alias("d")))).alias("r")).select("j", F.col("r.anchor").alias("anchor"), F.col("r.d").alias("d"))
-    own = parts.filter(F.col("batch").isin(query)).join(shares, "id", "left")
-    blocks = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(256))).groupBy("j", "block").agg(F.collect_list(F.struct("batch", "id", "part", "at", "w")).alias("c")).join(diff, "j")
+    both = F.explode(F.array(F.struct(F.col("ref").alias("id"), F.col("w").alias("w")), F.struct(F.col("own").alias("id"), (-F.col("w")).alias("w")))).alias("e")
+    sources = shares.select("block", "cell", both).select("block", F.col("e.id").alias("id"), "cell", F.col("e.w").alias("w")).repartition("id")
+    sources = sources.groupBy("id", "block").agg(F.array_sort(F.collect_list(F.struct("cell", "w"))).alias("r"))
+    none = F.lit(None)
+    sent = sources.join(parts.select("id", "j", "part"), "id").select("block", "j", F.lit(1).alias("turn"), "id", none.cast(f"array<{kind}>").alias("ids"), "part", F.col("r.cell").alias("cell"), F.col("r.w").alias("w"))
+    stays = held.withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(parts.agg(F.max("j")).first()[0] + 1)])))
+    stays = stays.select("block", "j", F.lit(0).alias("turn"), none.cast(kind).alias("id"), "ids", none.cast("array<double>").alias("part"), none.cast("array<int>").alias("cell"), none.cast("array<double>").alias("w"))
+    rows = stays.unionByName(sent).repartition("block", "j").sortWithinPartitions("block", "j", "turn", "id")
 
     def run(frames):
-        for f in frames:
-            for j, batch, id_, part, at, w, anchor, d in zip(*[f[c] for c in ("j", "batch", "id", "part", "at", "w", "anchor", "d")], strict=True):
-                anchor, d, x = np.asarray(anchor), np.stack(list(d)), np.stack(list(part)).astype(float)
-                for i, (a, s) in enumerate(zip(at, w, strict=True)):
-                    if a is not None:
-                        x[i] += np.asarray(s) @ d[np.searchsorted(anchor, a)]
-                yield pd.DataFrame({"batch": batch, "id": id_, "j": j, "part": list(x)})
+        ids, j, sums, total = None, None, None, None
 
-    moved = blocks.select("j", "c.batch", "c.id", "c.part", "c.at", "c.w", "anchor", "d").mapInPandas(run, f"batch string, id {kind}, j int, part array<double>")
-    return parts.filter(~F.col("batch").isin(query)).unionByName(moved)
+        def moved():
+            at = np.flatnonzero(total > 0)
+            if ids is not None and sums is not None and len(at):
+                yield pd.DataFrame({"id": ids[at], "j": j, "by": list(sums[at] / total[at, None])})
+
+        for f in frames:
+            starts = np.append(np.flatnonzero(f["turn"].to_numpy() == 0), len(f))
+            for a, b in zip(np.append(0, starts[:-1]), starts, strict=True):
+                p = f.iloc[a:b]
+                if len(p) and p["turn"].iloc[0] == 0:
+                    if ids is not None:
+                        yield from moved()
+                    ids, j, sums, p = pairs.named(p["ids"].iloc[0]), p["j"].iloc[0], None, p.iloc[1:]
+                    total = np.zeros(len(ids))
+                if not len(p):
+                    continue
+                x, cell, w = np.stack(p["part"].to_list()), np.concatenate(p["cell"].to_list()), np.concatenate(p["w"].to_list())
+                row = np.repeat(np.arange(len(p)), [len(c) for c in p["cell"]])
+                sums = np.zeros((len(ids), x.shape[1])) if sums is None else sums
+                total += np.bincount(cell, np.maximum(w, 0), len(ids))
+                order = np.argsort(cell, kind="stable")
+                for i in range(0, len(order), ADDED):
+                    o = order[i : i + ADDED]
+                    to = cell[o]
+                    first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+                    sums[to[first]] += np.add.reduceat(x[row[o]] * w[o, None], first, axis=0)
+        if ids is not None:
+            yield from moved()
+
+    by = rows.mapInPandas(run, f"id {kind}, j int, by array<double>")
+    own = parts.filter(F.col("batch").isin(query)).join(by, ["id", "j"], "left")
+    part = F.when(F.col("by").isNull(), F.col("part")).otherwise(F.zip_with("part", "by", lambda x, y: x + y))
+    return parts.filter(~F.col("batch").isin(query)).unionByName(own.select("batch", "id", "j", part.alias("part")))
 
 
 def found_anchors(points: DataFrame, width: int, dims: int = 50, k_anchor: int = K_ANCHOR, k_filter: int = K_FILTER, k_score: int = K_SCORE) -> DataFrame:
@@ -197,42 +233,33 @@ def integrated(points: DataFrame, dims: int = 50, k_anchor: int = K_ANCHOR, k_fi
     weighed in the principal components of all cells; a batch without anchors stays as it is. Null vectors take no part.
 
     `found` are anchors of an earlier call, which are taken as they are. Driver and closures hold numbers of batches, not of cells."""
-    points = cut(points.filter("vec IS NOT NULL").select(F.col("sample").cast("string").alias("sample"), "point_id", F.transform("vec", lambda v: v.cast("double")).alias("vec")))
+    points = cut(points.filter("vec IS NOT NULL").select(F.col("sample").cast("string").alias("sample"), "point_id", "vec"))
     first = points.select(F.size("vec").alias("n")).first()
+    as_it_is = points.withColumn("vec", F.transform("vec", lambda v: v.cast("double")))
     if first is None:
-        return points
+        return as_it_is
     width = first["n"]
     found = cut(found_anchors(points, width, dims, k_anchor, k_filter, k_score) if found is None else found)
     sizes = {r["sample"]: r["count"] for r in points.groupBy("sample").count().collect()}
     counts = {(r["a"], r["b"]): r["count"] for r in found.groupBy("a", "b").count().collect()}
     if not counts:
-        return points
-    place = cut(spaces.pca(spaces.dense_rows(points.withColumn("sample", F.lit("all"))), width, dims)[1].select("id", F.col("pc").alias("x")))
-    batch_of = points.select(F.col("point_id").alias("id"), F.col("sample").alias("batch"))
+        return as_it_is
+    place = cut(spaces.pca(spaces.dense_rows(points.withColumn("sample", F.lit("all"))), width, dims)[1].select(F.col("id").alias("point_id"), F.col("pc").alias("vec")))
+    batch_of = points.select("point_id", F.col("sample").alias("batch"))
     parts = cut(_parts(points, width))
     for ref, query in merge_order(counts, sizes):
         ahead = F.col("a").isin(ref) & F.col("b").isin(query)
         behind = F.col("b").isin(ref) & F.col("a").isin(query)
-        pairs = found.filter(ahead | behind).select(F.when(ahead, F.col("pa")).otherwise(F.col("pb")).alias("ref"), F.when(ahead, F.col("pb")).otherwise(F.col("pa")).alias("own"), "score")
-        pairs = cut(_numbered(pairs))
-        if pairs.isEmpty():
+        used = found.filter(ahead | behind).select(F.when(ahead, F.col("pa")).otherwise(F.col("pb")).alias("ref"), F.when(ahead, F.col("pb")).otherwise(F.col("pa")).alias("own"), "score")
+        if not any(counts.get(p) for a in ref for b in query for p in ((a, b), (b, a))):
             continue
-        ends = pairs.join(place.select(F.col("id").alias("own"), "x"), "own").select("anchor", "x", "score")
-        cells = batch_of.filter(F.col("batch").isin(query)).join(place, "id").select("id", "x")
-        parts = cut(_moved(parts, pairs.select("anchor", "ref", "own"), weights(cells, ends, k_weight), query))
+        cells = batch_of.filter(F.col("batch").isin(query)).join(place, "point_id").withColumn("g", F.lit("q"))
+        held = cut(pairs.packed(cells, "g", size=STAYING * spaces.BLOCK).drop("labels"))
+        parts = cut(_moved(parts, held, cut(weights(held, used, place, k_weight)), query))
     whole = parts.groupBy("batch", "id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("j", "part"))), lambda r: r["part"])).alias("vec"))
     return whole.select(F.col("batch").alias("sample"), F.col("id").alias("point_id"), "vec")
 
 
-def _numbered(pairs: DataFrame) -> DataFrame:
-    """A number from 0 on for each anchor, by ranges: partitions number their rows, and their sizes are added up."""
-    sorted_ = cut(pairs.repartitionByRange("own", "ref").sortWithinPartitions("own", "ref").withColumn("p", F.spark_partition_id()))
-    sizes = sorted_.groupBy("p").agg(F.count("*").alias("n"))
-    offset = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("o"))
-    row = F.row_number().over(Window.partitionBy("p").orderBy("own", "ref")) - 1
-    return sorted_.withColumn("k", row).join(F.broadcast(offset), "p").select((F.col("o") + F.col("k")).alias("anchor"), "ref", "own", "score")
-
-
 # Soft clusters with a diversity penalty. Width of the clusters' kernel, weight of the penalty, ridge.
 SIGMA, THETA, RIDGE = 0.1, 2.0, 1.0
 

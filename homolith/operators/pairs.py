@@ -23,20 +23,21 @@ def kind(points: DataFrame, column: str = "point_id") -> str:
     return points.schema[column].dataType.simpleString()
 
 
-def packed(points: DataFrame, key: str, labels: str | None = None, size: int = BLOCK) -> DataFrame:
-    """(s, block, ids, x, labels): the points of each value of `key` in blocks of about `size`; x are the vectors as binary doubles (floats,
+def packed(points: DataFrame, key: str, labels: str | None = None, size: int = BLOCK, more: str | None = None) -> DataFrame:
+    """(s, block, ids, x, single, labels, and more, if told, a column's value for each point): the points of each value of `key` in blocks of about `size`; x are the vectors as binary doubles (floats,
     if they are such), row by row, in order of the labels (a column, or empty strings) and ids."""
     single = points.schema["vec"].dataType.elementType.simpleString() == "float"
     sizes = points.groupBy(F.col(key).alias("s")).agg(F.ceil(F.count("*") / size).alias("blocks"))
-    rows = points.select(F.col(key).alias("s"), F.col(labels).cast("string").alias("label") if labels else F.lit("").alias("label"), "point_id", "vec")
+    rows = points.select(F.col(key).alias("s"), F.col(labels).cast("string").alias("label") if labels else F.lit("").alias("label"), "point_id", "vec", *([F.col(more).alias("more")] if more else []))
     rows = rows.join(F.broadcast(sizes), "s").withColumn("block", F.pmod(F.xxhash64("point_id"), "blocks").cast("int")).drop("blocks")
 
     def pack(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["label", "point_id"])
         x = np.stack(p["vec"].to_list()).astype(np.float32 if single else np.float64)
-        return pd.DataFrame({"s": [p["s"].iloc[0]], "block": p["block"].iloc[0], "ids": [p["point_id"].tolist()], "x": [x.tobytes()], "single": single, "labels": [p["label"].tolist() if labels else []]})
+        return pd.DataFrame({"s": [p["s"].iloc[0]], "block": p["block"].iloc[0], "ids": [p["point_id"].tolist()], "x": [x.tobytes()], "single": single, "labels": [p["label"].tolist() if labels else []]} | ({"more": [p["more"].tolist()]} if more else {}))
 
-    return rows.groupBy("s", "block").applyInPandas(pack, f"s string, block int, ids array<{kind(points)}>, x binary, single boolean, labels array<string>")
+    also = f", more array<{kind(points, more)}>" if more else ""
+    return rows.groupBy("s", "block").applyInPandas(pack, f"s string, block int, ids array<{kind(points)}>, x binary, single boolean, labels array<string>{also}")
 
 
 def unpacked(ids, x: bytes, single: bool) -> np.ndarray:

@@ -141,22 +141,38 @@ def loadings(held: DataFrame, width: int, k: int = 50, scale: bool = False, roun
     return cut(fits.drop("n").join(z, "batch").mapInPandas(ritz, FITS))
 
 
+def _met(held: DataFrame, fits: DataFrame, on: str | None) -> DataFrame:
+    spaces = fits.select(F.col("batch").alias("space"), "width", "loadings", "mean", "sd", "spread")
+    return held.join(spaces, held["batch"] == spaces["space"]) if on is None else held.join(F.broadcast(spaces if on == "all" else spaces.filter(F.col("space") == on)))
+
+
+def block_scores(held: DataFrame, fits: DataFrame, on: str | None = None) -> DataFrame:
+    """(batch, space, block, ids, pc, spread): scores() of whole blocks, as binary doubles, and the deviations of the components."""
+    kind = held.schema["ids"].dataType.simpleString()
+
+    def run(frames):
+        for f in frames:
+            for batch, space, block, ids, idx, val, width, w, mean, sd, spread in zip(*[f[c] for c in ("batch", "space", "block", "ids", "idx", "val", "width", "loadings", "mean", "sd", "spread")], strict=True):
+                mean = np.frombuffer(mean)
+                w = np.frombuffer(w).reshape(width, -1) / np.frombuffer(sd)[:, None]
+                y = np.concatenate([x @ w - mean @ w for x in _dense(idx, val, width)])
+                yield pd.DataFrame([[batch, space, block, ids, y.tobytes(), spread]], columns=["batch", "space", "block", "ids", "pc", "spread"])
+
+    met = _met(held, fits, on).select("batch", "space", "block", "ids", "idx", "val", "width", "loadings", "mean", "sd", "spread")
+    return met.mapInPandas(run, f"batch string, space string, block int, ids {kind}, pc binary, spread binary")
+
+
 def scores(held: DataFrame, fits: DataFrame, on: str | None = None) -> DataFrame:
     """(batch, space, id, pc): the cells of each batch in the components of `space`: their own batch's, of all batches with `on` "all",
     or of the batch that `on` names."""
     kind = held.schema["ids"].dataType.elementType.simpleString()
-    spaces = fits.select(F.col("batch").alias("space"), "width", "loadings", "mean", "sd")
-    joined = held.join(spaces, held["batch"] == spaces["space"]) if on is None else held.join(F.broadcast(spaces if on == "all" else spaces.filter(F.col("space") == on)))
 
     def run(frames):
         for f in frames:
-            for batch, space, ids, idx, val, width, w, mean, sd in zip(*[f[c] for c in ("batch", "space", "ids", "idx", "val", "width", "loadings", "mean", "sd")], strict=True):
-                mean = np.frombuffer(mean)
-                w = np.frombuffer(w).reshape(width, -1) / np.frombuffer(sd)[:, None]
-                y = np.concatenate([x @ w - mean @ w for x in _dense(idx, val, width)])
-                yield pd.DataFrame({"batch": batch, "space": space, "id": ids, "pc": list(y)})
+            for batch, space, ids, y in zip(*[f[c] for c in ("batch", "space", "ids", "pc")], strict=True):
+                yield pd.DataFrame({"batch": batch, "space": space, "id": ids, "pc": list(np.frombuffer(y).reshape(len(ids), -1))})
 
-    return joined.select("batch", "space", "ids", "idx", "val", "width", "loadings", "mean", "sd").mapInPandas(run, f"batch string, space string, id {kind}, pc array<double>")
+    return block_scores(held, fits, on).select("batch", "space", "ids", "pc").mapInPandas(run, f"batch string, space string, id {kind}, pc array<double>")
 
 
 def pca(rows: DataFrame, width: int, k: int = 50, scale: bool = False) -> tuple[DataFrame, DataFrame]:

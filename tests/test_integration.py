@@ -149,3 +149,27 @@ def test_harmony_mixes_batches(spark):
     assert np.abs(out - want).max() < 1e-6
     batch = np.array([s for s, _, _ in rows])
     assert entropy(out, batch) > entropy(np.array([v for _, _, v in rows]), batch) + 0.3
+
+
+def shuffled(spark):
+    done = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(done.apply(i).totalShuffleWrite() for i in range(done.size()))
+
+
+def test_neighbours_move_blocks_not_candidates(spark):
+    rows, _ = batches(8, (400, 400, 400), 4)
+    points = spark.createDataFrame(rows, "sample string, point_id string, vec array<double>")
+    space = g.reciprocal(points, 4, 3).localCheckpoint()
+    before = shuffled(spark)
+    assert g.neighbours(space).count() == 3 * 1200
+    assert shuffled(spark) - before < 500_000
+
+
+def test_several_blocks_stay_and_pass(spark, monkeypatch):
+    rows, _ = batches(9, (70, 40), 5)
+    points = spark.createDataFrame(rows, "sample string, point_id string, vec array<double>")
+    whole = {(r["space"], r["batch"], r["id"]): r["near"] for r in g.neighbours(g.reciprocal(points, 5, 3), 6).collect()}
+    monkeypatch.setattr(g.spaces, "BLOCK", 7)
+    parts = g.reciprocal(points, 5, 3)
+    assert parts.count() > 20
+    assert {(r["space"], r["batch"], r["id"]): r["near"] for r in g.neighbours(parts, 6).collect()} == whole
