@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +127,20 @@ def test_components_of_points_without_a_matrix(spark):
     x = np.repeat(draw.normal(size=(30, 64)).astype(np.float32), 3, axis=0)
     points = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "sample string, point_id long, vec array<float>")
     assert topology.diagrams(points, 0).count() == 29
+
+
+def test_loops_of_many_points(monkeypatch):
+    draw = np.random.default_rng(7)
+    for t in range(6):
+        x = draw.normal(size=(30, 1 + t))
+        d = k.distances(x.round(0) if t % 3 == 0 else x)
+        want = full_reduction(d)
+        for columns in (0, 3, 65_536):
+            monkeypatch.setattr(k, "COLUMNS", columns)
+            assert k.rips_h1(d) == pytest.approx(want), (t, columns)
+    # In many dimensions the loops live together and hang on each other.
+    x = draw.normal(size=(500, 64))
+    d = k.distances(x / np.linalg.norm(x, axis=1, keepdims=True))
+    began = time.process_time()
+    assert len(k.rips_h1(d)) > 2000
+    assert time.process_time() - began < 12
