@@ -144,3 +144,13 @@ def test_loops_of_many_points(monkeypatch):
     began = time.process_time()
     assert len(k.rips_h1(d)) > 2000
     assert time.process_time() - began < 12
+
+
+def test_bottleneck_of_many_short_bars():
+    draw = np.random.default_rng(8)
+    a, b = (np.column_stack([s := draw.normal(1.2, 0.02, 6000), s + draw.exponential(0.02, 6000)]) for _ in range(2))
+    b[:, 0] -= 0.004
+    began = time.process_time()
+    r = k.bottleneck(a, b)
+    assert time.process_time() - began < 1.2
+    assert k.bottleneck(b, a) == r and 0 < r <= max(np.ptp(x, axis=1).max() for x in (a, b)) / 2
