@@ -154,3 +154,16 @@ def test_bottleneck_of_many_short_bars():
     r = k.bottleneck(a, b)
     assert time.process_time() - began < 1.2
     assert k.bottleneck(b, a) == r and 0 < r <= max(np.ptp(x, axis=1).max() for x in (a, b)) / 2
+
+
+def test_ordered_scores_take_distances_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(frames):
+        for p in frames:
+            made.add(len(p))
+            yield p
+
+    dist = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 5.0), ("b", "c", 6.0)], "i string, j string, d double").mapInPandas(run, "i string, j string, d double")
+    assert topology.ordered_scores(dist).count() == 9
+    assert made.value == 3
