@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from homolith.functions.sqlop import Op
 from homolith.operators import qc
@@ -21,3 +22,11 @@ def test_centred_equals_dense(spark):
     genes = [j for j in range(5) if any(r[2] == f"g{j}" for r in rows)]
     assert len(got) == len(cells) * len(genes)
     assert {(r["sample"], r["cell"], r["gene"]): r["value"] for r in got} == pytest.approx({(of[k], i, f"g{j}"): want[k, j] for k, i in enumerate(cells) for j in genes}, abs=1e-6)
+
+
+def test_centred_cells_of_a_sample_are_in_several_tasks(spark):
+    s = spark.newSession()
+    s.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    s.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    counts = s.range(400).select(F.lit("a").alias("sample"), F.col("id").alias("cell"), F.lit("g").alias("gene"), F.lit(1.0).alias("value"))
+    assert qc.centred(Op("counts", "")).over(s, counts=counts).select(F.spark_partition_id()).distinct().count() > 1
